@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.scratch import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Windows broadcast at once: about 200 bytes each.
 BLOCK = 50_000
@@ -96,3 +98,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, block: int
     hit = hit.groupBy("doc_id", "key").agg(F.first("n_words").alias("n_words"), F.first("copies").alias("copies"), F.first("spans").alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
     both = clean.unionByName(hit)
     return both.select("doc_id", "key", F.col("n_words").cast("long").alias("n_words"), covered(F.col("spans")).alias("n_hit"), "items", F.array_sort("spans").alias("spans"), F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_")).drop("_")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of docs, all columns as they are, that hold no window of an item."""
+    hit = stored(contamination(docs.select("doc_id", "text"), items, size).where("n_hit > 0").select(F.col("doc_id").alias("hit_doc_id"), F.col("key").alias("hit_key")).distinct(), "contaminated")
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_doc_id")) & (F.xxhash64("text") == F.col("hit_key")), "left_anti")

@@ -119,3 +119,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = stored(rooted.join(ids, "root").select("fp", "component_id"), "components")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: the one of the least doc_id. Rows without a doc_id are told apart by their text."""
+    own = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.shiftright(F.xxhash64("text"), 1)) - 1)
+    rows = docs.withColumn("lamina_row", own)
+    found = near_duplicates(rows.select(F.col("lamina_row").alias("doc_id"), "text"))
+    kept = stored(found.where("doc_id = component_id").select(F.col("doc_id").alias("lamina_row")).distinct(), "kept")
+    return rows.join(kept, "lamina_row", "left_semi").dropDuplicates(["lamina_row"]).select(*(f"`{c}`" for c in docs.columns))

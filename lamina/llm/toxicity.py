@@ -205,3 +205,22 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.array().cast("array<struct<start:int,end:int,score:double>>").alias("passages"))
     return rows.mapInArrow(partial(_score, model=model), "doc_id long, score double, passages array<struct<start:int,end:int,score:double>>")
+
+
+def _score_rows(batches: Iterator[pa.RecordBatch], model: dict, at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], ["doc_id", "text"])
+        for scored in _score(iter([pair]), model):
+            yield pa.RecordBatch.from_arrays([*batch.columns, scored.column(1)], [*batch.schema.names, "score"])
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is below limit. Nothing is shuffled."""
+    model = fit(docs, labels)
+    if model is None:
+        return docs
+    # positions, not names: columns of docs may have any name
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", score double"
+    kept = plain.mapInArrow(partial(_score_rows, model=model, at=docs.columns.index("text")), schema).where(F.col("score") < limit)
+    return kept.drop("score").toDF(*docs.columns)
