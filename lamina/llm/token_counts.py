@@ -42,6 +42,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocab))
         self.pairs: dict[int, bool] = {}
         self.words = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.spaces = regex.compile(r"\p{White_Space}+")
         self.start, self.inner = Memo(self.piece_total, ""), Memo(self.piece_total, " ")
 
     def stays(self, a: int, b: int) -> bool:
@@ -106,8 +107,26 @@ class PrefixCounter:
         return 0
 
     def piece_prefixes(self, piece: str) -> list[int]:
-        """Count of every character prefix of a piece; index 0 is the empty prefix."""
-        return [self.text_total(piece[:k]) for k in range(len(piece) + 1)]
+        """Count of every character prefix of a piece; index 0 is the empty prefix. One pass over the piece's bytes."""
+        out = [0] * (len(piece) + 1)
+        for found in self.words.finditer(piece):
+            start, end = found.span()
+            if found[0][0] == "'" and found[0][1:].isalpha():
+                # a cut contraction is two words
+                inside = [self.text_total(found[0][:k]) for k in range(1, end - start + 1)]
+            else:
+                inside = self._char_counts(found[0])
+            out[start + 1:end + 1] = [out[start] + n for n in inside]
+        for found in self.spaces.finditer(piece):
+            # white space at the end of a prefix is one word, whatever follows in the piece
+            start, end = found.span()
+            out[start + 1:end + 1] = [out[start] + n for n in self._char_counts(found[0])]
+        return out
+
+    def _char_counts(self, word: str) -> list[int]:
+        """Counts at the ends of a word's characters."""
+        counts = self.prefix_counts(byte_letters(word))
+        return [counts[n] for n in accumulate(len(c.encode()) for c in word)]
 
     def _special(self, text: str, budget: int | None) -> tuple[int, int]:
         """Texts that may hold special strings: these are split off first, as the library does by default."""
