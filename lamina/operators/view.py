@@ -26,26 +26,30 @@ def _field(name: str):
 
 
 def cells_of(component: DataFrame, refs: DataFrame, properties: Mapping[str, str]) -> DataFrame:
-    """refs (slice_id, pos, ref) joined once with component (id, ...) -> slice_id and an array per property.
+    """refs (slice_id, ref[, pos]) joined once with component (id, ...) -> slice_id and an array per property.
 
-    Values stand in the order of the references; a reference to a row without the property gives null,
-    an array property is flattened by one level.
+    A layer without `pos` has one reference per slice, and its cells need no grouping. Else values stand
+    in the order of the references. A reference to a row without the property gives null, an array
+    property is flattened by one level.
     """
     kinds = {f.name: f.dataType for f in component.schema}
     names = [p for p in properties.values() if p in kinds]
     joined = refs.join(component.select(F.col("id").alias("ref"), *names), "ref")
-    held = joined.groupBy(SLICE).agg(F.array_sort(F.collect_list(F.struct("pos", "ref", *(F.col(n) for n in names)))).alias("held"))
+    single = "pos" not in refs.columns
+    if not single:
+        joined = joined.groupBy(SLICE).agg(F.array_sort(F.collect_list(F.struct("pos", "ref", *(F.col(n) for n in names)))).alias("held"))
     out = []
     for alias, name in properties.items():
         if name not in kinds:
-            out.append(F.transform("held", lambda _: F.lit(None).cast("string")).alias(alias))
+            none = F.lit(None).cast("string")
+            out.append((F.array(none) if single else F.transform("held", lambda _: F.lit(None).cast("string"))).alias(alias))
             continue
-        values = F.transform("held", _field(name))
+        values = F.array(name) if single else F.transform("held", _field(name))
         if isinstance(kinds[name], T.ArrayType):
             # a null array is one null value
             values = F.flatten(F.transform(values, lambda v: F.coalesce(v, F.array(F.lit(None)))))
         out.append(values.alias(alias))
-    return held.select(SLICE, *out)
+    return joined.select(SLICE, *out)
 
 
 @dataclass(frozen=True)
@@ -68,8 +72,6 @@ class View:
             if name not in layers:
                 raise KeyError(f"no layer {name!r}; there are {sorted(layers)}")
             refs, component = layers[name]
-            if "pos" not in refs.columns:
-                refs = refs.withColumn("pos", F.lit(0))
             own = {f"c_{n}": c.prop for n, c in enumerate(selection.columns) if c.layer == name}
             df = df.join(cells_of(component, refs, own), SLICE, "left")
         empty = [F.coalesce(f"c_{n}", F.array().cast(df.schema[f"c_{n}"].dataType)).alias(f"c_{n}") for n in range(len(selection))]

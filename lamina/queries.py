@@ -17,8 +17,11 @@ from lamina.plans.selection import RowSort, Selection, SetValue
 from lamina.sources.store import Column, Reference, Store, TableConfig, cascade, decompose, layer_maps
 from lamina.streaming import sync
 
-#: Milliseconds of an event, whatever the session's time zone.
-MILLIS = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+
+def millis() -> SparkColumn:
+    """Milliseconds of an event, whatever the session's time zone."""
+    return F.expr("timestampdiff(millis()ECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -667,7 +670,7 @@ def event_history(spark, sf_dir) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     own = lambda c: F.format_string("%020d", c)
     back = F.when(F.col("event_id") % 11 == 0, F.lag("event_id", 2).over(w)).otherwise(F.lag("event_id", 1).over(w))
-    linked = e.select("user_id", "event_id", "event_type", MILLIS.alias("ms"), back.alias("b"))
+    linked = e.select("user_id", "event_id", "event_type", millis().alias("ms"), back.alias("b"))
     return linked.select("user_id", own(F.col("event_id")).alias("timeId"), F.col("event_type").alias("ref"), "ms", F.when(F.col("b").isNull(), F.array().cast("array<string>")).otherwise(F.array(own(F.col("b")))).alias("previous"))
 
 
@@ -713,8 +716,8 @@ def h10_time_travel(spark, sf_dir):
 @query
 def h10_as_of(spark, sf_dir):
     e = t(spark, sf_dir, "events")
-    h = e.select("user_id", F.concat(MILLIS.cast("string"), F.lit(":"), F.col("event_id").cast("string")).alias("timeId"), F.col("event_id").alias("ref"))
-    middle = e.agg(F.min(MILLIS).alias("a"), F.max(MILLIS).alias("b")).first()
+    h = e.select("user_id", F.concat(millis().cast("string"), F.lit(":"), F.col("event_id").cast("string")).alias("timeId"), F.col("event_id").alias("ref"))
+    middle = e.agg(F.min(millis()).alias("a"), F.max(millis()).alias("b")).first()
     return history.as_of(h, "ref", (middle.a + middle.b) // 2, "user_id").select("user_id", "ref")
 
 
@@ -726,7 +729,7 @@ def d1_by_time(spark, sf_dir):
 
 @query
 def d2_latest_first(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select("event_id", F.concat(MILLIS.cast("string"), F.lit(":"), F.col("event_id").cast("string")).alias("timeId"))
+    e = t(spark, sf_dir, "events").select("event_id", F.concat(millis().cast("string"), F.lit(":"), F.col("event_id").cast("string")).alias("timeId"))
     return ranked(e, [history.stamp("timeId").desc(), F.col("event_id").asc()], "place").select("event_id", "place")
 
 
