@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     if not (n.get(0) and n.get(1)):
         return None
     counted = rows.mapInArrow(_count_features, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
-    share = (F.col("n0") + F.col("n1")) / (n[0] + n[1])
+    share = (F.col("n0") + F.col("n1") + 1) / (n[0] + n[1] + 2)
     a, b = PRIOR * share, PRIOR * (1 - share)
     odds = lambda y, total: F.log((F.col(y) + a) / (total - F.col(y) + b))
     delta = odds("n1", n[1]) - odds("n0", n[0])
