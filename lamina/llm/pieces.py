@@ -11,12 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from struct import pack
 
-import numpy as np
 from tokenizers import Tokenizer
 
-#: Entries after which a worker's memo starts again (about 100 MB).
-MEMO_LIMIT = 500_000
+#: Entries after which a worker's memo starts again (about 200 MB).
+MEMO_LIMIT = 1_000_000
 
 _ODD_SPACE = re.compile(r"[^\S \n]|  ")
 _CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -34,9 +34,15 @@ _BYTE_LETTERS = _byte_letters()
 
 
 def byte_letters(word: str) -> str:
+    if word.isascii() and word.isalpha():
+        return word
     return word.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
 
+def ids_bytes(ids: list[int]) -> bytes:
+    return pack(f"<{len(ids)}I", *ids)
+
+
 class Memo(dict):
     """piece -> what make(lead, piece) gives for it, for pieces that follow the same lead."""
 
@@ -59,14 +65,15 @@ class PieceIds:
         self.model = self.tokenizer.model
         #: A vocabulary with a word-end mark drops white space and case; the byte-level one keeps both.
         self.word_ends = bool(self.model.end_of_word_suffix)
+        self.lead_letter = byte_letters(" ")
         self.start, self.inner = Memo(self.piece, ""), Memo(self.piece, "" if self.word_ends else " ")
 
     def library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def piece(self, lead: str, piece: str) -> bytes:
         body, tail = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") else (piece, "")
-        if not (body.isalpha() and max(body) < "ɐ"):
+        if not (body.isalpha() and (body.isascii() or max(body) < "ɐ")):
             return self.library(lead + piece)
         if tail:
             return (self.inner if lead else self.start)[body] + self.start[tail]
@@ -74,7 +81,7 @@ class PieceIds:
             body = body.lower()
             if body != piece:
                 return self.start[body] if body.isalpha() else self.library(piece)
-        return np.array([t.id for t in self.model.tokenize(byte_letters(lead + body))], dtype="<u4").tobytes()
+        return ids_bytes([t.id for t in self.model.tokenize(self.lead_letter + byte_letters(body) if lead else byte_letters(body))])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
