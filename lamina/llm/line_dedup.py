@@ -5,11 +5,12 @@ of Jaccard similarity 0.8 or more. Words are lower-cased and split at white spac
 than MIN_WORDS different words always stay.
 
 Words are put in order of rarity by counts over all lines. Similar lines share one of their first
-n - ceil(0.8 n) + 1 words (the prefix), whose places and the lines' lengths bound the overlap that is
-still possible. Words of at most RARE lines are keys of their own. Lines that share no such word must
-share several of their next words, so these are joined on combinations of two or three: keys stay
-short lists however frequent single words are. Keys with many lines are compared in bounded blocks,
-in which nothing but removed lines comes out. Every candidate is verified on its words.
+n - ceil(0.8 n) + 1 words (the prefix). Words of at most RARE lines are keys of their own; lines that
+share no such word must share several of their next words, so these are joined on combinations of
+two or three, and keys stay short lists however frequent single words are. A line is suspect if
+another one under some key has a fitting length and a word bitmap so close that the similarity is
+possible; that join only says whether there is one, so groups of copies cost no pairs. Suspects are
+then verified on their words: pair by pair under small keys and in bounded blocks, from which nothing but removed lines comes out, under large ones.
 
 Nulls: a null text has no lines; a null doc_id comes first. Rows with equal doc_id and equal text are
 one document and keep the same lines; with other texts they are told apart. Empty lines stay.
@@ -17,6 +18,7 @@ one document and keep the same lines; with other texts they are told apart. Empt
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -25,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.scratch import stored
@@ -35,54 +37,78 @@ NUM, DEN = 4, 5
 MIN_WORDS = 5
 #: Counts are kept in this many cells, CELLS_A_ROW of them in a row on their way to be summed.
 CELLS, CELLS_A_ROW = 1 << 21, 1 << 11
-#: Words in at most so many lines are keys alone; keys of more than PAIRED lines go to blocks of BLOCK.
-RARE, PAIRED, BLOCK = 16, 48, 256
+#: Words in at most so many lines are keys alone; keys of more than PAIRED suspects go to blocks of BLOCK.
+RARE, PAIRED, BLOCK = 2048, 48, 256
 #: Ids up to which a set of lines is broadcast (about 50 MB).
 BROADCAST_IDS = 1_000_000
-MEMO_LIMIT = 500_000
+#: Documents and removed lines up to which the lists of removed lines are broadcast (about 50 MB).
+BROADCAST_DOCS, BROADCAST_LINES = 300_000, 5_000_000
+SEEN_LIMIT = 500_000
 
 ORD = ["doc_id", "doc_key", "line_no"]
+#: A line's identity: 48 bits of a hash with its number of words (up to 65,535), and a bitmap of its words.
+LINE = ["lid", "bits0", "bits1"]
+WORD_BYTES, MOST = 5, 0xFFFF
 
 
-class Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > MEMO_LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode())
-        return value
+def line_words(line: str) -> bytes:
+    """The different words of a line as sorted hashes of WORD_BYTES; empty for lines that always stay."""
+    words = {h & 0xFFFFFFFFFF for h in map(xxhash.xxh3_64_intdigest, line.split())}
+    return array("Q", sorted(words)).tobytes() if len(words) >= MIN_WORDS else b""
 
 
-_hashes = Hashes()
+def packed(words: np.ndarray) -> bytes:
+    return words.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
 
 
-def line_words(line: str) -> bytes:
-    """The different words of a line as sorted 64-bit hashes; empty for lines that always stay."""
-    words = set(map(_hashes.__getitem__, line.split()))
-    return np.array(sorted(words), dtype="<u8").tobytes() if len(words) >= MIN_WORDS else b""
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // WORD_BYTES, 8), dtype=np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, WORD_BYTES)
+    return out.reshape(-1).view("<u8")
+
+
+def identities(words: list[bytes]) -> np.ndarray:
+    """LINE of each line, as three columns of signed 64 bits."""
+    sizes = np.array([len(w) // 8 for w in words], dtype=np.int64)
+    flat, line = np.frombuffer(b"".join(words), dtype="<u8"), np.repeat(np.arange(len(words)), sizes)
+    bit = (flat >> np.uint64(24)) & np.uint64(127)
+    bits = np.zeros((len(words), 2), dtype=np.uint64)
+    np.bitwise_or.at(bits, (line, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    lid = (own & np.uint64(0xFFFFFFFFFFFF0000)) | np.minimum(sizes, MOST).astype(np.uint64)
+    return np.column_stack([lid, bits]).view(np.int64)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
+    seen: set[tuple] = set()
     for batch in batches:
-        rows: tuple[list, ...] = ([], [], [], [], [])
+        where: list[tuple] = []
+        words: list[bytes] = []
         for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             for no, line in enumerate((text or "").lower().split("\n")):
-                if words := line_words(line):
-                    line_id = xxhash.xxh3_128_digest(words)
-                    # words travel once per task; a bounded memory of what was sent is enough
-                    if len(seen) > MEMO_LIMIT:
-                        seen.clear()
-                    sent = line_id in seen
-                    seen.add(line_id)
-                    for column, value in zip(rows, (doc, key, no, line_id, None if sent else words), strict=True):
-                        column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], [*ORD, "line_id", "words"])
+                if own := line_words(line):
+                    where.append((doc, key, no))
+                    words.append(own)
+        if not words:
+            continue
+        ids = np.concatenate([identities(words[lo:lo + 20_000]) for lo in range(0, len(words), 20_000)])
+        sent = []
+        for own, line in zip(words, map(tuple, ids.tolist()), strict=True):
+            # words travel once per task; a bounded memory of what was sent is enough
+            sent.append(None if line in seen else packed(np.frombuffer(own, dtype="<u8")))
+            if len(seen) > SEEN_LIMIT:
+                seen.clear()
+            seen.add(line)
+        docs, keys, numbers = zip(*where, strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), *(pa.array(ids[:, k]) for k in range(3)), pa.array(sent, pa.binary())], [*ORD, *LINE, "words"]
+        )
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells = np.zeros(CELLS, dtype="<u4")
     for batch in batches:
-        words = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u8")
+        words = unpacked(b"".join(batch.column(0).to_pylist()))
         cells += np.bincount((words & (CELLS - 1)).astype(np.int64), minlength=CELLS).astype("<u4")
     parts = cells.reshape(-1, CELLS_A_ROW)
     used = np.flatnonzero(parts.any(axis=1))
@@ -129,8 +155,8 @@ def _mix(tokens: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
     return out
 
 
-def line_keys(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of lines given by their concatenated words: line number, key, place of a rare word in its line (-1 for others)."""
+def line_keys(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of lines given by their concatenated words: line number and key."""
     line = np.repeat(np.arange(len(sizes)), sizes)
     count = counts[(words & np.uint64(CELLS - 1)).astype(np.int64)]
     order = np.lexsort((words, count, line))
@@ -140,11 +166,13 @@ def line_keys(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple
     prefix = sizes - needed(sizes) + 1
     rare = count <= RARE
     alone = rare & (place < np.repeat(prefix, sizes)) & (count > 1)
-    out = [(line[alone], _mix(words[alone][:, None], 1), place[alone])]
+    out = [(line[alone], _mix(words[alone][:, None], 1))]
     n_rare = np.bincount(line, weights=rare, minlength=len(sizes)).astype(np.int64)
     left = prefix - n_rare  # places in the prefix that frequent words take
-    classes = np.floor(np.log(np.maximum(sizes, 1)) / np.log(DEN / NUM) + 1e-9).astype(np.int64)
-    ways = np.array([[k in {together(int(-(-NUM * n // DEN))), together(int(DEN * n // NUM)), together(int(n))} for k in (1, 2, 3)] for n in sizes.tolist()]).reshape(-1, 3)
+    # lines of different length may join words in different numbers: a line uses the numbers of all lengths that can be similar
+    ways = np.zeros((len(sizes), 3), dtype=bool)
+    for n in np.unique(sizes).tolist():
+        ways[sizes == n] = [k in {together(-(-NUM * n // DEN)), together(n), together(DEN * n // NUM)} for k in (1, 2, 3)]
     for k in (1, 2, 3):
         for r in np.unique(left[(left > 0) & ways[:, k - 1]]).tolist():
             mine = np.flatnonzero((left == r) & ways[:, k - 1])
@@ -153,19 +181,19 @@ def line_keys(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple
             step = max(1, 2_000_000 // (len(picks) * k))
             for part in (mine[lo:lo + step] for lo in range(0, len(mine), step)):
                 tokens = words[(first[part] + n_rare[part])[:, None] + np.arange(width)][:, picks]
-                for shift in (0, 1):  # lines of neighbouring length classes meet in the upper one
-                    keys = _mix(tokens, (2 + k + 4 * (classes[part] + shift))[:, None])
-                    out.append((np.repeat(part, len(picks)), keys.reshape(-1), np.full(keys.size, -1)))
+                out.append((np.repeat(part, len(picks)), _mix(tokens, 1 + k).reshape(-1)))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 4000):
-            ids, words = batch.column(0)[lo:lo + 4000], batch.column(1)[lo:lo + 4000].to_pylist()
-            sizes = np.array([len(w) // 8 for w in words], dtype=np.int64)
-            line, key, place = line_keys(np.frombuffer(b"".join(words), dtype="<u8"), sizes, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(line)), pa.array(sizes[line], pa.int32()), pa.array(place, pa.int32())], ["key", "line_id", "n", "place"])
+            part = batch.slice(lo, 4000)
+            words = part.column(3).to_pylist()
+            sizes = np.array([len(w) // WORD_BYTES for w in words], dtype=np.int64)
+            line, key = line_keys(unpacked(b"".join(words)), sizes, counts)
+            at = pa.array(line)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(part.column(k).take(at) for k in range(3))], ["key", *LINE])
 
 
 # ---------------------------------------------------------------- comparison
@@ -174,18 +202,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with both lines' words: keep the later line of each similar pair."""
     for batch in batches:
         keep = []
-        for k, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-            x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both * (NUM + DEN) >= NUM * (len(x) + len(y)):
+        for k, (a, b) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            x, y = unpacked(a), unpacked(b)
+            if len(np.intersect1d(x, y, assume_unique=True)) * (NUM + DEN) >= NUM * (len(x) + len(y)):
                 keep.append(k)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64()))], ["line_id"])
+        yield pa.RecordBatch.from_arrays([batch.column(n).take(pa.array(keep, pa.int64())) for n in range(3)], LINE)
 
 
 def similar_later(words: list[bytes], order: np.ndarray) -> np.ndarray:
     """Which of some lines have an earlier similar one among them."""
-    flat = np.frombuffer(b"".join(words), dtype="<u8")
-    sizes = np.array([len(w) // 8 for w in words], dtype=np.int64)
+    flat = unpacked(b"".join(words))
+    sizes = np.array([len(w) // WORD_BYTES for w in words], dtype=np.int64)
     _, column = np.unique(flat, return_inverse=True)
     table = np.zeros((len(words), int(column.max(initial=0)) + 1), dtype=np.float32)
     table[np.repeat(np.arange(len(words)), sizes), column] = 1
@@ -195,62 +222,72 @@ def similar_later(words: list[bytes], order: np.ndarray) -> np.ndarray:
 
 
 def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(ORD, na_position="first", kind="stable").drop_duplicates("line_id")
+    rows = rows.sort_values(ORD, na_position="first", kind="stable").drop_duplicates(LINE)
     later = similar_later(rows.words.tolist(), np.arange(len(rows)))
-    return rows.loc[later, ["line_id"]]
+    return rows.loc[later, LINE]
+
+
+def _possible(a: list, b: list):
+    """Whether two lines (LINE each) differ, and may yet be similar by their lengths and bitmaps."""
+    n, m = (x[0].bitwiseAND(F.lit(MOST)) for x in (a, b))
+    apart = sum(F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:], strict=True))
+    other = (a[0] != b[0]) | (a[1] != b[1]) | (a[2] != b[2])
+    # every word that only one line has can change one bit; beyond MOST the number of words is not known
+    close = (apart * (NUM + DEN) <= (n + m) * (DEN - NUM)) | (n == MOST) | (m == MOST)
+    return other & (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & close
 
 
 def later_lines(lines: DataFrame) -> DataFrame:
-    """lines (ORD, line_id, words) -> line_id of every set of words that is similar to another one that comes first."""
+    """lines (ORD, LINE, words) -> LINE of every set of words that is similar to another one that comes first."""
     counts = word_counts(lines)
-    firsts = stored(lines.groupBy("line_id").agg(F.min(F.struct(*ORD)).alias("first")), "firsts")
-    keyed = lines.where("words is not null").select("line_id", "words").mapInArrow(partial(_keys, counts=counts), "key long, line_id binary, n int, place int")
+    keyed = lines.where("words is not null").select(*LINE, "words").mapInArrow(partial(_keys, counts=counts), "key long, lid long, bits0 long, bits1 long")
     # a line sent by several tasks counts once for a key
-    rows = keyed.groupBy("key", "line_id").agg(F.first("n").alias("n"), F.min("place").alias("place"))
-    rows = stored(rows, "line-keys")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    shared = stored(rows.join(sizes, "key"), "shared-keys")
-    few = shared.where(F.col("held") <= PAIRED).select("key", "line_id", "n", "place")
-    other = few.select("key", F.col("line_id").alias("other_id"), F.col("n").alias("m"), F.col("place").alias("other_place"))
-    lengths = (F.col("n") * DEN >= F.col("m") * NUM) & (F.col("m") * DEN >= F.col("n") * NUM)
-    possible = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place")) * (NUM + DEN) >= (F.col("n") + F.col("m")) * NUM
-    pairs = few.join(other, "key").where(F.col("line_id") < F.col("other_id")).where(lengths & ((F.col("place") < 0) | (F.col("other_place") < 0) | possible))
-    pairs = stored(pairs.select("line_id", "other_id").distinct(), "line-pairs")
-    many = shared.where(F.col("held") > PAIRED).select("key", "line_id", "held")
-    wanted = pairs.select("line_id").union(pairs.select("other_id")).union(many.select("line_id")).distinct()
+    rows = keyed.repartition("key").dropDuplicates(["key", *LINE])
+    two = [f"{c}_2" for c in LINE]
+    other = rows.select(F.col("key").alias("key_2"), *(F.col(c).alias(d) for c, d in zip(LINE, two, strict=True)))
+    close = rows.join(other, (F.col("key") == F.col("key_2")) & _possible([F.col(c) for c in LINE], [F.col(c) for c in two]), "left_semi")
+    # rows of a key are together already, so that counting them moves nothing
+    held = stored(close.withColumn("held", F.count("*").over(Window.partitionBy("key"))), "suspects")
+    wanted = held.select(*LINE).distinct()
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = stored(
-        lines.where("words is not null").select("line_id", "words").join(wanted, "line_id", "left_semi").groupBy("line_id").agg(F.first("words").alias("words")).join(firsts, "line_id"), "line-words"
-    )
+    texts = stored(lines.join(wanted, LINE, "left_semi").groupBy(*LINE).agg(F.min(F.struct(*ORD)).alias("first"), F.max("words").alias("words")), "line-words")
     # small keys: pairs, each checked on its words
-    one = texts.select("line_id", F.col("words").alias("words_a"), F.col("first").alias("first_a"))
-    two = texts.select(F.col("line_id").alias("other_id"), F.col("words").alias("words_b"), F.col("first").alias("first_b"))
-    both = pairs.join(one, "line_id").join(two, "other_id")
-    later = F.when(F.col("first_a") > F.col("first_b"), F.col("line_id")).otherwise(F.col("other_id"))
-    found = both.select(later.alias("line_id"), "words_a", "words_b").mapInArrow(_verify, "line_id binary")
+    few = held.where(F.col("held") <= PAIRED).select("key", *LINE)
+    other = few.select("key", *(F.col(c).alias(d) for c, d in zip(LINE, two, strict=True)))
+    ordered = (F.col("lid") < F.col("lid_2")) | ((F.col("lid") == F.col("lid_2")) & (F.col("bits0") <= F.col("bits0_2")))
+    pairs = few.join(other, "key").where(ordered & _possible([F.col(c) for c in LINE], [F.col(c) for c in two])).select(*LINE, *two).distinct()
+    second = texts.select(*(F.col(c).alias(d) for c, d in zip(LINE, two, strict=True)), F.col("words").alias("words_2"), F.col("first").alias("first_2"))
+    both = pairs.join(texts, LINE).join(second, two)
+    is_later = F.col("first") > F.col("first_2")
+    found = both.select(*(F.when(is_later, F.col(c)).otherwise(F.col(d)).alias(c) for c, d in zip(LINE, two, strict=True)), "words", "words_2").mapInArrow(_verify, "lid long, bits0 long, bits1 long")
     # large keys: blocks of lines, every two blocks of a key in a group of their own
+    many = held.where(F.col("held") > PAIRED)
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    dealt = many.select("key", "line_id", F.pmod(F.xxhash64("line_id"), blocks).cast("int").alias("own"), blocks.alias("blocks"))
-    dealt = dealt.select("key", "line_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "line_id")
-    grouped = dealt.join(texts, "line_id").select("key", "i", "j", "line_id", "words", "first.*").groupBy("key", "i", "j").applyInPandas(_block, "line_id binary")
+    dealt = many.select("key", *LINE, F.pmod(F.xxhash64(*LINE), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), *LINE)
+    grouped = dealt.join(texts, LINE).select("key", "i", "j", *LINE, "words", "first.*").groupBy("key", "i", "j").applyInPandas(_block, "lid long, bits0 long, bits1 long")
     return found.unionByName(grouped).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, doc_key (content hash), removed: sorted numbers of the lines that go; only rows that lose some."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), F.col("text").cast("string").alias("text"))
-    lines = stored(rows.mapInArrow(_lines, "doc_id long, doc_key long, line_no int, line_id binary, words binary"), "lines")
-    later = stored(later_lines(lines), "later-lines").select("line_id", F.lit(True).alias("later"))
-    firsts = lines.groupBy("line_id").agg(F.min(F.struct(*ORD)).alias("first")).join(later, "line_id", "left").select("line_id", "first", F.coalesce("later", F.lit(False)).alias("later"))
-    gone = lines.select(*ORD, "line_id").join(firsts, "line_id").where(F.col("later") | ~F.struct(*ORD).eqNullSafe(F.col("first")))
+    lines = stored(rows.mapInArrow(_lines, "doc_id long, doc_key long, line_no int, lid long, bits0 long, bits1 long, words binary"), "lines")
+    later = stored(later_lines(lines), "later-lines").select(*LINE, F.lit(True).alias("later"))
+    held = lines.select(*ORD, *LINE)
+    firsts = held.groupBy(*LINE).agg(F.min(F.struct(*ORD)).alias("first"), F.count("*").alias("n")).join(later, LINE, "left").where("later or n > 1").select(*LINE, "first", F.coalesce("later", F.lit(False)).alias("later"))
+    gone = held.join(firsts, LINE).where(F.col("later") | ~F.struct(*ORD).eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """Every row and column of docs with `removed_line_nos` (empty: none)."""
     gone = stored(removed_lines(docs), "removed").select(F.col("doc_id").alias("gone_doc_id"), F.col("doc_key").alias("gone_doc_key"), F.col("removed").alias("removed_line_nos"))
+    # short lists go to where the texts lie; longer ones meet them in a shuffle
+    n_docs, n_lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("removed_line_nos")), F.lit(0))).first()
+    if n_docs <= BROADCAST_DOCS and n_lines <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_doc_id")) & (F.xxhash64("text") == F.col("gone_doc_key"))
     own = [F.col(f"`{c}`") for c in docs.columns]
     return docs.join(gone, on, "left").select(*own, F.coalesce("removed_line_nos", F.array().cast("array<int>")).alias("removed_line_nos"))
