@@ -22,14 +22,10 @@ def prune(value: Column, path: Sequence[str]) -> Column:
     """JSON text reduced to what lies at a path, in its objects; a missing key leaves the empty object, null stays null."""
     if not path:
         return F.when(value.isNotNull(), F.lit("{}"))
-    own = F.get_json_object(value, "$." + ".".join(path))
-    scalar = F.get_json_object(value, "$")
-    kind = F.schema_of_variant(F.try_parse_json(F.coalesce(F.get_json_object(value, "$." + ".".join(path)), F.lit("null"))))
-    text = F.when(kind == "STRING", F.to_json(F.array(own)).substr(F.lit(2), F.length(F.to_json(F.array(own))) - 2)).otherwise(own)
-    out = text
+    out = F.to_json(F.try_variant_get(F.try_parse_json(value), "$." + ".".join(path), "variant"))
     for key in reversed(path):
         out = F.concat(F.lit("{" + _escaped(key) + ":"), out, F.lit("}"))
-    return F.when(scalar.isNotNull(), F.coalesce(out, F.lit("{}")))
+    return F.when(value.isNotNull(), F.coalesce(out, F.lit("{}")))
 
 
 def set_field(df: DataFrame, column: str, path: Sequence[str], value: Column) -> Column:

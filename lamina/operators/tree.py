@@ -70,7 +70,7 @@ def nested(nodes: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
 
 def _leaf_value():
-    return F.when(F.col("meta").isNull(), F.lit("{}")).otherwise(F.coalesce(F.get_json_object("meta", "$.value"), F.col("meta")))
+    return F.when(F.col("meta").isNull(), F.lit("{}")).otherwise(F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json("meta"), "$.value", "variant")), F.col("meta")))
 
 
 def merkle(edges: DataFrame, leaves: DataFrame, max_levels: int = 100) -> DataFrame:
