@@ -43,7 +43,7 @@ RARE, PAIRED, BLOCK = 2048, 48, 256
 BROADCAST_IDS = 1_000_000
 #: Documents and removed lines up to which the lists of removed lines are broadcast (about 50 MB).
 BROADCAST_DOCS, BROADCAST_LINES = 300_000, 5_000_000
-SEEN_LIMIT = 500_000
+SEEN_LIMIT = 100_000
 
 ORD = ["doc_id", "doc_key", "line_no"]
 #: A line's identity: 48 bits of a hash with its number of words (up to 65,535), and a bitmap of its words.

@@ -29,7 +29,7 @@ MAX_ROWS, MAX_FEATURES, BEGINNINGS = 20_000, 50_000, (4, 6)
 PRIOR, LEAST_Z, DRIFT = 25.0, 4.0, 0.25
 #: A passage is significant below this E-value.
 SIGNIFICANT = 0.05
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 150_000
 
 _WORD = re.compile(r"[^\W_]+")
 
