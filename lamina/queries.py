@@ -20,7 +20,7 @@ from lamina.streaming import sync
 
 def millis() -> SparkColumn:
     """Milliseconds of an event, whatever the session's time zone."""
-    return F.expr("timestampdiff(millis()ECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
 
 
 Query = Callable[[SparkSession, str], DataFrame]
