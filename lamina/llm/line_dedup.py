@@ -2,7 +2,8 @@
 
 A line is removed if an earlier line (by doc_id, then line number) has the same set of words, or one
 of Jaccard similarity 0.8 or more. Words are lower-cased and split at white space; lines of fewer
-than MIN_WORDS different words always stay.
+than min_words different words always stay. The registered queries take in every line with a word.
+Lines of fewer than KEYED words are similar to equal sets alone, which are found without keys.
 
 Words are put in order of rarity by counts over all lines. Similar lines share one of their first
 n - ceil(0.8 n) + 1 words (the prefix). Words of at most RARE lines are keys of their own; lines that
@@ -34,7 +35,10 @@ from lamina.llm.scratch import stored
 
 #: Least Jaccard similarity, as a fraction.
 NUM, DEN = 4, 5
+#: Words that a line must have, unless the caller says otherwise.
 MIN_WORDS = 5
+#: Words from which on a line can be similar to one of other words: there a line of one word more can hold them all.
+KEYED = NUM // (DEN - NUM)
 #: Counts are kept in this many cells, CELLS_A_ROW of them in a row on their way to be summed.
 CELLS, CELLS_A_ROW = 1 << 21, 1 << 11
 #: Words in at most so many lines are keys alone; keys of more than PAIRED suspects go to blocks of BLOCK.
@@ -51,10 +55,10 @@ LINE = ["lid", "bits0", "bits1"]
 WORD_BYTES, MOST = 5, 0xFFFF
 
 
-def line_words(line: str) -> bytes:
+def line_words(line: str, min_words: int = MIN_WORDS) -> bytes:
     """The different words of a line as sorted hashes of WORD_BYTES; empty for lines that always stay."""
     words = {h & 0xFFFFFFFFFF for h in map(xxhash.xxh3_64_intdigest, line.split())}
-    return array("Q", sorted(words)).tobytes() if len(words) >= MIN_WORDS else b""
+    return array("Q", sorted(words)).tobytes() if len(words) >= min_words else b""
 
 
 def packed(words: np.ndarray) -> bytes:
@@ -79,14 +83,14 @@ def identities(words: list[bytes]) -> np.ndarray:
     return np.column_stack([lid, bits]).view(np.int64)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     seen: set[tuple] = set()
     for batch in batches:
         where: list[tuple] = []
         words: list[bytes] = []
         for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             for no, line in enumerate((text or "").lower().split("\n")):
-                if own := line_words(line):
+                if own := line_words(line, min_words):
                     where.append((doc, key, no))
                     words.append(own)
         if not words:
@@ -94,6 +98,10 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([identities(words[lo:lo + 20_000]) for lo in range(0, len(words), 20_000)])
         sent = []
         for own, line in zip(words, map(tuple, ids.tolist()), strict=True):
+            if len(own) < 8 * KEYED:
+                # equal lines have equal ids, so no words are needed
+                sent.append(None)
+                continue
             # words travel once per task; a bounded memory of what was sent is enough
             sent.append(None if line in seen else packed(np.frombuffer(own, dtype="<u8")))
             if len(seen) > SEEN_LIMIT:
@@ -270,10 +278,10 @@ def later_lines(lines: DataFrame) -> DataFrame:
     return found.unionByName(grouped).distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, doc_key (content hash), removed: sorted numbers of the lines that go; only rows that lose some."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), F.col("text").cast("string").alias("text"))
-    lines = stored(rows.mapInArrow(_lines, "doc_id long, doc_key long, line_no int, lid long, bits0 long, bits1 long, words binary"), "lines")
+    lines = stored(rows.mapInArrow(partial(_lines, min_words=min_words), "doc_id long, doc_key long, line_no int, lid long, bits0 long, bits1 long, words binary"), "lines")
     later = stored(later_lines(lines), "later-lines").select(*LINE, F.lit(True).alias("later"))
     held = lines.select(*ORD, *LINE)
     firsts = held.groupBy(*LINE).agg(F.min(F.struct(*ORD)).alias("first"), F.count("*").alias("n")).join(later, LINE, "left").where("later or n > 1").select(*LINE, "first", F.coalesce("later", F.lit(False)).alias("later"))
@@ -281,9 +289,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row and column of docs with `removed_line_nos` (empty: none)."""
-    gone = stored(removed_lines(docs), "removed").select(F.col("doc_id").alias("gone_doc_id"), F.col("doc_key").alias("gone_doc_key"), F.col("removed").alias("removed_line_nos"))
+    gone = stored(removed_lines(docs, min_words), "removed").select(F.col("doc_id").alias("gone_doc_id"), F.col("doc_key").alias("gone_doc_key"), F.col("removed").alias("removed_line_nos"))
     # short lists go to where the texts lie; longer ones meet them in a shuffle
     n_docs, n_lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("removed_line_nos")), F.lit(0))).first()
     if n_docs <= BROADCAST_DOCS and n_lines <= BROADCAST_LINES:
@@ -293,8 +301,8 @@ def judged(docs: DataFrame) -> DataFrame:
     return docs.join(gone, on, "left").select(*own, F.coalesce("removed_line_nos", F.array().cast("array<int>")).alias("removed_line_nos"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without repeated lines: the columns of docs, with `text` rebuilt from the lines that stay."""
     kept = F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains("removed_line_nos", k))
     text = F.when(F.size("removed_line_nos") > 0, F.concat_ws("\n", kept)).otherwise(F.col("text"))
-    return judged(docs).withColumn("text", text).select(*(f"`{c}`" for c in docs.columns))
+    return judged(docs, min_words).withColumn("text", text).select(*(f"`{c}`" for c in docs.columns))

@@ -410,6 +410,39 @@ def test_line_dedup_rebuilds_texts(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: rows[0][1], 2: "start\nkeep me", 3: None, 4: ""}
 
 
+def removed_of_any_length(rows):
+    """Every line that has a word, whatever its length."""
+    first, lines, out = {}, [], defaultdict(list)
+    for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines += [((doc, text), no, own) for no, line in enumerate((text or "").lower().split("\n")) if (own := frozenset(line.split()))]
+    distinct = list(dict.fromkeys(own for _, _, own in lines))
+    later = {own for k, own in enumerate(distinct) if any(5 * len(own & other) >= 4 * len(own | other) for other in distinct[:k])}
+    for doc, no, own in lines:
+        if own in later or own in first:
+            out[doc].append(no)
+        first[own] = True
+    return Counter((d[0], ",".join(map(str, numbers))) for d, numbers in out.items())
+
+
+SHORT = [
+    (1, "one\none two\none two three\none two three four\n\n \nbeta gamma delta eps zeta"), (2, "ONE\ntwo one\nthree two one\none two four five\nfour three two one\nadd one two three four"), (3, "one one one\none three\ngamma delta eps zeta\nspam spam eggs spam\nx"),
+    (4, "eggs spam\none two three five\ny\nbeta gamma delta"), (5, "x\ny\nalpha beta gamma delta eps zeta"), (6, None), (7, "one\none\none two three four five"),
+]
+
+
+@pytest.mark.parametrize(("paired", "rare"), [(48, 2048), (48, 1), (1, 1)])
+def test_short_lines_go(spark, monkeypatch, paired, rare):
+    monkeypatch.setattr(line_dedup, "PAIRED", paired)
+    monkeypatch.setattr(line_dedup, "RARE", rare)
+    docs = spark.createDataFrame(SHORT, "doc_id long, text string")
+    assert Counter((r.doc_id, ",".join(map(str, r.removed))) for r in line_dedup.removed_lines(docs, min_words=1).collect()) == removed_of_any_length(SHORT)
+
+
+def test_line_dedup_query_takes_every_line(spark, sf_dir, texts):
+    got = Counter((r.doc_id, r.removed) for r in QUERIES["op10_line_dedup"](spark, sf_dir).where("n_removed > 0").collect())
+    assert got == removed_of_any_length(texts)
+
+
 # ---------------------------------------------------------------- all of them
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
