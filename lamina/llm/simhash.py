@@ -52,13 +52,13 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+        prints = np.array([fingerprint(x.as_py()) for x in batch.column(2)], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], ["doc_id", "doc_key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, fp (64 bits as a long)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """docs (doc_id, text) -> doc_id, doc_key (content hash), fp (64 bits as a long)."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("doc_key"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, doc_key long, fp long")
 
 
 def pivots() -> list[list[int]]:
@@ -110,21 +110,28 @@ def links(prints: DataFrame) -> DataFrame:
     return paired.select(F.col("fp").alias("a"), F.col("fp2").alias("b")).unionByName(tied.select(F.col("fp").alias("a"), F.col("low").alias("b")))
 
 
+def rooted(nodes: DataFrame) -> DataFrame:
+    """nodes (fp, ...), one row for each fingerprint, with `root`: the least fingerprint that links reach."""
+    roots = components(links(nodes.select("fp")))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, fp, component_id (least doc_id that links reach)."""
-    rows = stored(fingerprints(docs), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = stored(rooted.join(ids, "root").select("fp", "component_id"), "components")
+    rows = stored(fingerprints(docs).select("doc_id", "fp"), "fingerprints")
+    nodes = rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    ids = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = stored(nodes.join(ids, "root").select("fp", "component_id"), "components")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one of the least doc_id. Rows without a doc_id are told apart by their text."""
-    own = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.shiftright(F.xxhash64("text"), 1)) - 1)
-    rows = docs.withColumn("lamina_row", own)
-    found = near_duplicates(rows.select(F.col("lamina_row").alias("doc_id"), "text"))
-    kept = stored(found.where("doc_id = component_id").select(F.col("doc_id").alias("lamina_row")).distinct(), "kept")
-    return rows.join(kept, "lamina_row", "left_semi").dropDuplicates(["lamina_row"]).select(*(f"`{c}`" for c in docs.columns))
+    """docs with one row of each component: the one of the least doc_id (null first) and, among its texts, the least content hash."""
+    prints = stored(fingerprints(docs), "fingerprints")
+    nodes = rooted(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "doc_key")).alias("low")))
+    kept = stored(nodes.groupBy("root").agg(F.min("low").alias("low")).select("low.*"), "kept")
+    # two columns for an id that may be null, so that the join and what follows it share their keys
+    keys = lambda doc_key: {"lamina_none": F.col("doc_id").isNull(), "lamina_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "lamina_key": doc_key}
+    rows, kept = docs.withColumns(keys(F.xxhash64("text"))), kept.withColumns(keys(F.col("doc_key")))
+    on = ["lamina_none", "lamina_id", "lamina_key"]
+    return rows.join(kept.select(*on), on, "left_semi").dropDuplicates(on).select(*(f"`{c}`" for c in docs.columns))

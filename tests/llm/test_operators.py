@@ -282,6 +282,17 @@ def test_one_of_each(awkward):
     assert ids.count(12) <= 1 and None in ids and 0 in ids and 1 not in ids
 
 
+def test_one_of_each_tells_texts_of_one_id_apart(spark):
+    """One doc_id on unrelated texts and on a near copy, a repeated row, and rows without an id."""
+    far = [" ".join(f"{k}w{n}x{n * k}" for n in range(40)) for k in range(8)]
+    copy = far[0].upper()
+    assert simhash_of(copy) == simhash_of(far[0]) and len({simhash_of(t) for t in far}) == 8
+    rows = [(7, far[0]), (7, far[1]), (7, far[1]), (7, far[2]), (7, copy), (9, copy), (9, far[3]), (3, far[4]), (7, far[4].upper()), (None, far[5]), (None, far[6]), (2, far[6].upper()), (7, far[7])]
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(t.lower() for _, t in kept) == sorted(t.lower() for t in far)
+    assert {(3, far[4]), (None, far[6]), (9, far[3]), (7, far[1]), (7, far[2]), (7, far[7])} < set(kept)
+
+
 # ---------------------------------------------------------------- quality, toxicity
 
 def test_quality_counts(spark, awkward, real, texts):
