@@ -1,7 +1,9 @@
 """Operator 3: toxicity by maximum-scoring segments.
 
 Words and their beginnings get log-odds of toxic against other labelled documents, smoothed by a
-Dirichlet prior in the proportions of both together. A linear-time scan finds all maximal segments
+Dirichlet prior in the proportions of both together and shrunk by how likely it is that chance alone
+parts the word so: a likelihood ratio against as many words as were looked at, without a bound below
+which words are thrown out. A linear-time scan finds all maximal segments
 of a text's word scores. Scores of segments are calibrated as extreme values: with lambda and K of
 the background, -ln(E) = lambda * S - ln(K * n) for a text of n words. A logistic curve over that and
 the number of significant passages gives the score.
@@ -23,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.scratch import stored
+
 #: Bounds of the fit: labelled rows, features of the model; beginnings of words that count as tokens.
 MAX_ROWS, MAX_FEATURES, BEGINNINGS = 20_000, 50_000, (4, 6)
-#: Prior weight in documents, least z of a feature, and what every word costs a segment.
-PRIOR, LEAST_Z, DRIFT = 25.0, 4.0, 0.25
+#: Prior weight in documents, and what every word costs a segment.
+PRIOR, DRIFT = 25.0, 0.25
+#: Decimals of a score; what rounds to nothing scores nothing.
+DECIMALS = 2
 #: A passage is significant below this E-value.
 SIGNIFICANT = 0.05
 MEMO_LIMIT = 150_000
@@ -104,7 +110,7 @@ def _measure(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Reco
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             n, found = segments_of(text.as_py(), scores)
             own = [scores[w] for w in tokens(text.as_py())] if not toxic else []
-            rows.append((toxic, n, sorted((s for _, _, s in found), reverse=True)[:20], sum(own), [x for x in own if x > -DRIFT]))
+            rows.append((toxic, n, sorted((s for _, _, s in found), reverse=True), sum(own), [x for x in own if x > -DRIFT]))
         kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["toxic", "n", "segments", "total", "scored"])
 
@@ -158,14 +164,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     n = dict(rows.groupBy("toxic").count().collect())
     if not (n.get(0) and n.get(1)):
         return None
-    counted = rows.mapInArrow(_count_features, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
+    counted = stored(rows.mapInArrow(_count_features, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3"), "features")
     share = (F.col("n0") + F.col("n1") + 1) / (n[0] + n[1] + 2)
     a, b = PRIOR * share, PRIOR * (1 - share)
     odds = lambda y, total: F.log((F.col(y) + a) / (total - F.col(y) + b))
     delta = odds("n1", n[1]) - odds("n0", n[0])
-    z = delta / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-    top = counted.select("feature", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "feature").limit(MAX_FEATURES).collect()
-    model = {r.feature: (float(r.delta), float(r.z)) for r in top}
+    # the root of the likelihood ratio, which holds for words that one side never has; Wald's z is small for just these
+    both = (F.col("n0") + F.col("n1")) / (n[0] + n[1])
+    part = lambda y, total, p: F.when(y > 0, y * F.log(y / (total * p))).otherwise(0.0)
+    ratio = sum((part(F.col(y), n[k], both) + part(n[k] - F.col(y), n[k], 1 - both) for k, y in enumerate(("n0", "n1"))), F.lit(0.0))
+    z = F.signum(delta) * F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))
+    score = F.round(delta / (1 + counted.count() * F.exp(-z * z / 2)), DECIMALS)
+    top = counted.select("feature", score.alias("score"), z.alias("z")).where("score <> 0").orderBy(F.desc(F.abs("z")), "feature").limit(MAX_FEATURES).collect()
+    model = {r.feature: (float(r.score), float(r.z)) for r in top}
     few = rows.mapInArrow(partial(_measure, model=model), "toxic int, n long, segments array<double>, total double, scored array<double>").toPandas()
     clean = few[few.toxic == 0]
     scored = np.concatenate([np.asarray(x, dtype=float) for x in clean.scored] or [np.zeros(0)])

@@ -352,6 +352,16 @@ def test_toxicity_of_awkward_rows(spark, awkward):
     assert toxicity.toxicity(awkward, labels.limit(0)).where("score <> 0").count() == 0
 
 
+def test_toxic_rows_are_found_on_few_labels(spark, sf_dir, larger):
+    """Recall of toxic rows, on 10 labelled ones and on 45; a word that no clean row holds must count."""
+    for where, least in ((sf_dir, 0.5), (larger, 0.6)):
+        rows = QUERIES["op3_toxicity"](spark, where).join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id").collect()
+        toxic, other = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+        assert sum(r.predicted for r in toxic) >= least * len(toxic) and sum(r.predicted for r in other) <= 0.02 * len(other)
+    words = toxicity.fit(spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet"))["features"]
+    assert min(words[w][0] for w in ("stupid", "disgusting", "clown", "trash")) > 1
+
+
 def test_maximal_segments():
     assert toxicity.maximal_segments([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 1, 4), (2, 3, 3), (4, 11, 7)]
     assert toxicity.maximal_segments([-1, -2]) == [] and toxicity.maximal_segments([]) == []
