@@ -57,28 +57,32 @@ def where_on_references(store: Store, table: str, where: Mapping[str, object]) -
     rows, config = store.table(table), store.config(table)
     own = {c: v for c, v in where.items() if c in rows.columns}
     rows = rows.where(all_equal(own)) if own else rows
-    per_ref: dict[str, dict[str, object]] = {}
+    per_ref: dict[tuple[str, ...], dict[str, object]] = {}
     for name, value in where.items():
         if name in own:
             continue
         at = [c for c, r in config.references.items() if (name.split(".")[0] == r.table if "." in name else name in store.table(r.table).columns)]
         if not at:
             raise KeyError(f"{name!r} is no column of {table!r} or of what it refers to")
-        per_ref.setdefault(at[0], {})[name.split(".")[-1]] = value
-    for column, values in per_ref.items():
-        ref = config.references[column]
-        keys = store.table(ref.table).where(all_equal(values)).select(F.col(ref.key).alias("lamina_ref"))
-        if isinstance(rows.schema[column].dataType, T.ArrayType):
-            rows = _semi_on_array(rows, config.id, column, keys)
+        # all columns that refer to the table count, whichever of them holds the row
+        per_ref.setdefault(tuple(c for c in at if config.references[c].table == config.references[at[0]].table), {})[name.split(".")[-1]] = value
+    for columns, values in per_ref.items():
+        found = store.table(config.references[columns[0]].table).where(all_equal(values))
+        keys = {c: found.select(F.col(config.references[c].key).alias("lamina_ref")) for c in columns}
+        if len(columns) == 1 and not isinstance(rows.schema[columns[0]].dataType, T.ArrayType):
+            rows = rows.join(keys[columns[0]], F.col(columns[0]) == F.col("lamina_ref"), "left_semi")
         else:
-            rows = rows.join(keys, F.col(column) == F.col("lamina_ref"), "left_semi")
+            rows = _semi_on_any(rows, config.id, keys)
     return rows
 
 
-def _semi_on_array(rows: DataFrame, id_: str, column: str, keys: DataFrame) -> DataFrame:
-    """Rows with any of keys in an array column: an equi-join on its elements, not a scan of all pairs."""
-    hits = rows.select(F.col(id_).alias("lamina_id"), F.explode(ref_values(rows, column)).alias("lamina_ref")).join(keys, "lamina_ref", "left_semi").select("lamina_id").distinct()
-    return rows.join(hits, F.col(id_) == F.col("lamina_id"), "left_semi")
+def _semi_on_any(rows: DataFrame, id_: str, keys: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows with any of a column's keys in one of the columns: equi-joins on elements, not a scan of all pairs."""
+    hits = None
+    for column, of_column in keys.items():
+        own = rows.select(F.col(id_).alias("lamina_id"), F.explode(ref_values(rows, column)).alias("lamina_ref")).join(of_column, "lamina_ref", "left_semi").select("lamina_id")
+        hits = own if hits is None else hits.union(own)
+    return rows.join(hits.distinct(), F.col(id_) == F.col("lamina_id"), "left_semi")
 
 
 def overlapping(rows: DataFrame, key: str, members: DataFrame, slices: list[str]) -> DataFrame:
@@ -228,6 +232,8 @@ def _hop(store: Store, parent: str, child: str, through: str | None) -> Hop:
     back: dict[str, Reference] = {c: r for c, r in store.config(child).references.items() if r.table == parent and (through is None or c == through)}
     if not back:
         raise ValueError(f"no reference leads from {parent!r} to {child!r}")
+    if len(back) > 1:
+        raise ValueError(f"{child!r} refers to {parent!r} by several columns: choose one with through")
     column, ref = next(iter(back.items()))
     return Hop((ref.key,), column)
 

@@ -158,6 +158,18 @@ def test_where_on_references_and_slices(spark):
         traverse.get(store, "/dims/dims")
 
 
+def test_where_on_any_column_that_refers_to_a_table(spark):
+    store = Store(spark)
+    store.create_table(TableConfig("people", "components", (Column("city"),)), spark.createDataFrame([("p0", "Rome"), ("p1", "Oslo"), ("p2", "Oslo")], "_hash string, city string"))
+    columns = (Column("billing", "string", Reference("people")), Column("shipping", "string", Reference("people")))
+    store.create_table(TableConfig("orders", "components", columns), spark.createDataFrame([("o0", "p0", "p0"), ("o1", "p1", "p0"), ("o2", "p0", "p2"), ("o3", None, "p1"), ("o4", "p1", "p1")], "_hash string, billing string, shipping string"))
+    assert sorted(r["_hash"] for r in traverse.where_on_references(store, "orders", {"city": "Oslo"}).collect()) == ["o1", "o2", "o3", "o4"]
+    assert sorted(r["_hash"] for r in traverse.where_on_references(store, "orders", {"people.city": "Rome"}).collect()) == ["o0", "o1", "o2"]
+    with pytest.raises(ValueError, match="several columns"):
+        traverse.get(store, "/people/orders")
+    assert {r["_hash"] for r in traverse.get(store, "/people@p2/orders", through={"orders": "shipping"}).last.collect()} == {"o2"}
+
+
 def test_history_forks(spark):
     kinds = "timeId string, ref string, previous array<string>"
     forked = spark.createDataFrame([("1:a", "A", []), ("2:b", "B", ["1:a"]), ("3:c", "C", ["1:a"])], kinds)
