@@ -47,13 +47,16 @@ def set_key(value: Column, key: str, new: Column) -> Column:
 
 def merge_by_path(values: DataFrame, path: str = "path", arrays: Sequence[str] = (), maps: Sequence[str] = (), order: str = "ord") -> DataFrame:
     """Values of equal path merged: arrays are joined in order, maps laid over one another, the last winning."""
-    out = []
-    for name in arrays:
-        out.append(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, name))), _field(name))).alias(name))
+    joined = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, name))), _field(name))).alias(name) for name in arrays]
+    parts = [values.groupBy(path).agg(*joined)] if joined or not maps else []
     for name in maps:
-        kind = values.schema[name].dataType.simpleString()
-        held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.map_entries(name).alias("e"))))
-        empty = F.map_from_entries(F.array().cast(f"array<struct<key:{kind[4:-1].split(',', 1)[0]},value:{kind[4:-1].split(',', 1)[1]}>>"))
-        over = lambda a, x: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(F.map_from_entries(x["e"]), k)), F.map_from_entries(x["e"]))
-        out.append(F.aggregate(held, empty, over).alias(name))
-    return values.groupBy(path).agg(*out)
+        # the last value of each key is found before maps are built, so a path costs its different keys and not all its rows
+        entries = values.select(path, order, F.explode_outer(F.map_entries(name)).alias("e"))
+        last = entries.groupBy(path, F.col("e.key").alias("k")).agg(F.max(F.struct(F.col(order).alias("o"), F.col("e.value").alias("v"))).alias("at"))
+        held = F.collect_list(F.when(F.col("k").isNotNull(), F.struct(F.col("k").alias("key"), F.col("at.v").alias("value"))))
+        parts.append(last.groupBy(path).agg(F.map_from_entries(held).alias(name)))
+    out = parts[0]
+    for n, part in enumerate(parts[1:]):
+        right = part.withColumnRenamed(path, f"lamina_path_{n}")
+        out = out.join(right, F.col(path).eqNullSafe(F.col(f"lamina_path_{n}"))).drop(f"lamina_path_{n}")
+    return out

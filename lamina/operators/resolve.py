@@ -25,7 +25,7 @@ def chains(rows: DataFrame, key: str = "_hash", base: str = "base", roots: DataF
               SELECT member, member, base, 0 FROM {{start}}
               UNION ALL
               SELECT c.root, l.member, l.base, c.depth + 1 FROM chain c JOIN {{links}} l ON c.base = l.member)
-            SELECT root, member, depth FROM chain""",
+            SELECT root, member, depth FROM chain LIMIT ALL""",
         start=start,
         links=links,
     )
