@@ -2,141 +2,213 @@
 
 A line is removed if an earlier line (by doc_id, then line number) has the same set of words, or one
 of Jaccard similarity 0.8 or more. Words are lower-cased and split at white space; lines of fewer
-than min_words different words always stay. The registered queries take in every line with a word.
-Lines of fewer than KEYED words are similar to equal sets alone, which are found without keys.
+than min_words different words always stay. Lines of fewer than KEYED words are similar to equal sets
+alone, which are found without keys.
 
 Words are put in order of rarity by counts over all lines. Similar lines share one of their first
 n - ceil(0.8 n) + 1 words (the prefix). Words of at most RARE lines are keys of their own; lines that
 share no such word must share several of their next words, so these are joined on combinations of
-two or three, and keys stay short lists however frequent single words are. A line is suspect if
-another one under some key has a fitting length and a word bitmap so close that the similarity is
-possible; that join only says whether there is one, so groups of copies cost no pairs. Suspects are
-then verified on their words: pair by pair under small keys and in bounded blocks, from which nothing but removed lines comes out, under large ones.
+two or three, and keys stay short lists however frequent single words are. Under a key, two lines are
+compared by length, by position (the first word that they share must leave room for the overlap that
+their two lengths demand) and by a parity sketch of their words, whose bits differ in no more places
+than the words do. Each line keeps its CANDIDATES closest earlier lines; these are verified on the
+words, the closest first, the others only if that one was not similar.
+
+Hot keys: a key with many lines in one chunk is dealt over salted groups, and a group is worked in
+pieces of PIECE lines, so that groups of near copies cost no pairs. What was not compared with all of
+its key, or had more candidates than it kept, and was not found similar, is looked up again under all
+of its keys (`looked_up`); so nothing is lost to these bounds.
 
 Nulls: a null text has no lines; a null doc_id comes first. Rows with equal doc_id and equal text are
-one document and keep the same lines; with other texts they are told apart. Empty lines stay.
+one document and keep the same lines; with other texts they are told apart. Empty lines stay. An
+empty table loses nothing. Columns of docs may have any names.
 """
 
 from __future__ import annotations
 
-from array import array
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.scratch import stored
 
 #: Least Jaccard similarity, as a fraction.
 NUM, DEN = 4, 5
-#: Words that a line must have, unless the caller says otherwise.
-MIN_WORDS = 5
 #: Words from which on a line can be similar to one of other words: there a line of one word more can hold them all.
 KEYED = NUM // (DEN - NUM)
-#: Counts are kept in this many cells, CELLS_A_ROW of them in a row on their way to be summed.
-CELLS, CELLS_A_ROW = 1 << 21, 1 << 11
-#: Words in at most so many lines are keys alone; keys of more than PAIRED suspects go to blocks of BLOCK.
-RARE, PAIRED, BLOCK = 2048, 48, 256
-#: Ids up to which a set of lines is broadcast (about 50 MB).
-BROADCAST_IDS = 1_000_000
+#: Counts are kept in a power of two of cells between these bounds (16 to 128 MB), one for BYTES_A_CELL of text, CELLS_A_ROW of them in a row on their way to be summed.
+LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, CELLS_A_ROW = 1 << 21, 1 << 24, 256, 1 << 11
+#: Words in at most so many lines are keys alone.
+RARE = 2048
+#: Candidates that a line keeps under a key, lines of a key that are compared at once, and lines of a chunk from which on a key is dealt over salted groups.
+CANDIDATES, PIECE, SALTED = 8, 8192, 256
+#: Ids up to which a set of lines is sent to the tasks (16 MB); a larger one is joined.
+SENT_IDS = 2_000_000
 #: Documents and removed lines up to which the lists of removed lines are broadcast (about 50 MB).
 BROADCAST_DOCS, BROADCAST_LINES = 300_000, 5_000_000
-SEEN_LIMIT = 100_000
+#: Bytes of text worked at once, rows of keys worked at once, lines that a task remembers as sent.
+CHUNK, BAG, SEEN_LIMIT = 1 << 21, 200_000, 1_000_000
 
 ORD = ["doc_id", "doc_key", "line_no"]
-#: A line's identity: 48 bits of a hash with its number of words (up to 65,535), and a bitmap of its words.
-LINE = ["lid", "bits0", "bits1"]
-WORD_BYTES, MOST = 5, 0xFFFF
-
-
-def line_words(line: str, min_words: int = MIN_WORDS) -> bytes:
-    """The different words of a line as sorted hashes of WORD_BYTES; empty for lines that always stay."""
-    words = {h & 0xFFFFFFFFFF for h in map(xxhash.xxh3_64_intdigest, line.split())}
-    return array("Q", sorted(words)).tobytes() if len(words) >= min_words else b""
-
-
-def packed(words: np.ndarray) -> bytes:
-    return words.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // WORD_BYTES, 8), dtype=np.uint8)
-    out[:, :WORD_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, WORD_BYTES)
-    return out.reshape(-1).view("<u8")
-
-
-def identities(words: list[bytes]) -> np.ndarray:
-    """LINE of each line, as three columns of signed 64 bits."""
-    sizes = np.array([len(w) // 8 for w in words], dtype=np.int64)
-    flat, line = np.frombuffer(b"".join(words), dtype="<u8"), np.repeat(np.arange(len(words)), sizes)
-    bit = (flat >> np.uint64(24)) & np.uint64(127)
-    bits = np.zeros((len(words), 2), dtype=np.uint64)
-    np.bitwise_or.at(bits, (line, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    lid = (own & np.uint64(0xFFFFFFFFFFFF0000)) | np.minimum(sizes, MOST).astype(np.uint64)
-    return np.column_stack([lid, bits]).view(np.int64)
+#: A line's identity: two sums of 64 bits over its words.
+LINE = ["lid", "lid2"]
+#: Low bits of a key: the part flag, the place of the key's first word and the number of words, the last two up to a bound.
+PLACE_BITS, SIZE_BITS = 8, 10
+MOST_PLACE, MOST_SIZE, KEY_SHIFT = (1 << PLACE_BITS) - 1, (1 << SIZE_BITS) - 1, 1 + PLACE_BITS + SIZE_BITS
+#: Bits of the parity sketch; the rest of its long says how early the line is.
+SKETCH_BITS, EARLY_BITS = 56, 8
+
+_ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[*range(9, 14), *range(28, 33)]] = True
+_M1, _M2, _M3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+LONG_WORD = 256
+
+
+# ---------------------------------------------------------------- words of lines
+
+def mixed(x: np.ndarray, salt: np.uint64) -> np.ndarray:
+    x = (x + salt) * _M1
+    x = (x ^ (x >> np.uint64(32))) * _M3
+    return x ^ (x >> np.uint64(29))
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, eight bytes of all of them at a time. buf ends with eight bytes more than it has."""
+    eight = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
+    out = mixed(sizes.astype(np.uint64), _M2)
+    live, done = np.arange(len(starts)), 0
+    while len(live):
+        left = np.minimum(sizes[live] - done, 8)
+        out[live] = mixed(out[live] ^ (eight[starts[live] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left.astype(np.uint64)))), _M2)
+        done += 8
+        live = live[sizes[live] > done]
+        if done >= LONG_WORD:
+            for k in live.tolist():
+                out[k] = xxhash.xxh3_64_intdigest(buf[starts[k]:starts[k] + sizes[k]].tobytes())
+            break
+    return out
 
 
-def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    seen: set[tuple] = set()
-    for batch in batches:
-        where: list[tuple] = []
-        words: list[bytes] = []
-        for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            for no, line in enumerate((text or "").lower().split("\n")):
-                if own := line_words(line, min_words):
-                    where.append((doc, key, no))
-                    words.append(own)
-        if not words:
-            continue
-        ids = np.concatenate([identities(words[lo:lo + 20_000]) for lo in range(0, len(words), 20_000)])
-        sent = []
-        for own, line in zip(words, map(tuple, ids.tolist()), strict=True):
-            if len(own) < 8 * KEYED:
-                # equal lines have equal ids, so no words are needed
-                sent.append(None)
-                continue
-            # words travel once per task; a bounded memory of what was sent is enough
-            sent.append(None if line in seen else packed(np.frombuffer(own, dtype="<u8")))
-            if len(seen) > SEEN_LIMIT:
-                seen.clear()
-            seen.add(line)
-        docs, keys, numbers = zip(*where, strict=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), *(pa.array(ids[:, k]) for k in range(3)), pa.array(sent, pa.binary())], [*ORD, *LINE, "words"]
-        )
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells = np.zeros(CELLS, dtype="<u4")
+@dataclass
+class Lines:
+    """Lines with words, of some texts: which text and line of it, and their different words (all lines' in one array)."""
+
+    text: np.ndarray
+    number: np.ndarray
+    sizes: np.ndarray
+    words: np.ndarray
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.sizes):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        both = (np.add.reduceat(mixed(self.words, salt), self.first) for salt in (_M2, _M3))
+        return tuple(mixed(x, self.sizes.astype(np.uint64)).view(np.int64) for x in both)
+
+    def take(self, at: np.ndarray) -> Lines:
+        sizes = self.sizes[at]
+        inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return Lines(self.text[at], self.number[at], sizes, self.words[np.repeat(self.first[at], sizes) + inner])
+
+
+def lines_of(texts: list[str], counts: np.ndarray | None = None, least: int = 1) -> Lines:
+    """Lines of at least `least` different words; their words by rarity under counts, else in the order of their hashes."""
+    low = [x.lower() for x in texts]
+    joined = "\n".join(low)
+    data = (joined if joined.isascii() else _ODD_SPACE.sub(" ", joined)).encode() + b"\n" + b"\0" * 8
+    buf = np.frombuffer(data, dtype=np.uint8)
+    space = _SPACE[buf[:-8]]
+    before = np.concatenate([[True], space[:-1]])
+    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+    words = word_hashes(buf, starts, ends - starts)
+    line = np.searchsorted(np.flatnonzero(buf[:-8] == 10), starts)
+    count = np.zeros(len(words), dtype=np.uint64) if counts is None else counts[(words & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64)
+    if len(line) and line[-1] < 1 << 21:
+        packed = line.astype(np.uint64) << np.uint64(43) | np.minimum(count, np.uint64((1 << 20) - 1)) << np.uint64(23) | words >> np.uint64(41)
+        order = np.argsort(packed)
+        packed, words, line = packed[order], words[order], line[order]
+        tied = np.flatnonzero((packed[1:] == packed[:-1]) & (words[1:] != words[:-1]))
+        if len(tied):  # other words of equal rank: their whole hashes decide, the same way in all lines
+            at = np.flatnonzero(np.isin(line, line[tied]))
+            at = at[np.lexsort((words[at], packed[at]))], at
+            words[at[1]] = words[at[0]]
+    else:
+        order = np.lexsort((words, words >> np.uint64(41), np.minimum(count, np.uint64((1 << 20) - 1)), line))
+        words, line = words[order], line[order]
+    new = np.ones(len(words), dtype=bool)
+    new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
+    words, line = words[new], line[new]
+    own, sizes = np.unique(line, return_counts=True)
+    n_lines = np.array([x.count("\n") + 1 for x in low], dtype=np.int64)
+    text = np.repeat(np.arange(len(texts)), n_lines)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+    found = Lines(text[own], number[own], sizes, words)
+    return found.take(np.flatnonzero(sizes >= least)) if least > 1 else found
+
+
+def chunks(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Runs of rows with about CHUNK characters of text."""
+    lo, held = 0, 0
+    for k, x in enumerate(batch.column(text_at)):
+        held += len(x.as_buffer()) if x.is_valid else 0
+        if held >= CHUNK or k + 1 == batch.num_rows:
+            part = batch.slice(lo, k + 1 - lo)
+            yield part, [t or "" for t in part.column(text_at).to_pylist()]
+            lo, held = k + 1, 0
+
+
+LINES_SCHEMA = "doc_id long, doc_key long, line_no int, lid long, lid2 long, part int, cells binary"
+
+
+def _lines(batches: Iterator[pa.RecordBatch], least: int, n_cells: int) -> Iterator[pa.RecordBatch]:
+    """A row for each line, and at the end how many lines hold the words of each cell."""
+    cells = np.zeros(n_cells, dtype="<u4")
+    names = [x.split()[0] for x in LINES_SCHEMA.split(", ")]
+    waiting: list[np.ndarray] = []
     for batch in batches:
-        words = unpacked(b"".join(batch.column(0).to_pylist()))
-        cells += np.bincount((words & (CELLS - 1)).astype(np.int64), minlength=CELLS).astype("<u4")
-    parts = cells.reshape(-1, CELLS_A_ROW)
-    used = np.flatnonzero(parts.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], ["part", "cells"])
+        for part, texts in chunks(batch, 2):
+            own = lines_of(texts, least=least)
+            waiting.append((own.words[np.repeat(own.sizes >= KEYED, own.sizes)] & np.uint64(n_cells - 1)).astype(np.int32))
+            if sum(map(len, waiting)) > n_cells:
+                cells, waiting = cells + np.bincount(np.concatenate(waiting), minlength=n_cells).astype("<u4"), []
+            at, n = pa.array(own.text), len(own.text)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(own.number, pa.int32()), *map(pa.array, own.ids()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+    if waiting:
+        cells = cells + np.bincount(np.concatenate(waiting), minlength=n_cells).astype("<u4")
+    rows = cells.reshape(-1, CELLS_A_ROW)
+    used = np.flatnonzero(rows.any(axis=1))
+    for lo in range(0, len(used), 256):
+        own = used[lo:lo + 256]
+        empty = [pa.nulls(len(own), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(own, pa.int32()), pa.array([rows[k].tobytes() for k in own], pa.binary())], names)
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.frombuffer(cells.as_py(), dtype="<u4")
+            own = np.frombuffer(cells.as_buffer(), dtype="<u4")
             total[part] = np.minimum(total[part].astype(np.int64) + own, 0xFFFFFFFF).astype("<u4") if part in total else own
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "cells"])
 
 
-def word_counts(lines: DataFrame) -> np.ndarray:
-    """How many lines hold the words of each cell, over all lines: CELLS numbers, whatever the input."""
-    parts = lines.where("words is not null").select("words").mapInArrow(_count, "part int, cells binary")
-    summed = parts.repartitionByRange(max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part").mapInArrow(_sum, "part int, cells binary")
-    out = np.zeros((CELLS // CELLS_A_ROW, CELLS_A_ROW), dtype="<u4")
+def word_counts(lines: DataFrame, n_cells: int) -> np.ndarray:
+    """How many lines hold the words of each cell, over all lines; n_cells is bounded."""
+    shares = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    summed = lines.where("part is not null").select("part", "cells").repartition(shares, "part").mapInArrow(_sum, "part int, cells binary")
+    out = np.zeros((n_cells // CELLS_A_ROW, CELLS_A_ROW), dtype="<u4")
     for part, cells in summed.collect():
         out[part] = np.frombuffer(cells, dtype="<u4")
     return out.reshape(-1)
@@ -144,37 +216,34 @@ def word_counts(lines: DataFrame) -> np.ndarray:
 
 # ---------------------------------------------------------------- keys
 
-def needed(n: np.ndarray) -> np.ndarray:
-    """Words that a line of n words must share with any similar line."""
-    return -(-NUM * n // DEN)
-
-
 def together(n: int) -> int:
     """How many frequent words a key holds, by the length of a line."""
     return 3 if n <= 24 else 2 if n <= 100 else 1
 
 
-def _mix(tokens: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+def _mix(tokens: np.ndarray, salt: int) -> np.ndarray:
     """Hash rows of tokens (in their common order) to 64 bits."""
-    out = np.full(tokens.shape[:-1], 0x9E3779B97F4A7C15, dtype=np.uint64) + np.asarray(salt, dtype=np.uint64)
+    out = np.full(tokens.shape[:-1], 0x9E3779B97F4A7C15 + salt, dtype=np.uint64)
     for k in range(tokens.shape[-1]):
-        out = (out ^ tokens[..., k]) * np.uint64(0xD6E8FEB86659FD93)
+        out = (out ^ tokens[..., k]) * _M1
         out ^= out >> np.uint64(32)
     return out
 
 
-def line_keys(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of lines given by their concatenated words: line number and key."""
+def line_keys(own: Lines, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of lines whose words stand by rarity: line number, key, and place.
+
+    The place is that of a key's last word, less the words before it in the key: two lines whose first
+    shared words are these have it within n - overlap, for the overlap that both lengths demand.
+    """
+    words, sizes, first = own.words, own.sizes, own.first
     line = np.repeat(np.arange(len(sizes)), sizes)
-    count = counts[(words & np.uint64(CELLS - 1)).astype(np.int64)]
-    order = np.lexsort((words, count, line))
-    words, count = words[order], count[order]
-    first = np.cumsum(sizes) - sizes
+    count = counts[(words & np.uint64(len(counts) - 1)).astype(np.int64)]
     place = np.arange(len(words)) - np.repeat(first, sizes)
-    prefix = sizes - needed(sizes) + 1
+    prefix = sizes - -(-NUM * sizes // DEN) + 1
     rare = count <= RARE
     alone = rare & (place < np.repeat(prefix, sizes)) & (count > 1)
-    out = [(line[alone], _mix(words[alone][:, None], 1))]
+    out = [(line[alone], _mix(words[alone][:, None], 1), place[alone])]
     n_rare = np.bincount(line, weights=rare, minlength=len(sizes)).astype(np.int64)
     left = prefix - n_rare  # places in the prefix that frequent words take
     # lines of different length may join words in different numbers: a line uses the numbers of all lengths that can be similar
@@ -186,123 +255,313 @@ def line_keys(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple
             mine = np.flatnonzero((left == r) & ways[:, k - 1])
             width = r + k - 1
             picks = np.array(list(combinations(range(width), k)), dtype=np.int64)
-            step = max(1, 2_000_000 // (len(picks) * k))
+            step = max(1, 500_000 // (len(picks) * k))
             for part in (mine[lo:lo + step] for lo in range(0, len(mine), step)):
                 tokens = words[(first[part] + n_rare[part])[:, None] + np.arange(width)][:, picks]
-                out.append((np.repeat(part, len(picks)), _mix(tokens, 1 + k).reshape(-1)))
+                out.append((np.repeat(part, len(picks)), _mix(tokens, 1 + k).reshape(-1), (n_rare[part][:, None] + picks[:, -1] - (k - 1)).reshape(-1)))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def sketches(own: Lines, early: np.ndarray) -> np.ndarray:
+    """Parity of the words that fall on each bit; above it, how early the line's document is."""
+    flips = np.uint64(1) << ((own.words >> np.uint64(24)) % np.uint64(SKETCH_BITS))
+    parity = np.bitwise_xor.reduceat(flips, own.first) if len(flips) else np.zeros(0, dtype=np.uint64)
+    return parity | early.astype(np.uint64) << np.uint64(SKETCH_BITS)
+
+
+def salted(key: np.ndarray, lid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Deal keys with more than SALTED lines of a chunk over groups of their own. Some lines stay, so that all others of the key learn of it by the flag."""
+    _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
+    part = n[inverse] > SALTED
+    if not part.any():
+        return key, part
+    order = np.argsort(inverse, kind="stable")
+    rank = np.empty(len(key), dtype=np.int64)
+    rank[order] = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+    moved = part & (rank >= SALTED // 4)
+    salt = (lid.view(np.uint64)[moved] % (n[inverse][moved] // (SALTED // 4)).astype(np.uint64)) + np.uint64(1)
+    key = key.copy()
+    key[moved] = mixed(key[moved], salt)
+    return key, part
+
+
+KEYS_SCHEMA = "key long, lid long, sketch long"
+
+
+def _keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, least: int, edges: np.ndarray, salt: bool) -> Iterator[pa.RecordBatch]:
+    """key, lid and sketch of every line of KEYED words or more; a line goes once from a task as far as it remembers."""
+    seen = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        for lo in range(0, batch.num_rows, 4000):
-            part = batch.slice(lo, 4000)
-            words = part.column(3).to_pylist()
-            sizes = np.array([len(w) // WORD_BYTES for w in words], dtype=np.int64)
-            line, key = line_keys(unpacked(b"".join(words)), sizes, counts)
-            at = pa.array(line)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(part.column(k).take(at) for k in range(3))], ["key", *LINE])
+        for part, texts in chunks(batch, 1):
+            own = lines_of(texts, counts, max(least, KEYED))
+            if not len(own.sizes):
+                continue
+            ids = part.column(0).fill_null(np.iinfo(np.int64).min)
+            early = np.searchsorted(edges, np.asarray(ids)[own.text], side="right")
+            lid = own.ids()[0]
+            mark = lid ^ (early * int(_M2 >> np.uint64(2)))
+            _, at = np.unique(mark, return_index=True)
+            at = at[~np.isin(mark[at], seen)]
+            if not len(at):
+                continue
+            seen = np.concatenate([seen, mark[at]]) if len(seen) < SEEN_LIMIT else mark[at]
+            own, lid, early = own.take(at), lid[at], early[at]
+            line, key, place = line_keys(own, counts)
+            key, flag = salted(key, lid[line]) if salt else (key, np.zeros(len(key), dtype=bool))
+            low = flag.astype(np.uint64) << np.uint64(PLACE_BITS + SIZE_BITS) | np.minimum(place, MOST_PLACE).astype(np.uint64) << np.uint64(SIZE_BITS) | np.minimum(own.sizes[line], MOST_SIZE).astype(np.uint64)
+            packed = (key & ~np.uint64((1 << KEY_SHIFT) - 1)) | low
+            sketch = sketches(own, early).view(np.int64)
+            for lo in range(0, len(packed), 100_000):
+                some = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(packed[some].view(np.int64)), pa.array(lid[line[some]]), pa.array(sketch[line[some]])], ["key", "lid", "sketch"])
+
+
+# ---------------------------------------------------------------- candidates
+
+def fitting(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether lines of n and m words with a common key at places p and q, and sketches so far apart, may be similar."""
+    overlap = -(-NUM * (n + m) // (NUM + DEN))
+    known = (n < MOST_SIZE) & (m < MOST_SIZE)
+    return ~known | ((p <= n - overlap) & (q <= m - overlap) & (apart <= (n + m) * (DEN - NUM) // (NUM + DEN)))
+
+
+def group_candidates(group: np.ndarray, low: np.ndarray, lid: np.ndarray, sketch: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, ...]:
+    """later lid, earlier lid, distance, more of lines in groups; `cut` marks the lines of groups that are not whole."""
+    order = np.lexsort((sketch >> np.uint64(SKETCH_BITS), lid, group))
+    group, low, lid, sketch, cut = group[order], low[order], lid[order], sketch[order], cut[order]
+    new = np.ones(len(lid), dtype=bool)
+    new[1:] = (lid[1:] != lid[:-1]) | (group[1:] != group[:-1])  # the earliest copy of each line
+    group, low, lid, sketch, cut = group[new], low[new], lid[new], sketch[new], cut[new]
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.append(starts, len(group)))
+    # groups beyond PIECE are worked in pieces
+    inside = np.arange(len(group)) - np.repeat(starts, sizes)
+    cut = cut | np.repeat(sizes > PIECE, sizes)
+    piece = np.cumsum((inside % PIECE == 0).astype(np.int64))
+    n, place = (low & np.uint64(MOST_SIZE)).astype(np.int64), (low >> np.uint64(SIZE_BITS) & np.uint64(MOST_PLACE)).astype(np.int64)
+    order = np.lexsort((n, piece))
+    piece, n, place, lid, sketch, cut = piece[order], n[order], place[order], lid[order], sketch[order], cut[order]
+    parity, early = sketch & np.uint64((1 << SKETCH_BITS) - 1), (sketch >> np.uint64(SKETCH_BITS)).astype(np.int64)
+    both = piece << 16 | n
+    upto = np.searchsorted(both, piece << 16 | np.minimum(n * DEN // NUM, MOST_SIZE), side="right")
+    width = upto - np.arange(len(n)) - 1
+    found: list[tuple[np.ndarray, ...]] = []
+    ends = np.cumsum(width)
+    lo = 0
+    while lo < len(width):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2_000_000, side="right")))
+        w = width[lo:hi]
+        i = np.repeat(np.arange(lo, hi), w)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
+        apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64)
+        fits = fitting(n[i], n[j], place[i], place[j], apart)
+        i, j, apart = i[fits], j[fits], apart[fits]
+        # equally early: either may come first, the words' check knows which
+        for later, earlier in ((j, i), (i, j)):
+            may = early[earlier] <= early[later]
+            found.append((later[may], earlier[may], apart[may]))
+        lo = hi
+    later, earlier, apart = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
+    order = np.lexsort((lid[earlier], early[earlier], apart, later))
+    later, earlier, apart = later[order], earlier[order], apart[order]
+    own, at, count = np.unique(later, return_index=True, return_counts=True)
+    rank = np.arange(len(later)) - np.repeat(at, count)
+    more = cut.copy()
+    more[own[count > CANDIDATES]] = True
+    keep = rank < CANDIDATES
+    none = np.setdiff1d(np.flatnonzero(cut), own)  # nothing found yet in a group that is not whole
+    ids = np.concatenate([later[keep], none])
+    return lid[ids], np.concatenate([lid[earlier[keep]], np.zeros(len(none), dtype=np.int64)]), np.concatenate([apart[keep], np.full(len(none), -1)]), more[ids]
+
+
+CANDIDATE_SCHEMA = "later long, earlier long, apart int, more boolean"
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of KEYS_SCHEMA, those of a key one after another -> candidates; memory is bounded whatever a key holds."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n_held, broken = 0, None
+
+    def work(rows: tuple[np.ndarray, ...], open_end: bool) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...], int | None]:
+        key, lid, sketch = rows
+        group = key >> np.uint64(KEY_SHIFT)
+        last = int(group[-1])
+        end = len(group)
+        if open_end:
+            others = np.flatnonzero(group != group[-1])
+            end = int(others[-1]) + 1 if len(others) else 0
+        cut_key = None
+        if end == 0:  # one key fills the bag: work it as far as it came
+            end, cut_key = len(group), last
+        g = group[:end]
+        flag = (key[:end] >> np.uint64(PLACE_BITS + SIZE_BITS) & np.uint64(1)).astype(bool)
+        names, inverse = np.unique(g, return_inverse=True)
+        cut = np.isin(names, [x for x in (broken, cut_key) if x is not None]) | (np.bincount(inverse, weights=flag, minlength=len(names)) > 0)
+        found = group_candidates(inverse, key[:end], lid[:end], sketch[:end], cut[inverse])
+        out = pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2], pa.int32()), pa.array(found[3])], ["later", "earlier", "apart", "more"])
+        return out, (key[end:], lid[end:], sketch[end:]), cut_key
+
+    for batch in batches:
+        held.append((np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1)), np.asarray(batch.column(2)).view(np.uint64)))
+        n_held += batch.num_rows
+        if n_held >= BAG:
+            out, rest, broken = work(tuple(np.concatenate(c) for c in zip(*held, strict=True)), True)
+            held, n_held = [rest], len(rest[0])
+            yield out
+    if n_held:
+        yield work(tuple(np.concatenate(c) for c in zip(*held, strict=True)), False)[0]
+
+
+# ---------------------------------------------------------------- verification
 
+def similar(a: bytes, b: bytes) -> bool:
+    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+    return len(np.intersect1d(x, y, assume_unique=True)) * (NUM + DEN) >= NUM * (len(x) + len(y))
 
-# ---------------------------------------------------------------- comparison
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both lines' words: keep the later line of each similar pair."""
+    """Pairs with both lines' words: LINE of the later line of each similar pair."""
     for batch in batches:
-        keep = []
-        for k, (a, b) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-            x, y = unpacked(a), unpacked(b)
-            if len(np.intersect1d(x, y, assume_unique=True)) * (NUM + DEN) >= NUM * (len(x) + len(y)):
-                keep.append(k)
-        yield pa.RecordBatch.from_arrays([batch.column(n).take(pa.array(keep, pa.int64())) for n in range(3)], LINE)
-
-
-def similar_later(words: list[bytes], order: np.ndarray) -> np.ndarray:
-    """Which of some lines have an earlier similar one among them."""
-    flat = unpacked(b"".join(words))
-    sizes = np.array([len(w) // WORD_BYTES for w in words], dtype=np.int64)
-    _, column = np.unique(flat, return_inverse=True)
-    table = np.zeros((len(words), int(column.max(initial=0)) + 1), dtype=np.float32)
-    table[np.repeat(np.arange(len(words)), sizes), column] = 1
-    both = table @ table.T
-    alike = both * (NUM + DEN) >= NUM * (sizes[:, None] + sizes[None, :])
-    return (alike & (order[None, :] < order[:, None])).any(axis=1)
-
-
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(ORD, na_position="first", kind="stable").drop_duplicates(LINE)
-    later = similar_later(rows.words.tolist(), np.arange(len(rows)))
-    return rows.loc[later, LINE]
-
-
-def _possible(a: list, b: list):
-    """Whether two lines (LINE each) differ, and may yet be similar by their lengths and bitmaps."""
-    n, m = (x[0].bitwiseAND(F.lit(MOST)) for x in (a, b))
-    apart = sum(F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:], strict=True))
-    other = (a[0] != b[0]) | (a[1] != b[1]) | (a[2] != b[2])
-    # every word that only one line has can change one bit; beyond MOST the number of words is not known
-    close = (apart * (NUM + DEN) <= (n + m) * (DEN - NUM)) | (n == MOST) | (m == MOST)
-    return other & (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & close
-
-
-def later_lines(lines: DataFrame) -> DataFrame:
-    """lines (ORD, LINE, words) -> LINE of every set of words that is similar to another one that comes first."""
-    counts = word_counts(lines)
-    keyed = lines.where("words is not null").select(*LINE, "words").mapInArrow(partial(_keys, counts=counts), "key long, lid long, bits0 long, bits1 long")
-    # a line sent by several tasks counts once for a key
-    rows = keyed.repartition("key").dropDuplicates(["key", *LINE])
-    two = [f"{c}_2" for c in LINE]
-    other = rows.select(F.col("key").alias("key_2"), *(F.col(c).alias(d) for c, d in zip(LINE, two, strict=True)))
-    close = rows.join(other, (F.col("key") == F.col("key_2")) & _possible([F.col(c) for c in LINE], [F.col(c) for c in two]), "left_semi")
-    # rows of a key are together already, so that counting them moves nothing
-    held = stored(close.withColumn("held", F.count("*").over(Window.partitionBy("key"))), "suspects")
-    wanted = held.select(*LINE).distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = stored(lines.join(wanted, LINE, "left_semi").groupBy(*LINE).agg(F.min(F.struct(*ORD)).alias("first"), F.max("words").alias("words")), "line-words")
-    # small keys: pairs, each checked on its words
-    few = held.where(F.col("held") <= PAIRED).select("key", *LINE)
-    other = few.select("key", *(F.col(c).alias(d) for c, d in zip(LINE, two, strict=True)))
-    ordered = (F.col("lid") < F.col("lid_2")) | ((F.col("lid") == F.col("lid_2")) & (F.col("bits0") <= F.col("bits0_2")))
-    pairs = few.join(other, "key").where(ordered & _possible([F.col(c) for c in LINE], [F.col(c) for c in two])).select(*LINE, *two).distinct()
-    second = texts.select(*(F.col(c).alias(d) for c, d in zip(LINE, two, strict=True)), F.col("words").alias("words_2"), F.col("first").alias("first_2"))
-    both = pairs.join(texts, LINE).join(second, two)
-    is_later = F.col("first") > F.col("first_2")
-    found = both.select(*(F.when(is_later, F.col(c)).otherwise(F.col(d)).alias(c) for c, d in zip(LINE, two, strict=True)), "words", "words_2").mapInArrow(_verify, "lid long, bits0 long, bits1 long")
-    # large keys: blocks of lines, every two blocks of a key in a group of their own
-    many = held.where(F.col("held") > PAIRED)
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    dealt = many.select("key", *LINE, F.pmod(F.xxhash64(*LINE), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-    dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), *LINE)
-    grouped = dealt.join(texts, LINE).select("key", "i", "j", *LINE, "words", "first.*").groupBy("key", "i", "j").applyInPandas(_block, "lid long, bits0 long, bits1 long")
-    return found.unionByName(grouped).distinct()
-
-
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, doc_key (content hash), removed: sorted numbers of the lines that go; only rows that lose some."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), F.col("text").cast("string").alias("text"))
-    lines = stored(rows.mapInArrow(partial(_lines, min_words=min_words), "doc_id long, doc_key long, line_no int, lid long, bits0 long, bits1 long, words binary"), "lines")
-    later = stored(later_lines(lines), "later-lines").select(*LINE, F.lit(True).alias("later"))
-    held = lines.select(*ORD, *LINE)
-    firsts = held.groupBy(*LINE).agg(F.min(F.struct(*ORD)).alias("first"), F.count("*").alias("n")).join(later, LINE, "left").where("later or n > 1").select(*LINE, "first", F.coalesce("later", F.lit(False)).alias("later"))
-    gone = held.join(firsts, LINE).where(F.col("later") | ~F.struct(*ORD).eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+        keep = [k for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)) if similar(a, b)]
+        yield pa.RecordBatch.from_arrays([batch.column(n).take(pa.array(keep, pa.int64())) for n in range(2)], LINE)
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (later, later2, earlier, earlier2), texts (LINE, words) -> LINE of the later line of every similar pair."""
+    one, two = (texts.select(F.col("lid").alias(a), F.col("lid2").alias(f"{a}2"), F.col("words").alias(f"{a}_words")) for a in ("later", "earlier"))
+    both = pairs.join(one, ["later", "later2"]).join(two, ["earlier", "earlier2"])
+    return both.select("later", "later2", "later_words", "earlier_words").mapInArrow(_verify, "lid long, lid2 long").distinct()
 
 
-def judged(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every row and column of docs with `removed_line_nos` (empty: none)."""
-    gone = stored(removed_lines(docs, min_words), "removed").select(F.col("doc_id").alias("gone_doc_id"), F.col("doc_key").alias("gone_doc_key"), F.col("removed").alias("removed_line_nos"))
+def _texts(batches: Iterator[pa.RecordBatch], least: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """LINE, ORD and words of lines; of the wanted ones alone, where these are few enough to be sent along."""
+    for batch in batches:
+        for part, texts in chunks(batch, 2):
+            own = lines_of(texts, least=max(least, KEYED))
+            lid, lid2 = own.ids()
+            at = np.arange(len(lid)) if wanted is None else np.flatnonzero(np.isin(lid, wanted))
+            if not len(at):
+                continue
+            few = own.take(at)
+            data, ends = few.words.tobytes(), np.cumsum(few.sizes) * 8
+            rows = pa.array(few.text)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lid[at]), pa.array(lid2[at]), part.column(0).take(rows), part.column(1).take(rows), pa.array(few.number, pa.int32()), pa.array([data[e - 8 * n:e] for e, n in zip(ends.tolist(), few.sizes.tolist(), strict=True)], pa.binary())], [*LINE, *ORD, "words"]
+            )
+
+
+def line_texts(rows: DataFrame, lids: DataFrame, least: int) -> DataFrame:
+    """LINE, first (the ORD of the first such line) and words (sorted hashes) of the lines named in lids (lid)."""
+    few = None
+    if lids.count() <= SENT_IDS:
+        few = np.sort(np.asarray(lids.toArrow().column(0), dtype=np.int64))
+    texts = rows.mapInArrow(partial(_texts, least=least, wanted=few), "lid long, lid2 long, doc_id long, doc_key long, line_no int, words binary")
+    if few is None:
+        texts = texts.join(lids, "lid", "left_semi")
+    first = texts.groupBy(*LINE).agg(F.min(F.struct(*ORD, "words")).alias("x"))
+    return stored(first.select(*LINE, F.struct(*(F.col(f"x.{c}").alias(c) for c in ORD)).alias("first"), "x.words"), "line-words")
+
+
+def directed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (later, earlier, apart) of lids -> later, later2, earlier, earlier2, apart of those that stand so in the order of lines."""
+    one, two = (texts.select(F.col("lid").alias(a), F.col("lid2").alias(f"{a}2"), F.col("first").alias(f"{a}_first")) for a in ("later", "earlier"))
+    both = pairs.join(one, "later").join(two, "earlier").where(F.col("earlier_first") < F.col("later_first"))
+    return both.select("later", "later2", "earlier", "earlier2", "apart")
+
+
+# ---------------------------------------------------------------- operator
+
+def early_edges(rows: DataFrame) -> np.ndarray:
+    """Document ids that cut the corpus into at most 256 parts of about equal size."""
+    edges = rows.where("doc_id is not null").agg(F.percentile_approx("doc_id", F.array(*(F.lit(k / (1 << EARLY_BITS)) for k in range(1, 1 << EARLY_BITS))), F.lit(2000))).first()[0]
+    return np.unique(np.array(edges or [], dtype=np.int64))
+
+
+def key_rows(rows: DataFrame, counts: np.ndarray, least: int, edges: np.ndarray, salt: bool) -> DataFrame:
+    return rows.select("doc_id", "text").mapInArrow(partial(_keys, counts=counts, least=least, edges=edges, salt=salt), KEYS_SCHEMA)
+
+
+def _field(c: Column, shift: int, most: int) -> Column:
+    return F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(most))
+
+
+def looked_up(rows: DataFrame, left: DataFrame, counts: np.ndarray, least: int, edges: np.ndarray) -> DataFrame:
+    """All candidates (later, earlier, apart) of the lines in left (lid), under all of their keys."""
+    keys = key_rows(rows, counts, least, edges, salt=False).withColumn("group", F.shiftrightunsigned("key", KEY_SHIFT))
+    own = stored(keys.join(left, "lid", "left_semi").distinct(), "keys-again")
+    # the lines in question are few: with their keys sent along, hardly a row of the others has to move
+    groups = own.select("group").distinct()
+    others = keys.join(F.broadcast(groups) if groups.count() <= SENT_IDS else groups, "group", "left_semi").distinct()
+    a, b = own.select("group", *(F.col(c).alias(f"{c}_a") for c in ("key", "lid", "sketch"))), others.select("group", *(F.col(c).alias(f"{c}_b") for c in ("key", "lid", "sketch")))
+    (n, p, s), (m, q, t) = ((_field(F.col(f"key_{x}"), 0, MOST_SIZE), _field(F.col(f"key_{x}"), SIZE_BITS, MOST_PLACE), F.col(f"sketch_{x}")) for x in "ab")
+    apart = F.bit_count(s.bitwiseXOR(t).bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)))
+    overlap = F.ceil(NUM * (n + m) / (NUM + DEN))
+    fits = (n == MOST_SIZE) | (m == MOST_SIZE) | ((p <= n - overlap) & (q <= m - overlap) & (apart * (NUM + DEN) <= (n + m) * (DEN - NUM)))
+    lengths = ((n * DEN >= m * NUM) | (m == MOST_SIZE)) & ((m * DEN >= n * NUM) | (n == MOST_SIZE))
+    early = F.shiftrightunsigned(t, SKETCH_BITS) <= F.shiftrightunsigned(s, SKETCH_BITS)
+    return a.join(b, "group").where((F.col("lid_a") != F.col("lid_b")) & lengths & fits & early).groupBy(F.col("lid_a").alias("later"), F.col("lid_b").alias("earlier")).agg(F.min(apart).alias("apart"))
+
+
+def similar_later(rows: DataFrame, counts: np.ndarray, least: int) -> DataFrame:
+    """LINE of every set of words that is similar to another one that comes first."""
+    edges = early_edges(rows)
+    shares = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = key_rows(rows, counts, least, edges, salt=True).repartition(shares, F.shiftrightunsigned("key", KEY_SHIFT)).sortWithinPartitions("key")
+    found = stored(keyed.mapInArrow(_candidates, CANDIDATE_SCHEMA), "candidates")
+    pairs = found.where("apart >= 0").groupBy("later", "earlier").agg(F.min("apart").alias("apart"))
+    lids = found.where("apart >= 0").select(F.explode(F.array("later", "earlier")).alias("lid")).distinct()
+    texts = line_texts(rows, stored(lids, "suspects"), least)
+    pairs = stored(directed(pairs, texts), "pairs")
+    closest = pairs.groupBy("later", "later2").agg(F.min(F.struct("apart", "earlier", "earlier2")).alias("x")).select("later", "later2", "x.earlier", "x.earlier2")
+    sure = stored(verified(closest, texts), "later-lines")
+    known = sure.select(F.col("lid").alias("later"), F.col("lid2").alias("later2"))
+    rest = pairs.join(known, ["later", "later2"], "left_anti").join(closest, ["later", "later2", "earlier", "earlier2"], "left_anti")
+    sure = stored(sure.unionByName(verified(rest, texts)), "later-lines")
+    left = stored(found.where("more").select(F.col("later").alias("lid")).distinct().join(sure, "lid", "left_anti"), "left")
+    if left.isEmpty():
+        return sure
+    again = stored(looked_up(rows, left, counts, least, edges), "candidates-again")
+    texts = line_texts(rows, stored(again.select(F.explode(F.array("later", "earlier")).alias("lid")).distinct(), "suspects"), least)
+    return stored(sure.unionByName(verified(directed(again, texts), texts)).distinct(), "later-lines")
+
+
+def removed_lines(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, doc_key (content hash), removed: sorted numbers of the lines that go; only rows that lose some."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), F.col("text").cast("string").alias("text"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << int(n_bytes // BYTES_A_CELL).bit_length()))
+    lines = stored(rows.mapInArrow(partial(_lines, least=min_words, n_cells=n_cells), LINES_SCHEMA), "lines")
+    later = similar_later(rows, word_counts(lines, n_cells), min_words)
+    held = lines.where("lid is not null").select(*ORD, *LINE)
+    # a line stays if it is the first of its words and no other comes before; sums of copies are made before the shuffle, and no join meets all copies of a line
+    firsts = held.groupBy(*LINE).agg(F.min(F.struct(*ORD)).alias("first")).join(later, LINE, "left_anti").select("first.*")
+    gone = _keyed(held.select(*ORD)).join(_keyed(firsts).drop("doc_id"), ["no_id", "id", "doc_key", "line_no"], "left_anti")
+    return gone.groupBy("no_id", "id", "doc_key").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_set("line_no")).alias("removed")).select("doc_id", "doc_key", "removed")
+
+
+def _keyed(lines: DataFrame) -> DataFrame:
+    """With an id that may be null as two columns that may be joined."""
+    return lines.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0))})
+
+
+def judged(docs: DataFrame, min_words: int = 1) -> tuple[DataFrame, Column]:
+    """Every row and column of docs, by position and with names of its own (c0, c1, ...), and the column of removed line numbers (null: none)."""
+    at = {name: f"c{k}" for k, name in enumerate(docs.columns)}
+    plain = docs.toDF(*at.values())
+    own = plain.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"))
+    gone = stored(removed_lines(own, min_words), "removed").select(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key"), "removed")
     # short lists go to where the texts lie; longer ones meet them in a shuffle
-    n_docs, n_lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("removed_line_nos")), F.lit(0))).first()
+    n_docs, n_lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()
     if n_docs <= BROADCAST_DOCS and n_lines <= BROADCAST_LINES:
         gone = F.broadcast(gone)
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_doc_id")) & (F.xxhash64("text") == F.col("gone_doc_key"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(gone, on, "left").select(*own, F.coalesce("removed_line_nos", F.array().cast("array<int>")).alias("removed_line_nos"))
+    on = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(at["text"]) == F.col("gone_key"))
+    return plain.join(gone, on, "left"), F.col("removed")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """docs without repeated lines: the columns of docs, with `text` rebuilt from the lines that stay."""
-    kept = F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains("removed_line_nos", k))
-    text = F.when(F.size("removed_line_nos") > 0, F.concat_ws("\n", kept)).otherwise(F.col("text"))
-    return judged(docs, min_words).withColumn("text", text).select(*(f"`{c}`" for c in docs.columns))
+    rows, removed = judged(docs, min_words)
+    text = F.col(f"c{docs.columns.index('text')}")
+    kept = F.filter(F.split(text, "\n", -1), lambda x, k: ~F.array_contains(removed, k))
+    rebuilt = F.when(removed.isNotNull(), F.concat_ws("\n", kept)).otherwise(text)
+    return rows.select(*(rebuilt.alias(name) if name == "text" else F.col(f"c{k}").alias(name) for k, name in enumerate(docs.columns)))

@@ -394,44 +394,6 @@ def test_widely_copied_values_are_not_added(spark):
 # ---------------------------------------------------------------- lines
 
 def removed(rows):
-    lines, first, later, out = [], {}, set(), defaultdict(list)
-    seen_docs = set()
-    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        if (doc, text) in seen_docs:
-            continue
-        seen_docs.add((doc, text))
-        for no, line in enumerate((text or "").lower().split("\n")):
-            own = frozenset(line.split())
-            if len(own) >= 5:
-                lines.append(((doc, text), no, own))
-    distinct = list(dict.fromkeys(own for _, _, own in lines))
-    for k, own in enumerate(distinct):
-        if any(5 * len(own & other) >= 4 * len(own | other) for other in distinct[:k]):
-            later.add(own)
-    for doc, no, own in lines:
-        if own in later or own in first:
-            out[doc].append(no)
-        first[own] = True
-    return Counter((d[0], tuple(numbers)) for d, numbers in out.items())
-
-
-@pytest.mark.parametrize(("rows", "paired", "rare"), [("awkward", 48, 512), ("real", 48, 512), ("real", 1, 2)])
-def test_line_dedup(request, monkeypatch, texts, rows, paired, rare):
-    """Also with every key in blocks and nearly every word frequent."""
-    monkeypatch.setattr(line_dedup, "PAIRED", paired)
-    monkeypatch.setattr(line_dedup, "RARE", rare)
-    own = AWKWARD if rows == "awkward" else texts
-    got = Counter((r.doc_id, tuple(r.removed)) for r in line_dedup.removed_lines(request.getfixturevalue(rows)).collect())
-    assert got == removed(own)
-
-
-def test_line_dedup_rebuilds_texts(spark):
-    rows = [(1, f"{PASSAGE}\nkeep me\n\nfive words that are here"), (2, f"start\n{PASSAGE} x\nFive words THAT are here\nkeep me"), (3, None), (4, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: rows[0][1], 2: "start\nkeep me", 3: None, 4: ""}
-
-
-def removed_of_any_length(rows):
     """Every line that has a word, whatever its length."""
     first, lines, out = {}, [], defaultdict(list)
     for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -442,26 +404,79 @@ def removed_of_any_length(rows):
         if own in later or own in first:
             out[doc].append(no)
         first[own] = True
-    return Counter((d[0], ",".join(map(str, numbers))) for d, numbers in out.items())
+    return Counter((d[0], tuple(numbers)) for d, numbers in out.items())
+
+
+def crowded(n, seed):
+    """Lines round a few texts: many near copies of one, and texts in between that are similar to some of them only."""
+    rng = np.random.default_rng(seed)
+    base = [f"word{k}" for k in range(24)]
+    lines = []
+    for k in range(n):
+        own = list(base[: 10 + 7 * (k % 3)])
+        for at in rng.choice(len(own), rng.integers(0, 4), replace=False):
+            own[at] = f"other{rng.integers(6)}x{at}"
+        lines.append(" ".join(own) + "x" * int(k % 50 == 0))
+    return [(int(d) if d else None, "\n".join(lines[d::40])) for d in rng.permutation(40)]
 
 
 SHORT = [
     (1, "one\none two\none two three\none two three four\n\n \nbeta gamma delta eps zeta"), (2, "ONE\ntwo one\nthree two one\none two four five\nfour three two one\nadd one two three four"), (3, "one one one\none three\ngamma delta eps zeta\nspam spam eggs spam\nx"),
     (4, "eggs spam\none two three five\ny\nbeta gamma delta"), (5, "x\ny\nalpha beta gamma delta eps zeta"), (6, None), (7, "one\none\none two three four five"),
 ]
+BOUNDS = ("RARE", "CANDIDATES", "PIECE", "SALTED", "SENT_IDS")
+
+
+@pytest.mark.parametrize("bounds", [(2048, 8, 8192, 256, 2_000_000), (2, 1, 3, 4, 0), (1, 1, 8192, 256, 2_000_000)])
+@pytest.mark.parametrize("rows", ["awkward", "real", "short", "crowded"])
+def test_line_dedup(spark, request, monkeypatch, texts, rows, bounds):
+    """Also with nearly every word frequent, one candidate a line, keys in salted groups and small pieces, and joins in place of what is sent."""
+    for name, value in zip(BOUNDS, bounds, strict=True):
+        monkeypatch.setattr(line_dedup, name, value)
+    own = {"awkward": AWKWARD, "real": texts, "short": SHORT, "crowded": crowded(600, 5)}[rows]
+    df = request.getfixturevalue(rows) if rows in ("awkward", "real") else spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    assert Counter((r.doc_id, tuple(r.removed)) for r in line_dedup.removed_lines(df).collect()) == removed(own)
+
+
+def test_line_words_are_those_of_python():
+    for texts in ([t or "" for _, t in AWKWARD], ["a\u2003b\x1cc\u3000 d\n\x85\ne " + "y" * 5000, "", "İx ΣΑΣ İx\n\n z" * 3]):
+        for counts in (None, np.arange(1 << 11, dtype="<u4")):
+            own = line_dedup.lines_of(texts, counts)
+            expected = [(k, no, len(w)) for k, t in enumerate(texts) for no, line in enumerate(t.lower().split("\n")) if (w := set(line.split()))]
+            assert list(zip(own.text.tolist(), own.number.tolist(), own.sizes.tolist(), strict=True)) == expected
+            by_words, by_id = defaultdict(set), defaultdict(set)
+            for (k, no, _), lid in zip(expected, zip(*own.ids(), strict=True), strict=True):
+                by_words[frozenset(texts[k].lower().split("\n")[no].split())].add(lid)
+                by_id[lid].add(frozenset(texts[k].lower().split("\n")[no].split()))
+            assert all(len(x) == 1 for x in (*by_words.values(), *by_id.values()))
+
+
+def test_bags_of_keys_are_worked_whole(monkeypatch):
+    """However the rows of keys fall into batches: what one bag cannot compare is marked."""
+    rng = np.random.default_rng(1)
+    key = np.sort(rng.integers(-3, 3, 400) << 40).astype(np.int64) | 10
+    lid, sketch = np.arange(400), np.zeros(400, dtype=np.int64)
+    batch = line_dedup.pa.RecordBatch.from_arrays([line_dedup.pa.array(x) for x in (key, lid, sketch)], ["key", "lid", "sketch"])
+    whole = line_dedup.pa.Table.from_batches(list(line_dedup._candidates(iter([batch])))).to_pydict()
+    assert not any(m and a < 0 for m, a in zip(whole["more"], whole["apart"], strict=True))
+    monkeypatch.setattr(line_dedup, "BAG", 30)
+    parts = line_dedup.pa.Table.from_batches(list(line_dedup._candidates(batch.slice(k, 20) for k in range(0, 400, 20)))).to_pydict()
+    assert set(parts["later"]) == set(whole["later"]) and all(parts["more"])
 
 
-@pytest.mark.parametrize(("paired", "rare"), [(48, 2048), (48, 1), (1, 1)])
-def test_short_lines_go(spark, monkeypatch, paired, rare):
-    monkeypatch.setattr(line_dedup, "PAIRED", paired)
-    monkeypatch.setattr(line_dedup, "RARE", rare)
-    docs = spark.createDataFrame(SHORT, "doc_id long, text string")
-    assert Counter((r.doc_id, ",".join(map(str, r.removed))) for r in line_dedup.removed_lines(docs, min_words=1).collect()) == removed_of_any_length(SHORT)
+def test_line_dedup_rebuilds_texts(spark):
+    rows = [(1, f"{PASSAGE}\nkeep me\n\nfive words that are here"), (2, f"start\n{PASSAGE} x\nFive words THAT are here\nkeep you"), (3, None), (4, "")]
+    schema = "doc_id long, text string, c0 int, removed string, removed_line_nos int, gone_doc_id int, gone_id int, doc_key int, lid int, no_id int"
+    docs = spark.createDataFrame([(i, t, 7, "r", 1, 2, 3, 4, 5, 6) for i, t in rows], schema)
+    kept = line_dedup.dedup_lines(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id: (r.text, *r[2:]) for r in kept.collect()} == {i: (t, 7, "r", 1, 2, 3, 4, 5, 6) for i, t in {1: rows[0][1], 2: "start\nkeep you", 3: None, 4: ""}.items()}
+    assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
 
 
-def test_line_dedup_query_takes_every_line(spark, sf_dir, texts):
+def test_line_dedup_query(spark, sf_dir, texts):
     got = Counter((r.doc_id, r.removed) for r in QUERIES["op10_line_dedup"](spark, sf_dir).where("n_removed > 0").collect())
-    assert got == removed_of_any_length(texts)
+    assert got == Counter({(d, ",".join(map(str, n))): c for (d, n), c in removed(texts).items()})
 
 
 # ---------------------------------------------------------------- all of them
