@@ -12,7 +12,8 @@ two or three, and keys stay short lists however frequent single words are. Under
 compared by length, by position (the first word that they share must leave room for the overlap that
 their two lengths demand) and by a parity sketch of their words, whose bits differ in no more places
 than the words do. Each line keeps its CANDIDATES closest earlier lines; these are verified on the
-words, the closest first, the others only if that one was not similar.
+words, the closest first, the others only if that one was not similar. A line without a close one
+keeps up to CANDIDATES_FAR.
 
 Hot keys: a key with many lines in one chunk is dealt over salted groups, and a group is worked in
 pieces of PIECE lines, so that groups of near copies cost no pairs. What was not compared with all of
@@ -44,12 +45,12 @@ from lamina.llm.scratch import stored
 NUM, DEN = 4, 5
 #: Words from which on a line can be similar to one of other words: there a line of one word more can hold them all.
 KEYED = NUM // (DEN - NUM)
-#: Counts are kept in a power of two of cells between these bounds (16 to 128 MB), one for BYTES_A_CELL of text, CELLS_A_ROW of them in a row on their way to be summed.
-LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, CELLS_A_ROW = 1 << 21, 1 << 24, 256, 1 << 11
+#: Counts are kept in a power of two of cells between these bounds (8 to 64 MB), one for BYTES_A_CELL of text, CELLS_A_ROW of them in a row on their way to be summed.
+LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, CELLS_A_ROW = 1 << 21, 1 << 24, 1024, 1 << 11
 #: Words in at most so many lines are keys alone.
 RARE = 2048
-#: Candidates that a line keeps under a key, lines of a key that are compared at once, and lines of a chunk from which on a key is dealt over salted groups.
-CANDIDATES, PIECE, SALTED = 8, 8192, 256
+#: Candidates that a line keeps under a key if one of them is close, and if none is; lines of a key that are compared at once, and lines of a chunk from which on a key is dealt over salted groups.
+CANDIDATES, CANDIDATES_FAR, PIECE, SALTED = 8, 64, 8192, 256
 #: Ids up to which a set of lines is sent to the tasks (16 MB); a larger one is joined.
 SENT_IDS = 2_000_000
 #: Documents and removed lines up to which the lists of removed lines are broadcast (about 50 MB).
@@ -63,10 +64,11 @@ LINE = ["lid", "lid2"]
 #: Low bits of a key: the part flag, the place of the key's first word and the number of words, the last two up to a bound.
 PLACE_BITS, SIZE_BITS = 8, 10
 MOST_PLACE, MOST_SIZE, KEY_SHIFT = (1 << PLACE_BITS) - 1, (1 << SIZE_BITS) - 1, 1 + PLACE_BITS + SIZE_BITS
-#: Bits of the parity sketch; the rest of its long says how early the line is.
-SKETCH_BITS, EARLY_BITS = 56, 8
+#: Bits of the parity sketch; the rest of its long says how early the line is. Lines of SPLIT words or more have another one for half of their words.
+SKETCH_BITS, EARLY_BITS, SPLIT = 56, 8, 64
 
 _ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_BYTES = [x.encode() for x in ("\x85", "\xa0", "\u1680", "\u205f", "\u3000")] + [b"\xe2\x80"]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True
 _M1, _M2, _M3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -127,13 +129,17 @@ def lines_of(texts: list[str], counts: np.ndarray | None = None, least: int = 1)
     """Lines of at least `least` different words; their words by rarity under counts, else in the order of their hashes."""
     low = [x.lower() for x in texts]
     joined = "\n".join(low)
-    data = (joined if joined.isascii() else _ODD_SPACE.sub(" ", joined)).encode() + b"\n" + b"\0" * 8
+    data = joined.encode()
+    if not joined.isascii() and any(x in data for x in _ODD_BYTES):
+        data = _ODD_SPACE.sub(" ", joined).encode()
+    data += b"\n" + b"\0" * 8
     buf = np.frombuffer(data, dtype=np.uint8)
     space = _SPACE[buf[:-8]]
     before = np.concatenate([[True], space[:-1]])
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
     words = word_hashes(buf, starts, ends - starts)
-    line = np.searchsorted(np.flatnonzero(buf[:-8] == 10), starts)
+    breaks = np.searchsorted(starts, np.flatnonzero(buf[:-8] == 10))
+    line = np.repeat(np.arange(len(breaks)), np.diff(breaks, prepend=0))
     count = np.zeros(len(words), dtype=np.uint64) if counts is None else counts[(words & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64)
     if len(line) and line[-1] < 1 << 21:
         packed = line.astype(np.uint64) << np.uint64(43) | np.minimum(count, np.uint64((1 << 20) - 1)) << np.uint64(23) | words >> np.uint64(41)
@@ -262,11 +268,22 @@ def line_keys(own: Lines, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def sketches(own: Lines, early: np.ndarray) -> np.ndarray:
-    """Parity of the words that fall on each bit; above it, how early the line's document is."""
+def sketches(own: Lines, early: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity of the words that fall on each bit, above it how early the line's document is; and the parity of half of the words of longer lines."""
+    if not len(own.sizes):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     flips = np.uint64(1) << ((own.words >> np.uint64(24)) % np.uint64(SKETCH_BITS))
-    parity = np.bitwise_xor.reduceat(flips, own.first) if len(flips) else np.zeros(0, dtype=np.uint64)
-    return parity | early.astype(np.uint64) << np.uint64(SKETCH_BITS)
+    half = np.bitwise_xor.reduceat(np.where(own.words & np.uint64(1 << 23), flips, np.uint64(0)), own.first)
+    parity = np.bitwise_xor.reduceat(flips, own.first) | early.astype(np.uint64) << np.uint64(SKETCH_BITS)
+    return parity.view(np.int64), np.where(own.sizes >= SPLIT, half, np.uint64(0)).view(np.int64)
+
+
+def within(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Places of values in a sorted array; -1 where it lacks them."""
+    if not len(sorted_):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return np.where(sorted_[at] == values, at, -1)
 
 
 def salted(key: np.ndarray, lid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,11 +302,14 @@ def salted(key: np.ndarray, lid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, part
 
 
-KEYS_SCHEMA = "key long, lid long, sketch long"
+KEYS_SCHEMA = "key long, lid long, sketch long, half long"
+
 
+def _keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, least: int, edges: np.ndarray, salt: bool, lids: np.ndarray | None = None, groups: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """key, lid and sketches of every line of KEYED words or more; a line goes once from a task as far as it remembers.
 
-def _keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, least: int, edges: np.ndarray, salt: bool) -> Iterator[pa.RecordBatch]:
-    """key, lid and sketch of every line of KEYED words or more; a line goes once from a task as far as it remembers."""
+    Only of lines named in lids, where given; only under the groups given, for lines that are as early as asked for there.
+    """
     seen = np.zeros(0, dtype=np.int64)
     for batch in batches:
         for part, texts in chunks(batch, 1):
@@ -302,6 +322,8 @@ def _keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, least: int, edg
             mark = lid ^ (early * int(_M2 >> np.uint64(2)))
             _, at = np.unique(mark, return_index=True)
             at = at[~np.isin(mark[at], seen)]
+            if lids is not None:
+                at = at[within(lid[at], lids) >= 0]
             if not len(at):
                 continue
             seen = np.concatenate([seen, mark[at]]) if len(seen) < SEEN_LIMIT else mark[at]
@@ -310,10 +332,14 @@ def _keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, least: int, edg
             key, flag = salted(key, lid[line]) if salt else (key, np.zeros(len(key), dtype=bool))
             low = flag.astype(np.uint64) << np.uint64(PLACE_BITS + SIZE_BITS) | np.minimum(place, MOST_PLACE).astype(np.uint64) << np.uint64(SIZE_BITS) | np.minimum(own.sizes[line], MOST_SIZE).astype(np.uint64)
             packed = (key & ~np.uint64((1 << KEY_SHIFT) - 1)) | low
-            sketch = sketches(own, early).view(np.int64)
+            if groups is not None:
+                at = within((packed >> np.uint64(KEY_SHIFT)).view(np.int64), groups[0])
+                hit = np.flatnonzero((at >= 0) & (early[line] <= groups[1][at]))
+                packed, line = packed[hit], line[hit]
+            sketch, half = sketches(own, early)
             for lo in range(0, len(packed), 100_000):
                 some = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(packed[some].view(np.int64)), pa.array(lid[line[some]]), pa.array(sketch[line[some]])], ["key", "lid", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(packed[some].view(np.int64)), *(pa.array(c[line[some]]) for c in (lid, sketch, half))], ["key", "lid", "sketch", "half"])
 
 
 # ---------------------------------------------------------------- candidates
@@ -325,13 +351,13 @@ def fitting(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, apart: n
     return ~known | ((p <= n - overlap) & (q <= m - overlap) & (apart <= (n + m) * (DEN - NUM) // (NUM + DEN)))
 
 
-def group_candidates(group: np.ndarray, low: np.ndarray, lid: np.ndarray, sketch: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, ...]:
+def group_candidates(group: np.ndarray, low: np.ndarray, lid: np.ndarray, sketch: np.ndarray, half: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, ...]:
     """later lid, earlier lid, distance, more of lines in groups; `cut` marks the lines of groups that are not whole."""
     order = np.lexsort((sketch >> np.uint64(SKETCH_BITS), lid, group))
-    group, low, lid, sketch, cut = group[order], low[order], lid[order], sketch[order], cut[order]
+    group, low, lid, sketch, half, cut = group[order], low[order], lid[order], sketch[order], half[order], cut[order]
     new = np.ones(len(lid), dtype=bool)
     new[1:] = (lid[1:] != lid[:-1]) | (group[1:] != group[:-1])  # the earliest copy of each line
-    group, low, lid, sketch, cut = group[new], low[new], lid[new], sketch[new], cut[new]
+    group, low, lid, sketch, half, cut = group[new], low[new], lid[new], sketch[new], half[new], cut[new]
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.append(starts, len(group)))
     # groups beyond PIECE are worked in pieces
@@ -340,7 +366,7 @@ def group_candidates(group: np.ndarray, low: np.ndarray, lid: np.ndarray, sketch
     piece = np.cumsum((inside % PIECE == 0).astype(np.int64))
     n, place = (low & np.uint64(MOST_SIZE)).astype(np.int64), (low >> np.uint64(SIZE_BITS) & np.uint64(MOST_PLACE)).astype(np.int64)
     order = np.lexsort((n, piece))
-    piece, n, place, lid, sketch, cut = piece[order], n[order], place[order], lid[order], sketch[order], cut[order]
+    piece, n, place, lid, sketch, half, cut = piece[order], n[order], place[order], lid[order], sketch[order], half[order], cut[order]
     parity, early = sketch & np.uint64((1 << SKETCH_BITS) - 1), (sketch >> np.uint64(SKETCH_BITS)).astype(np.int64)
     both = piece << 16 | n
     upto = np.searchsorted(both, piece << 16 | np.minimum(n * DEN // NUM, MOST_SIZE), side="right")
@@ -353,7 +379,9 @@ def group_candidates(group: np.ndarray, low: np.ndarray, lid: np.ndarray, sketch
         w = width[lo:hi]
         i = np.repeat(np.arange(lo, hi), w)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
-        apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64)
+        # where both have it, each half is compared by itself
+        other = np.where((n[i] >= SPLIT) & (n[j] >= SPLIT), half[i] ^ half[j], np.uint64(0))
+        apart = np.bitwise_count(parity[i] ^ parity[j] ^ other).astype(np.int64) + np.bitwise_count(other)
         fits = fitting(n[i], n[j], place[i], place[j], apart)
         i, j, apart = i[fits], j[fits], apart[fits]
         # equally early: either may come first, the words' check knows which
@@ -367,8 +395,10 @@ def group_candidates(group: np.ndarray, low: np.ndarray, lid: np.ndarray, sketch
     own, at, count = np.unique(later, return_index=True, return_counts=True)
     rank = np.arange(len(later)) - np.repeat(at, count)
     more = cut.copy()
-    more[own[count > CANDIDATES]] = True
-    keep = rank < CANDIDATES
+    # the closest says how many are kept: what differs in few places is all but sure to be similar
+    most = np.where(4 * apart[at] * (NUM + DEN) <= (n[own] + n[earlier[at]]) * 2 * (DEN - NUM), CANDIDATES, CANDIDATES_FAR)
+    more[own[count > most]] = True
+    keep = rank < np.repeat(most, count)
     none = np.setdiff1d(np.flatnonzero(cut), own)  # nothing found yet in a group that is not whole
     ids = np.concatenate([later[keep], none])
     return lid[ids], np.concatenate([lid[earlier[keep]], np.zeros(len(none), dtype=np.int64)]), np.concatenate([apart[keep], np.full(len(none), -1)]), more[ids]
@@ -383,7 +413,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n_held, broken = 0, None
 
     def work(rows: tuple[np.ndarray, ...], open_end: bool) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...], int | None]:
-        key, lid, sketch = rows
+        key, lid, sketch, half = rows
         group = key >> np.uint64(KEY_SHIFT)
         last = int(group[-1])
         end = len(group)
@@ -397,12 +427,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flag = (key[:end] >> np.uint64(PLACE_BITS + SIZE_BITS) & np.uint64(1)).astype(bool)
         names, inverse = np.unique(g, return_inverse=True)
         cut = np.isin(names, [x for x in (broken, cut_key) if x is not None]) | (np.bincount(inverse, weights=flag, minlength=len(names)) > 0)
-        found = group_candidates(inverse, key[:end], lid[:end], sketch[:end], cut[inverse])
+        found = group_candidates(inverse, key[:end], lid[:end], sketch[:end], half[:end], cut[inverse])
         out = pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2], pa.int32()), pa.array(found[3])], ["later", "earlier", "apart", "more"])
-        return out, (key[end:], lid[end:], sketch[end:]), cut_key
+        return out, (key[end:], lid[end:], sketch[end:], half[end:]), cut_key
 
     for batch in batches:
-        held.append((np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1)), np.asarray(batch.column(2)).view(np.uint64)))
+        held.append((np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1)), np.asarray(batch.column(2)).view(np.uint64), np.asarray(batch.column(3)).view(np.uint64)))
         n_held += batch.num_rows
         if n_held >= BAG:
             out, rest, broken = work(tuple(np.concatenate(c) for c in zip(*held, strict=True)), True)
@@ -439,7 +469,7 @@ def _texts(batches: Iterator[pa.RecordBatch], least: int, wanted: np.ndarray | N
         for part, texts in chunks(batch, 2):
             own = lines_of(texts, least=max(least, KEYED))
             lid, lid2 = own.ids()
-            at = np.arange(len(lid)) if wanted is None else np.flatnonzero(np.isin(lid, wanted))
+            at = np.arange(len(lid)) if wanted is None else np.flatnonzero(within(lid, wanted) >= 0)
             if not len(at):
                 continue
             few = own.take(at)
@@ -477,8 +507,8 @@ def early_edges(rows: DataFrame) -> np.ndarray:
     return np.unique(np.array(edges or [], dtype=np.int64))
 
 
-def key_rows(rows: DataFrame, counts: np.ndarray, least: int, edges: np.ndarray, salt: bool) -> DataFrame:
-    return rows.select("doc_id", "text").mapInArrow(partial(_keys, counts=counts, least=least, edges=edges, salt=salt), KEYS_SCHEMA)
+def key_rows(rows: DataFrame, counts: np.ndarray, least: int, edges: np.ndarray, salt: bool, lids: np.ndarray | None = None, groups: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    return rows.select("doc_id", "text").mapInArrow(partial(_keys, counts=counts, least=least, edges=edges, salt=salt, lids=lids, groups=groups), KEYS_SCHEMA)
 
 
 def _field(c: Column, shift: int, most: int) -> Column:
@@ -487,19 +517,27 @@ def _field(c: Column, shift: int, most: int) -> Column:
 
 def looked_up(rows: DataFrame, left: DataFrame, counts: np.ndarray, least: int, edges: np.ndarray) -> DataFrame:
     """All candidates (later, earlier, apart) of the lines in left (lid), under all of their keys."""
-    keys = key_rows(rows, counts, least, edges, salt=False).withColumn("group", F.shiftrightunsigned("key", KEY_SHIFT))
-    own = stored(keys.join(left, "lid", "left_semi").distinct(), "keys-again")
-    # the lines in question are few: with their keys sent along, hardly a row of the others has to move
-    groups = own.select("group").distinct()
-    others = keys.join(F.broadcast(groups) if groups.count() <= SENT_IDS else groups, "group", "left_semi").distinct()
-    a, b = own.select("group", *(F.col(c).alias(f"{c}_a") for c in ("key", "lid", "sketch"))), others.select("group", *(F.col(c).alias(f"{c}_b") for c in ("key", "lid", "sketch")))
-    (n, p, s), (m, q, t) = ((_field(F.col(f"key_{x}"), 0, MOST_SIZE), _field(F.col(f"key_{x}"), SIZE_BITS, MOST_PLACE), F.col(f"sketch_{x}")) for x in "ab")
-    apart = F.bit_count(s.bitwiseXOR(t).bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)))
+    grouped = lambda keys: keys.withColumns({"group": F.shiftrightunsigned("key", KEY_SHIFT), "early": F.shiftrightunsigned("sketch", SKETCH_BITS)})
+    lids = np.sort(np.asarray(left.toArrow().column(0), dtype=np.int64)) if left.count() <= SENT_IDS else None
+    own = key_rows(rows, counts, least, edges, salt=False, lids=lids)
+    own = stored(grouped(own if lids is not None else own.join(left, "lid", "left_semi")).distinct(), "keys-again")
+    asked = own.groupBy("group").agg(F.max("early").alias("upto")).orderBy("group")
+    if asked.count() <= SENT_IDS:
+        # the lines in question are few: with their keys sent along, hardly a row of the others has to move
+        table = asked.toArrow()
+        groups = tuple(np.asarray(table.column(k), dtype=np.int64) for k in range(2))
+        others = grouped(key_rows(rows, counts, least, edges, salt=False, groups=groups))
+    else:
+        others = grouped(key_rows(rows, counts, least, edges, salt=False)).join(asked, "group").where("early <= upto").drop("upto")
+    a, b = (x.select("group", *(F.col(c).alias(f"{c}_{y}") for c in ("key", "lid", "sketch", "half", "early"))) for x, y in ((own, "a"), (others.distinct(), "b")))
+    (n, p, s, h), (m, q, t, g) = ((_field(F.col(f"key_{x}"), 0, MOST_SIZE), _field(F.col(f"key_{x}"), SIZE_BITS, MOST_PLACE), F.col(f"sketch_{x}"), F.col(f"half_{x}")) for x in "ab")
+    other = F.when((n >= SPLIT) & (m >= SPLIT), h.bitwiseXOR(g)).otherwise(F.lit(0).cast("long"))
+    apart = F.bit_count(s.bitwiseXOR(t).bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).bitwiseXOR(other)) + F.bit_count(other)
     overlap = F.ceil(NUM * (n + m) / (NUM + DEN))
     fits = (n == MOST_SIZE) | (m == MOST_SIZE) | ((p <= n - overlap) & (q <= m - overlap) & (apart * (NUM + DEN) <= (n + m) * (DEN - NUM)))
     lengths = ((n * DEN >= m * NUM) | (m == MOST_SIZE)) & ((m * DEN >= n * NUM) | (n == MOST_SIZE))
-    early = F.shiftrightunsigned(t, SKETCH_BITS) <= F.shiftrightunsigned(s, SKETCH_BITS)
-    return a.join(b, "group").where((F.col("lid_a") != F.col("lid_b")) & lengths & fits & early).groupBy(F.col("lid_a").alias("later"), F.col("lid_b").alias("earlier")).agg(F.min(apart).alias("apart"))
+    both = a.join(b, "group").where((F.col("lid_a") != F.col("lid_b")) & lengths & fits & (F.col("early_b") <= F.col("early_a")))
+    return both.groupBy(F.col("lid_a").alias("later"), F.col("lid_b").alias("earlier")).agg(F.min(apart).alias("apart"))
 
 
 def similar_later(rows: DataFrame, counts: np.ndarray, least: int) -> DataFrame:

@@ -424,10 +424,10 @@ SHORT = [
     (1, "one\none two\none two three\none two three four\n\n \nbeta gamma delta eps zeta"), (2, "ONE\ntwo one\nthree two one\none two four five\nfour three two one\nadd one two three four"), (3, "one one one\none three\ngamma delta eps zeta\nspam spam eggs spam\nx"),
     (4, "eggs spam\none two three five\ny\nbeta gamma delta"), (5, "x\ny\nalpha beta gamma delta eps zeta"), (6, None), (7, "one\none\none two three four five"),
 ]
-BOUNDS = ("RARE", "CANDIDATES", "PIECE", "SALTED", "SENT_IDS")
+BOUNDS = ("RARE", "CANDIDATES", "CANDIDATES_FAR", "PIECE", "SALTED", "SENT_IDS")
 
 
-@pytest.mark.parametrize("bounds", [(2048, 8, 8192, 256, 2_000_000), (2, 1, 3, 4, 0), (1, 1, 8192, 256, 2_000_000)])
+@pytest.mark.parametrize("bounds", [(2048, 8, 64, 8192, 256, 2_000_000), (2, 1, 1, 3, 4, 0), (1, 1, 1, 8192, 256, 2_000_000)])
 @pytest.mark.parametrize("rows", ["awkward", "real", "short", "crowded"])
 def test_line_dedup(spark, request, monkeypatch, texts, rows, bounds):
     """Also with nearly every word frequent, one candidate a line, keys in salted groups and small pieces, and joins in place of what is sent."""
@@ -456,7 +456,7 @@ def test_bags_of_keys_are_worked_whole(monkeypatch):
     rng = np.random.default_rng(1)
     key = np.sort(rng.integers(-3, 3, 400) << 40).astype(np.int64) | 10
     lid, sketch = np.arange(400), np.zeros(400, dtype=np.int64)
-    batch = line_dedup.pa.RecordBatch.from_arrays([line_dedup.pa.array(x) for x in (key, lid, sketch)], ["key", "lid", "sketch"])
+    batch = line_dedup.pa.RecordBatch.from_arrays([line_dedup.pa.array(x) for x in (key, lid, sketch, sketch)], ["key", "lid", "sketch", "half"])
     whole = line_dedup.pa.Table.from_batches(list(line_dedup._candidates(iter([batch])))).to_pydict()
     assert not any(m and a < 0 for m, a in zip(whole["more"], whole["apart"], strict=True))
     monkeypatch.setattr(line_dedup, "BAG", 30)
