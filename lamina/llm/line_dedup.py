@@ -17,8 +17,8 @@ keeps up to CANDIDATES_FAR.
 
 Hot keys: a key with many lines in one chunk is dealt over salted groups, and a group is worked in
 pieces of PIECE lines, so that groups of near copies cost no pairs. What was not compared with all of
-its key, or had more candidates than it kept, and was not found similar, is looked up again under all
-of its keys (`looked_up`); so nothing is lost to these bounds.
+its key, or had more candidates than it kept, and was not found similar, is compared again: a few lines
+with all others (`_compared`), many under all of their keys (`looked_up`); so nothing is lost to bounds.
 
 Nulls: a null text has no lines; a null doc_id comes first. Rows with equal doc_id and equal text are
 one document and keep the same lines; with other texts they are told apart. Empty lines stay. An
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import InitVar, dataclass
 from functools import partial
 from itertools import combinations
 
@@ -53,6 +53,8 @@ RARE = 2048
 CANDIDATES, CANDIDATES_FAR, PIECE, SALTED = 8, 64, 8192, 256
 #: Ids up to which a set of lines is sent to the tasks (16 MB); a larger one is joined.
 SENT_IDS = 2_000_000
+#: Bytes of words up to which lines are sent to the tasks to be compared with all others.
+SENT_BYTES = 8_000_000
 #: Documents and removed lines up to which the lists of removed lines are broadcast (about 50 MB).
 BROADCAST_DOCS, BROADCAST_LINES = 300_000, 5_000_000
 #: Bytes of text worked at once, rows of keys worked at once, lines that a task remembers as sent.
@@ -64,7 +66,7 @@ LINE = ["lid", "lid2"]
 #: Low bits of a key: the part flag, the place of the key's first word and the number of words, the last two up to a bound.
 PLACE_BITS, SIZE_BITS = 8, 10
 MOST_PLACE, MOST_SIZE, KEY_SHIFT = (1 << PLACE_BITS) - 1, (1 << SIZE_BITS) - 1, 1 + PLACE_BITS + SIZE_BITS
-#: Bits of the parity sketch; the rest of its long says how early the line is. Lines of SPLIT words or more have another one for half of their words.
+#: Bits of the parity sketch. Lines of SPLIT words or more have another one for half of their words. The rest of both longs says how early the line is.
 SKETCH_BITS, EARLY_BITS, SPLIT = 56, 8, 64
 
 _ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -156,7 +158,9 @@ def lines_of(texts: list[str], counts: np.ndarray | None = None, least: int = 1)
     new = np.ones(len(words), dtype=bool)
     new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
     words, line = words[new], line[new]
-    own, sizes = np.unique(line, return_counts=True)
+    sizes = np.bincount(line)
+    own = np.flatnonzero(sizes)
+    sizes = sizes[own]
     n_lines = np.array([x.count("\n") + 1 for x in low], dtype=np.int64)
     text = np.repeat(np.arange(len(texts)), n_lines)
     number = np.arange(len(text)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
@@ -269,13 +273,23 @@ def line_keys(own: Lines, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def sketches(own: Lines, early: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parity of the words that fall on each bit, above it how early the line's document is; and the parity of half of the words of longer lines."""
+    """Parity of the words that fall on each bit, and that of half of the words of longer lines; above them how early the line's document is."""
     if not len(own.sizes):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     flips = np.uint64(1) << ((own.words >> np.uint64(24)) % np.uint64(SKETCH_BITS))
     half = np.bitwise_xor.reduceat(np.where(own.words & np.uint64(1 << 23), flips, np.uint64(0)), own.first)
-    parity = np.bitwise_xor.reduceat(flips, own.first) | early.astype(np.uint64) << np.uint64(SKETCH_BITS)
-    return parity.view(np.int64), np.where(own.sizes >= SPLIT, half, np.uint64(0)).view(np.int64)
+    high, low = (x.astype(np.uint64) << np.uint64(SKETCH_BITS) for x in (early >> EARLY_BITS, early & ((1 << EARLY_BITS) - 1)))
+    return (np.bitwise_xor.reduceat(flips, own.first) | high).view(np.int64), (np.where(own.sizes >= SPLIT, half, np.uint64(0)) | low).view(np.int64)
+
+
+def earliness(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Twice EARLY_BITS that never fall as ids grow: the part of the corpus, and where in it."""
+    part = np.searchsorted(edges, ids, side="right")
+    if not len(edges):
+        return part
+    low, high = edges[np.maximum(part - 1, 0)].astype(np.float64), edges[np.minimum(part, len(edges) - 1)].astype(np.float64)
+    inside = np.where((part > 0) & (part < len(edges)), (ids.astype(np.float64) - low) / np.maximum(high - low, 1), 0.0)
+    return part << EARLY_BITS | np.clip(inside * (1 << EARLY_BITS), 0, (1 << EARLY_BITS) - 1).astype(np.int64)
 
 
 def within(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -302,6 +316,8 @@ def salted(key: np.ndarray, lid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, part
 
 
+#: Where a line may have more candidates than were kept.
+SAME, ALL = 1, 2
 KEYS_SCHEMA = "key long, lid long, sketch long, half long"
 
 
@@ -310,23 +326,26 @@ def _keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, least: int, edg
 
     Only of lines named in lids, where given; only under the groups given, for lines that are as early as asked for there.
     """
-    seen = np.zeros(0, dtype=np.int64)
+    seen: dict[int, int] = {}
     for batch in batches:
         for part, texts in chunks(batch, 1):
             own = lines_of(texts, counts, max(least, KEYED))
             if not len(own.sizes):
                 continue
             ids = part.column(0).fill_null(np.iinfo(np.int64).min)
-            early = np.searchsorted(edges, np.asarray(ids)[own.text], side="right")
+            early = earliness(np.asarray(ids), edges)[own.text]
             lid = own.ids()[0]
-            mark = lid ^ (early * int(_M2 >> np.uint64(2)))
-            _, at = np.unique(mark, return_index=True)
-            at = at[~np.isin(mark[at], seen)]
+            at = np.lexsort((early, lid))
+            at = at[np.concatenate([[True], lid[at][1:] != lid[at][:-1]])]  # the earliest of equal lines
+            if len(seen) > SEEN_LIMIT:
+                seen.clear()
+            pairs = list(zip(lid[at].tolist(), early[at].tolist(), strict=True))
+            at = at[[e < seen.get(x, 1 << 62) for x, e in pairs]]
+            seen.update((x, e) for x, e in pairs if e < seen.get(x, 1 << 62))
             if lids is not None:
                 at = at[within(lid[at], lids) >= 0]
             if not len(at):
                 continue
-            seen = np.concatenate([seen, mark[at]]) if len(seen) < SEEN_LIMIT else mark[at]
             own, lid, early = own.take(at), lid[at], early[at]
             line, key, place = line_keys(own, counts)
             key, flag = salted(key, lid[line]) if salt else (key, np.zeros(len(key), dtype=bool))
@@ -352,8 +371,12 @@ def fitting(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, apart: n
 
 
 def group_candidates(group: np.ndarray, low: np.ndarray, lid: np.ndarray, sketch: np.ndarray, half: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, ...]:
-    """later lid, earlier lid, distance, more of lines in groups; `cut` marks the lines of groups that are not whole."""
-    order = np.lexsort((sketch >> np.uint64(SKETCH_BITS), lid, group))
+    """later lid, earlier lid, distance, more of lines in groups; `cut` marks the lines of groups that are not whole.
+
+    more says where else a line has candidates: nowhere (0), in documents just as early (SAME), anywhere (ALL).
+    """
+    bits, mask = np.uint64(SKETCH_BITS), np.uint64((1 << SKETCH_BITS) - 1)
+    order = np.lexsort((half >> bits, sketch >> bits, lid, group))
     group, low, lid, sketch, half, cut = group[order], low[order], lid[order], sketch[order], half[order], cut[order]
     new = np.ones(len(lid), dtype=bool)
     new[1:] = (lid[1:] != lid[:-1]) | (group[1:] != group[:-1])  # the earliest copy of each line
@@ -367,7 +390,8 @@ def group_candidates(group: np.ndarray, low: np.ndarray, lid: np.ndarray, sketch
     n, place = (low & np.uint64(MOST_SIZE)).astype(np.int64), (low >> np.uint64(SIZE_BITS) & np.uint64(MOST_PLACE)).astype(np.int64)
     order = np.lexsort((n, piece))
     piece, n, place, lid, sketch, half, cut = piece[order], n[order], place[order], lid[order], sketch[order], half[order], cut[order]
-    parity, early = sketch & np.uint64((1 << SKETCH_BITS) - 1), (sketch >> np.uint64(SKETCH_BITS)).astype(np.int64)
+    early = ((sketch >> bits) << np.uint64(EARLY_BITS) | half >> bits).astype(np.int64)
+    parity, half = sketch & mask, half & mask
     both = piece << 16 | n
     upto = np.searchsorted(both, piece << 16 | np.minimum(n * DEN // NUM, MOST_SIZE), side="right")
     width = upto - np.arange(len(n)) - 1
@@ -390,21 +414,24 @@ def group_candidates(group: np.ndarray, low: np.ndarray, lid: np.ndarray, sketch
             found.append((later[may], earlier[may], apart[may]))
         lo = hi
     later, earlier, apart = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
-    order = np.lexsort((lid[earlier], early[earlier], apart, later))
-    later, earlier, apart = later[order], earlier[order], apart[order]
-    own, at, count = np.unique(later, return_index=True, return_counts=True)
-    rank = np.arange(len(later)) - np.repeat(at, count)
-    more = cut.copy()
+    same = (early[later] == early[earlier]).astype(np.int64)
+    order = np.lexsort((lid[earlier], early[earlier], apart, same, later))
+    later, earlier, apart, same = later[order], earlier[order], apart[order], same[order]
+    own, at = np.unique(later, return_index=True)
     # the closest says how many are kept: what differs in few places is all but sure to be similar
-    most = np.where(4 * apart[at] * (NUM + DEN) <= (n[own] + n[earlier[at]]) * 2 * (DEN - NUM), CANDIDATES, CANDIDATES_FAR)
-    more[own[count > most]] = True
-    keep = rank < np.repeat(most, count)
+    best = np.minimum.reduceat(apart, at) if len(at) else apart
+    most = np.where(4 * best * (NUM + DEN) <= n[own] * 4 * (DEN - NUM), CANDIDATES, CANDIDATES_FAR)
+    part, at, count = np.unique(later * 2 + same, return_index=True, return_counts=True)
+    limit = most[np.searchsorted(own, part >> 1)]
+    keep = np.arange(len(later)) - np.repeat(at, count) < np.repeat(limit, count)
+    more = np.where(cut, ALL, 0)
+    np.maximum.at(more, part[count > limit] >> 1, np.where(part[count > limit] & 1, SAME, ALL))
     none = np.setdiff1d(np.flatnonzero(cut), own)  # nothing found yet in a group that is not whole
     ids = np.concatenate([later[keep], none])
     return lid[ids], np.concatenate([lid[earlier[keep]], np.zeros(len(none), dtype=np.int64)]), np.concatenate([apart[keep], np.full(len(none), -1)]), more[ids]
 
 
-CANDIDATE_SCHEMA = "later long, earlier long, apart int, more boolean"
+CANDIDATE_SCHEMA = "later long, earlier long, apart int, more int"
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,7 +455,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, inverse = np.unique(g, return_inverse=True)
         cut = np.isin(names, [x for x in (broken, cut_key) if x is not None]) | (np.bincount(inverse, weights=flag, minlength=len(names)) > 0)
         found = group_candidates(inverse, key[:end], lid[:end], sketch[:end], half[:end], cut[inverse])
-        out = pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2], pa.int32()), pa.array(found[3])], ["later", "earlier", "apart", "more"])
+        out = pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2], pa.int32()), pa.array(found[3], pa.int32())], ["later", "earlier", "apart", "more"])
         return out, (key[end:], lid[end:], sketch[end:], half[end:]), cut_key
 
     for batch in batches:
@@ -463,33 +490,55 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("later", "later2", "later_words", "earlier_words").mapInArrow(_verify, "lid long, lid2 long").distinct()
 
 
-def _texts(batches: Iterator[pa.RecordBatch], least: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """LINE, ORD and words of lines; of the wanted ones alone, where these are few enough to be sent along."""
+def _texts(batches: Iterator[pa.RecordBatch], least: int, places: tuple[np.ndarray, ...] | None) -> Iterator[pa.RecordBatch]:
+    """LINE, ORD and words of lines; of those at the places (document, number; sorted) alone, where these are few enough to be sent along."""
     for batch in batches:
         for part, texts in chunks(batch, 2):
+            number = None
+            if places is not None:
+                docs = place_hashes(np.asarray(part.column(0).fill_null(0)), np.asarray(part.column(1)), np.asarray(part.column(0).is_null()))
+                low, high = (np.searchsorted(places[0], docs, side=x) for x in ("left", "right"))
+                number = np.concatenate([places[1][a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]) if len(docs) else places[1][:0]
+                # these lines alone, as a text of its own for each document; numbers beyond a text's end are of another document of equal hash
+                texts = [pick(t, places[1][a:b].tolist()) for t, a, b in zip(texts, low.tolist(), high.tolist(), strict=True)]
             own = lines_of(texts, least=max(least, KEYED))
+            if number is not None:
+                first = np.concatenate([[0], np.cumsum(high - low)[:-1]])
+                own.number = number[np.minimum(first[own.text] + own.number, len(number) - 1)] if len(own.number) else own.number
             lid, lid2 = own.ids()
-            at = np.arange(len(lid)) if wanted is None else np.flatnonzero(within(lid, wanted) >= 0)
-            if not len(at):
-                continue
-            few = own.take(at)
-            data, ends = few.words.tobytes(), np.cumsum(few.sizes) * 8
-            rows = pa.array(few.text)
+            data, ends = own.words.tobytes(), np.cumsum(own.sizes) * 8
+            rows = pa.array(own.text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lid[at]), pa.array(lid2[at]), part.column(0).take(rows), part.column(1).take(rows), pa.array(few.number, pa.int32()), pa.array([data[e - 8 * n:e] for e, n in zip(ends.tolist(), few.sizes.tolist(), strict=True)], pa.binary())], [*LINE, *ORD, "words"]
+                [pa.array(lid), pa.array(lid2), part.column(0).take(rows), part.column(1).take(rows), pa.array(own.number, pa.int32()), pa.array([data[e - 8 * n:e] for e, n in zip(ends.tolist(), own.sizes.tolist(), strict=True)], pa.binary())], [*LINE, *ORD, "words"]
             )
 
 
-def line_texts(rows: DataFrame, lids: DataFrame, least: int) -> DataFrame:
+def pick(text: str, numbers: list[int]) -> str:
+    if not numbers:
+        return ""
+    lines = text.split("\n")
+    return "\n".join(lines[n] if n < len(lines) else "" for n in numbers)
+
+
+def place_hashes(ids: np.ndarray, keys: np.ndarray, null: np.ndarray) -> np.ndarray:
+    return mixed(mixed(ids.astype(np.int64).view(np.uint64), _M2) ^ keys.astype(np.int64).view(np.uint64), _M3 + null.astype(np.uint64))
+
+
+def line_texts(rows: DataFrame, lines: DataFrame, lids: DataFrame, least: int) -> DataFrame:
     """LINE, first (the ORD of the first such line) and words (sorted hashes) of the lines named in lids (lid)."""
+    n = lids.count()
+    first = stored(lines.join(F.broadcast(lids) if n <= SENT_IDS else lids, "lid", "left_semi").groupBy(*LINE).agg(F.min(F.struct(*ORD)).alias("first")), "firsts")
     few = None
-    if lids.count() <= SENT_IDS:
-        few = np.sort(np.asarray(lids.toArrow().column(0), dtype=np.int64))
-    texts = rows.mapInArrow(partial(_texts, least=least, wanted=few), "lid long, lid2 long, doc_id long, doc_key long, line_no int, words binary")
-    if few is None:
-        texts = texts.join(lids, "lid", "left_semi")
-    first = texts.groupBy(*LINE).agg(F.min(F.struct(*ORD, "words")).alias("x"))
-    return stored(first.select(*LINE, F.struct(*(F.col(f"x.{c}").alias(c) for c in ORD)).alias("first"), "x.words"), "line-words")
+    if n <= SENT_IDS:
+        table = first.select("first.*").toArrow()
+        doc = place_hashes(np.asarray(table.column(0).fill_null(0)), np.asarray(table.column(1)), np.asarray(table.column(0).is_null()))
+        number = np.asarray(table.column(2), dtype=np.int64)
+        order = np.lexsort((number, doc))
+        few = doc[order], number[order]
+    texts = rows.mapInArrow(partial(_texts, least=least, places=few), "lid long, lid2 long, doc_id long, doc_key long, line_no int, words binary")
+    # one row for each line, however often its document is repeated
+    words = texts.join(first, LINE).where(F.struct(*ORD).eqNullSafe(F.col("first"))).dropDuplicates(LINE)
+    return stored(words.select(*LINE, "first", "words"), "line-words")
 
 
 def directed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -502,8 +551,8 @@ def directed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- operator
 
 def early_edges(rows: DataFrame) -> np.ndarray:
-    """Document ids that cut the corpus into at most 256 parts of about equal size."""
-    edges = rows.where("doc_id is not null").agg(F.percentile_approx("doc_id", F.array(*(F.lit(k / (1 << EARLY_BITS)) for k in range(1, 1 << EARLY_BITS))), F.lit(2000))).first()[0]
+    """Document ids that cut the corpus into at most 255 parts of about equal size."""
+    edges = rows.where("doc_id is not null").agg(F.percentile_approx("doc_id", F.array(*(F.lit(k / (1 << EARLY_BITS)) for k in range(1, (1 << EARLY_BITS) - 1))), F.lit(2000))).first()[0]
     return np.unique(np.array(edges or [], dtype=np.int64))
 
 
@@ -511,13 +560,66 @@ def key_rows(rows: DataFrame, counts: np.ndarray, least: int, edges: np.ndarray,
     return rows.select("doc_id", "text").mapInArrow(partial(_keys, counts=counts, least=least, edges=edges, salt=salt, lids=lids, groups=groups), KEYS_SCHEMA)
 
 
+@dataclass
+class Asked:
+    """Lines to be compared with all others: identities, places in the order of lines, words; and by which words they are found."""
+
+    ids: list[tuple[int, int]]
+    first: list[tuple]
+    words: list[np.ndarray]
+    counts: InitVar[np.ndarray]
+
+    def __post_init__(self, counts: np.ndarray) -> None:
+        # whatever is similar to n words has at least ceil(0.8 n) of them, and so one of the n - ceil(0.8 n) + 1 rarest
+        rarest = (w[np.argsort(counts[(w & np.uint64(len(counts) - 1)).astype(np.int64)], kind="stable")] for w in self.words)
+        prefix = [w[: len(w) - -(-NUM * len(w) // DEN) + 1] for w in rarest]
+        self.flat = np.concatenate([np.zeros(0, dtype=np.uint64), *prefix])
+        self.of = np.repeat(np.arange(len(prefix)), [len(p) for p in prefix])
+        order = np.argsort(self.flat, kind="stable")
+        self.flat, self.of = self.flat[order], self.of[order]
+        self.some = np.zeros(1 << 20, dtype=bool)
+        self.some[(self.flat >> np.uint64(44)).astype(np.int64)] = True
+
+
+def in_order(first: tuple) -> tuple:
+    return first[0] is not None, first[0] or 0, first[1], first[2]
+
+
+def _compared(batches: Iterator[pa.RecordBatch], least: int, asked: Asked, edges: np.ndarray, early: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """LINE of the lines asked for that some earlier line of these rows is similar to; of documents as early as given alone, where that is enough."""
+    found: set[int] = set()
+    for batch in batches:
+        if early is not None:
+            batch = batch.filter(pa.array(np.isin(earliness(np.asarray(batch.column(0).fill_null(np.iinfo(np.int64).min)), edges), early)))
+        for part, texts in chunks(batch, 2):
+            own = lines_of(texts, least=max(least, KEYED))
+            hit = np.flatnonzero(asked.some[(own.words >> np.uint64(44)).astype(np.int64)])
+            low, high = (np.searchsorted(asked.flat, own.words[hit], side=x) for x in ("left", "right"))
+            line = np.repeat(np.arange(len(own.sizes)), own.sizes)[hit]
+            n = high - low
+            at = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            pairs = np.unique(np.repeat(line, n) * len(asked.ids) + asked.of[at])
+            starts, docs, keys = own.first, part.column(0), part.column(1)
+            for i, a in zip((pairs // len(asked.ids)).tolist(), (pairs % len(asked.ids)).tolist(), strict=True):
+                mine, size = asked.words[a], int(own.sizes[i])
+                if a in found or size * DEN < len(mine) * NUM or len(mine) * DEN < size * NUM:
+                    continue
+                k = int(own.text[i])
+                if in_order((docs[k].as_py(), keys[k].as_py(), int(own.number[i]))) < in_order(asked.first[a]):
+                    both = len(np.intersect1d(own.words[starts[i]:starts[i] + size], mine, assume_unique=True))
+                    if both * (NUM + DEN) >= NUM * (size + len(mine)):
+                        found.add(a)
+    lines = [asked.ids[a] for a in sorted(found)]
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in lines], pa.int64()) for k in range(2)], LINE)
+
+
 def _field(c: Column, shift: int, most: int) -> Column:
     return F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(most))
 
 
 def looked_up(rows: DataFrame, left: DataFrame, counts: np.ndarray, least: int, edges: np.ndarray) -> DataFrame:
     """All candidates (later, earlier, apart) of the lines in left (lid), under all of their keys."""
-    grouped = lambda keys: keys.withColumns({"group": F.shiftrightunsigned("key", KEY_SHIFT), "early": F.shiftrightunsigned("sketch", SKETCH_BITS)})
+    grouped = lambda keys: keys.withColumns({"group": F.shiftrightunsigned("key", KEY_SHIFT), "early": F.shiftrightunsigned("sketch", SKETCH_BITS) * F.lit(1 << EARLY_BITS) + F.shiftrightunsigned("half", SKETCH_BITS)})
     lids = np.sort(np.asarray(left.toArrow().column(0), dtype=np.int64)) if left.count() <= SENT_IDS else None
     own = key_rows(rows, counts, least, edges, salt=False, lids=lids)
     own = stored(grouped(own if lids is not None else own.join(left, "lid", "left_semi")).distinct(), "keys-again")
@@ -531,8 +633,9 @@ def looked_up(rows: DataFrame, left: DataFrame, counts: np.ndarray, least: int,
         others = grouped(key_rows(rows, counts, least, edges, salt=False)).join(asked, "group").where("early <= upto").drop("upto")
     a, b = (x.select("group", *(F.col(c).alias(f"{c}_{y}") for c in ("key", "lid", "sketch", "half", "early"))) for x, y in ((own, "a"), (others.distinct(), "b")))
     (n, p, s, h), (m, q, t, g) = ((_field(F.col(f"key_{x}"), 0, MOST_SIZE), _field(F.col(f"key_{x}"), SIZE_BITS, MOST_PLACE), F.col(f"sketch_{x}"), F.col(f"half_{x}")) for x in "ab")
-    other = F.when((n >= SPLIT) & (m >= SPLIT), h.bitwiseXOR(g)).otherwise(F.lit(0).cast("long"))
-    apart = F.bit_count(s.bitwiseXOR(t).bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).bitwiseXOR(other)) + F.bit_count(other)
+    mask = F.lit((1 << SKETCH_BITS) - 1)
+    other = F.when((n >= SPLIT) & (m >= SPLIT), h.bitwiseXOR(g).bitwiseAND(mask)).otherwise(F.lit(0).cast("long"))
+    apart = F.bit_count(s.bitwiseXOR(t).bitwiseAND(mask).bitwiseXOR(other)) + F.bit_count(other)
     overlap = F.ceil(NUM * (n + m) / (NUM + DEN))
     fits = (n == MOST_SIZE) | (m == MOST_SIZE) | ((p <= n - overlap) & (q <= m - overlap) & (apart * (NUM + DEN) <= (n + m) * (DEN - NUM)))
     lengths = ((n * DEN >= m * NUM) | (m == MOST_SIZE)) & ((m * DEN >= n * NUM) | (n == MOST_SIZE))
@@ -540,26 +643,34 @@ def looked_up(rows: DataFrame, left: DataFrame, counts: np.ndarray, least: int,
     return both.groupBy(F.col("lid_a").alias("later"), F.col("lid_b").alias("earlier")).agg(F.min(apart).alias("apart"))
 
 
-def similar_later(rows: DataFrame, counts: np.ndarray, least: int) -> DataFrame:
+def similar_later(rows: DataFrame, lines: DataFrame, counts: np.ndarray, least: int) -> DataFrame:
     """LINE of every set of words that is similar to another one that comes first."""
     edges = early_edges(rows)
     shares = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = key_rows(rows, counts, least, edges, salt=True).repartition(shares, F.shiftrightunsigned("key", KEY_SHIFT)).sortWithinPartitions("key")
     found = stored(keyed.mapInArrow(_candidates, CANDIDATE_SCHEMA), "candidates")
     pairs = found.where("apart >= 0").groupBy("later", "earlier").agg(F.min("apart").alias("apart"))
-    lids = found.where("apart >= 0").select(F.explode(F.array("later", "earlier")).alias("lid")).distinct()
-    texts = line_texts(rows, stored(lids, "suspects"), least)
+    lids = found.select(F.explode(F.when(F.col("apart") >= 0, F.array("later", "earlier")).otherwise(F.array("later"))).alias("lid")).distinct()
+    texts = line_texts(rows, lines, stored(lids, "suspects"), least)
     pairs = stored(directed(pairs, texts), "pairs")
     closest = pairs.groupBy("later", "later2").agg(F.min(F.struct("apart", "earlier", "earlier2")).alias("x")).select("later", "later2", "x.earlier", "x.earlier2")
     sure = stored(verified(closest, texts), "later-lines")
     known = sure.select(F.col("lid").alias("later"), F.col("lid2").alias("later2"))
     rest = pairs.join(known, ["later", "later2"], "left_anti").join(closest, ["later", "later2", "earlier", "earlier2"], "left_anti")
     sure = stored(sure.unionByName(verified(rest, texts)), "later-lines")
-    left = stored(found.where("more").select(F.col("later").alias("lid")).distinct().join(sure, "lid", "left_anti"), "left")
-    if left.isEmpty():
+    open_ = found.where("more > 0").groupBy(F.col("later").alias("lid")).agg(F.max("more").alias("more"))
+    left = stored(texts.join(open_, "lid").join(sure, LINE, "left_anti"), "left")
+    n, n_bytes, widest = left.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)), F.max("more")).first()
+    if not n:
         return sure
-    again = stored(looked_up(rows, left, counts, least, edges), "candidates-again")
-    texts = line_texts(rows, stored(again.select(F.explode(F.array("later", "earlier")).alias("lid")).distinct(), "suspects"), least)
+    if n_bytes <= SENT_BYTES:
+        few = left.toArrow()
+        asked = Asked(list(zip(few.column("lid").to_pylist(), few.column("lid2").to_pylist(), strict=True)), [tuple(x.values()) for x in few.column("first").to_pylist()], [np.frombuffer(w, dtype="<u8") for w in few.column("words").to_pylist()], counts)
+        early = None if widest == ALL else np.unique(earliness(np.array([np.iinfo(np.int64).min if f[0] is None else f[0] for f in asked.first], dtype=np.int64), edges))
+        compared = rows.mapInArrow(partial(_compared, least=least, asked=asked, edges=edges, early=early), "lid long, lid2 long")
+        return stored(sure.unionByName(compared).distinct(), "later-lines")
+    again = stored(looked_up(rows, left.select("lid"), counts, least, edges), "candidates-again")
+    texts = line_texts(rows, lines, stored(again.select(F.explode(F.array("later", "earlier")).alias("lid")).distinct(), "suspects"), least)
     return stored(sure.unionByName(verified(directed(again, texts), texts)).distinct(), "later-lines")
 
 
@@ -569,8 +680,8 @@ def removed_lines(docs: DataFrame, min_words: int = 1) -> DataFrame:
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << int(n_bytes // BYTES_A_CELL).bit_length()))
     lines = stored(rows.mapInArrow(partial(_lines, least=min_words, n_cells=n_cells), LINES_SCHEMA), "lines")
-    later = similar_later(rows, word_counts(lines, n_cells), min_words)
     held = lines.where("lid is not null").select(*ORD, *LINE)
+    later = similar_later(rows, held, word_counts(lines, n_cells), min_words)
     # a line stays if it is the first of its words and no other comes before; sums of copies are made before the shuffle, and no join meets all copies of a line
     firsts = held.groupBy(*LINE).agg(F.min(F.struct(*ORD)).alias("first")).join(later, LINE, "left_anti").select("first.*")
     gone = _keyed(held.select(*ORD)).join(_keyed(firsts).drop("doc_id"), ["no_id", "id", "doc_key", "line_no"], "left_anti")

@@ -424,10 +424,10 @@ SHORT = [
     (1, "one\none two\none two three\none two three four\n\n \nbeta gamma delta eps zeta"), (2, "ONE\ntwo one\nthree two one\none two four five\nfour three two one\nadd one two three four"), (3, "one one one\none three\ngamma delta eps zeta\nspam spam eggs spam\nx"),
     (4, "eggs spam\none two three five\ny\nbeta gamma delta"), (5, "x\ny\nalpha beta gamma delta eps zeta"), (6, None), (7, "one\none\none two three four five"),
 ]
-BOUNDS = ("RARE", "CANDIDATES", "CANDIDATES_FAR", "PIECE", "SALTED", "SENT_IDS")
+BOUNDS = ("RARE", "CANDIDATES", "CANDIDATES_FAR", "PIECE", "SALTED", "SENT_IDS", "SENT_BYTES")
 
 
-@pytest.mark.parametrize("bounds", [(2048, 8, 64, 8192, 256, 2_000_000), (2, 1, 1, 3, 4, 0), (1, 1, 1, 8192, 256, 2_000_000)])
+@pytest.mark.parametrize("bounds", [(2048, 8, 64, 8192, 256, 2_000_000, 8_000_000), (2, 1, 1, 3, 4, 0, 0), (1, 1, 1, 3, 4, 2_000_000, 8_000_000)])
 @pytest.mark.parametrize("rows", ["awkward", "real", "short", "crowded"])
 def test_line_dedup(spark, request, monkeypatch, texts, rows, bounds):
     """Also with nearly every word frequent, one candidate a line, keys in salted groups and small pieces, and joins in place of what is sent."""
@@ -451,6 +451,13 @@ def test_line_words_are_those_of_python():
             assert all(len(x) == 1 for x in (*by_words.values(), *by_id.values()))
 
 
+def test_earliness_follows_ids():
+    ids = np.sort(np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 3000))
+    for edges in (np.zeros(0, dtype=np.int64), ids[[5]], ids[::60], np.array([np.iinfo(np.int64).min, 0, 1, 2])):
+        early = line_dedup.earliness(np.concatenate([[np.iinfo(np.int64).min], ids]), edges)
+        assert (np.diff(early) >= 0).all() and early.min() >= 0 and early.max() < 1 << 2 * line_dedup.EARLY_BITS
+
+
 def test_bags_of_keys_are_worked_whole(monkeypatch):
     """However the rows of keys fall into batches: what one bag cannot compare is marked."""
     rng = np.random.default_rng(1)
@@ -458,10 +465,10 @@ def test_bags_of_keys_are_worked_whole(monkeypatch):
     lid, sketch = np.arange(400), np.zeros(400, dtype=np.int64)
     batch = line_dedup.pa.RecordBatch.from_arrays([line_dedup.pa.array(x) for x in (key, lid, sketch, sketch)], ["key", "lid", "sketch", "half"])
     whole = line_dedup.pa.Table.from_batches(list(line_dedup._candidates(iter([batch])))).to_pydict()
-    assert not any(m and a < 0 for m, a in zip(whole["more"], whole["apart"], strict=True))
+    assert set(whole["more"]) == {line_dedup.SAME}
     monkeypatch.setattr(line_dedup, "BAG", 30)
     parts = line_dedup.pa.Table.from_batches(list(line_dedup._candidates(batch.slice(k, 20) for k in range(0, 400, 20)))).to_pydict()
-    assert set(parts["later"]) == set(whole["later"]) and all(parts["more"])
+    assert set(parts["later"]) == set(whole["later"]) and set(parts["more"]) == {line_dedup.ALL}
 
 
 def test_line_dedup_rebuilds_texts(spark):
