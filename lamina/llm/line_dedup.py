@@ -35,11 +35,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.scratch import stored
+from lamina.llm.words import M1, M2, M3, PADDING, mixed, word_hashes
 
 #: Least Jaccard similarity, as a fraction.
 NUM, DEN = 4, 5
@@ -73,35 +73,10 @@ _ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 _ODD_BYTES = [x.encode() for x in ("\x85", "\xa0", "\u1680", "\u205f", "\u3000")] + [b"\xe2\x80"]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True
-_M1, _M2, _M3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-LONG_WORD = 256
 
 
 # ---------------------------------------------------------------- words of lines
 
-def mixed(x: np.ndarray, salt: np.uint64) -> np.ndarray:
-    x = (x + salt) * _M1
-    x = (x ^ (x >> np.uint64(32))) * _M3
-    return x ^ (x >> np.uint64(29))
-
-
-def word_hashes(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, eight bytes of all of them at a time. buf ends with eight bytes more than it has."""
-    eight = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
-    out = mixed(sizes.astype(np.uint64), _M2)
-    live, done = np.arange(len(starts)), 0
-    while len(live):
-        left = np.minimum(sizes[live] - done, 8)
-        out[live] = mixed(out[live] ^ (eight[starts[live] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left.astype(np.uint64)))), _M2)
-        done += 8
-        live = live[sizes[live] > done]
-        if done >= LONG_WORD:
-            for k in live.tolist():
-                out[k] = xxhash.xxh3_64_intdigest(buf[starts[k]:starts[k] + sizes[k]].tobytes())
-            break
-    return out
-
-
 @dataclass
 class Lines:
     """Lines with words, of some texts: which text and line of it, and their different words (all lines' in one array)."""
@@ -118,7 +93,7 @@ class Lines:
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.sizes):
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        both = (np.add.reduceat(mixed(self.words, salt), self.first) for salt in (_M2, _M3))
+        both = (np.add.reduceat(mixed(self.words, salt), self.first) for salt in (M2, M3))
         return tuple(mixed(x, self.sizes.astype(np.uint64)).view(np.int64) for x in both)
 
     def take(self, at: np.ndarray) -> Lines:
@@ -134,13 +109,13 @@ def lines_of(texts: list[str], counts: np.ndarray | None = None, least: int = 1)
     data = joined.encode()
     if not joined.isascii() and any(x in data for x in _ODD_BYTES):
         data = _ODD_SPACE.sub(" ", joined).encode()
-    data += b"\n" + b"\0" * 8
+    data += b"\n" + b"\0" * PADDING
     buf = np.frombuffer(data, dtype=np.uint8)
-    space = _SPACE[buf[:-8]]
+    space = _SPACE[buf[:-PADDING]]
     before = np.concatenate([[True], space[:-1]])
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
     words = word_hashes(buf, starts, ends - starts)
-    breaks = np.searchsorted(starts, np.flatnonzero(buf[:-8] == 10))
+    breaks = np.searchsorted(starts, np.flatnonzero(buf[:-PADDING] == 10))
     line = np.repeat(np.arange(len(breaks)), np.diff(breaks, prepend=0))
     count = np.zeros(len(words), dtype=np.uint64) if counts is None else counts[(words & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64)
     if len(line) and line[-1] < 1 << 21:
@@ -235,7 +210,7 @@ def _mix(tokens: np.ndarray, salt: int) -> np.ndarray:
     """Hash rows of tokens (in their common order) to 64 bits."""
     out = np.full(tokens.shape[:-1], 0x9E3779B97F4A7C15 + salt, dtype=np.uint64)
     for k in range(tokens.shape[-1]):
-        out = (out ^ tokens[..., k]) * _M1
+        out = (out ^ tokens[..., k]) * M1
         out ^= out >> np.uint64(32)
     return out
 
@@ -521,7 +496,7 @@ def pick(text: str, numbers: list[int]) -> str:
 
 
 def place_hashes(ids: np.ndarray, keys: np.ndarray, null: np.ndarray) -> np.ndarray:
-    return mixed(mixed(ids.astype(np.int64).view(np.uint64), _M2) ^ keys.astype(np.int64).view(np.uint64), _M3 + null.astype(np.uint64))
+    return mixed(mixed(ids.astype(np.int64).view(np.uint64), M2) ^ keys.astype(np.int64).view(np.uint64), M3 + null.astype(np.uint64))
 
 
 def line_texts(rows: DataFrame, lines: DataFrame, lids: DataFrame, least: int) -> DataFrame:

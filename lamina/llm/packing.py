@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.pieces import piece_ids
+from lamina.llm.pieces import piece_ids, runs
+from lamina.llm.token_output import binaries, with_end
+from lamina.llm.words import spread
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -33,17 +35,20 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int, digest: bool) -> Iterator[pa.RecordBatch]:
-    memo, end = piece_ids(path), np.array([end_id], dtype="<u4").tobytes()
+    memo = piece_ids(path)
     for batch in batches:
-        rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = memo.encode(text.as_py()) + end
-            for k, (start, length) in enumerate(cut(len(ids) // 4, size)):
-                part = ids[4 * start:4 * (start + length)]
-                rows.append((doc, k, start, length, zlib.crc32(part) if digest else part))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary()]
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32" if digest else "ids"])
+        texts = [x or "" for x in batch.column(1).to_pylist()]
+        for lo, hi in runs(texts):
+            ids, n = with_end(*memo.encode(texts[lo:hi]), end_id)
+            # as `cut`, for all texts at once: the first piece takes the rest
+            parts = -(-n // size)
+            own, piece = np.repeat(np.arange(len(n)), parts), spread(np.zeros(len(n), dtype=np.int64), parts)
+            rest = (n - (parts - 1) * size)[own]
+            start, length = np.where(piece == 0, 0, rest + (piece - 1) * size), np.where(piece == 0, rest, size)
+            ends = np.cumsum(length) * 4
+            raw = memoryview(ids).cast("B")
+            value = pa.array([zlib.crc32(raw[e - 4 * k:e]) for e, k in zip(ends.tolist(), length.tolist(), strict=True)], pa.int64()) if digest else binaries(ids, length)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].take(pa.array(own)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), value], ["doc_id", "piece", "start", "length", "ids_crc32" if digest else "ids"])
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, digest: bool = False) -> DataFrame:

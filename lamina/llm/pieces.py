@@ -1,8 +1,9 @@
-"""Whole-text tokenisation with a per-worker memo of space-delimited pieces.
+"""Whole-text tokenisation with a per-worker memo of pieces, looked up for all words of many texts at once.
 
-A text is cut where its pre-tokeniser always cuts; equal pieces then have equal ids wherever they
-stand, so each worker asks the tokenizers library once per distinct piece. Texts in which a cut
-could change the result go to the library whole. The memo is bounded and holds only public
+Texts are cut where their pre-tokeniser always cuts: at white space, and before a full stop or comma
+that ends a word after a plain letter. Equal pieces then have equal ids wherever they stand, so each
+worker asks the tokenizers library once per distinct piece, known by 128 bits of hash. Texts in which
+a cut could change the result go to the library whole. The memo is bounded and holds only public
 vocabulary ids, never documents.
 """
 
@@ -11,16 +12,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import lru_cache
-from struct import pack
 
+import numpy as np
 from tokenizers import Tokenizer
 
-#: Entries after which a worker's memo starts again (about 200 MB).
+from lamina.llm.words import M2, M3, PADDING, spread, word_hashes
+
+#: Pieces after which a worker's memo starts again (about 100 MB).
 MEMO_LIMIT = 1_000_000
+#: Characters of text that are worked at once.
+CHUNK = 1 << 20
 
-_ODD_SPACE = re.compile(r"[^\S \n]|  ")
-_CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
-_SPACED = re.compile(r"\s*\S+|\s+")
+_ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_END, _SPACE = 0xFF, 0x20  # the end byte is no part of any UTF-8 text
 
 
 def _byte_letters() -> dict[int, int]:
@@ -39,80 +43,194 @@ def byte_letters(word: str) -> str:
     return word.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
 
-def ids_bytes(ids: list[int]) -> bytes:
-    return pack(f"<{len(ids)}I", *ids)
+def whole_only(text: str, word_ends: bool) -> bool:
+    """Whether only the whole text gives the right ids: it may hold special strings, or white space of other kinds."""
+    return "<|" in text or (not word_ends and not text.isascii() and _ODD_SPACE.search(text) is not None)
 
 
-class Memo(dict):
-    """piece -> what make(lead, piece) gives for it, for pieces that follow the same lead."""
+def _table(members: list[int]) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[members] = True
+    return out
 
-    def __init__(self, make: Callable[[str, str], object], lead: str):
-        super().__init__()
-        self.make, self.lead = make, lead
 
-    def __missing__(self, piece: str) -> object:
-        value = self[piece] = self.make(self.lead, piece)
-        return value
+_SPACES = {True: _table([10, _SPACE]), False: _table([*range(9, 14), _SPACE])}
+_LETTERS = _table([*range(65, 91), *range(97, 123)])
 
 
-class PieceIds:
-    """Ids of whole texts as little-endian uint32 bytes."""
+def cut(buf: np.ndarray, word_ends: bool, with_space: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the pieces of texts that each end with an end byte, in order; with_space: all white space goes with the word after it."""
+    space = _SPACES[word_ends][buf]
+    word = ~space & (buf != _END)
+    starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+    ends = np.flatnonzero(~word & np.concatenate([[False], word[:-1]]))
+    dotted = ((buf[ends - 1] == 0x2E) | (buf[ends - 1] == 0x2C)) & (ends - starts > 1) & _LETTERS[buf[ends - 2]]
+    tails = ends[dotted] - 1
+    ends = ends - dotted
+    parts = [(tails, np.ones(len(tails), dtype=np.int64))]
+    if word_ends:
+        parts.append((starts, ends - starts))
+    elif with_space:
+        first = np.flatnonzero(space & ~np.concatenate([[False], space[:-1]]))
+        after = np.flatnonzero(~space & np.concatenate([[False], space[:-1]]))
+        before_word = word[after]
+        begin = starts.copy()
+        begin[np.searchsorted(starts, after[before_word])] = first[before_word]
+        parts.append((begin, ends - begin))
+        parts.append((first[~before_word], (after - first)[~before_word]))
+    else:
+        # one space goes with the word after it; the last character of other white space before a word stands alone
+        lead = (starts > 0) & (buf[starts - 1] == _SPACE)
+        parts.append((starts - lead, ends - starts + lead))
+        first = np.flatnonzero(space & ~np.concatenate([[False], space[:-1]]))
+        after = np.flatnonzero(~space & np.concatenate([[False], space[:-1]]))
+        before_word = word[after]
+        alone = before_word & (buf[after - 1] != _SPACE)
+        parts.append((after[alone] - 1, np.ones(int(alone.sum()), dtype=np.int64)))
+        rest = after - before_word - first
+        parts.append((first[rest > 0], rest[rest > 0]))
+    starts, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(starts, kind="stable")
+    return starts[order], sizes[order]
+
+
+class TooMany(Exception):
+    """A run of texts has more different pieces than the memo holds."""
+
+
+class PieceTable:
+    """hash -> numbers of a piece, in a table of open addresses that is read for many pieces at once."""
+
+    def __init__(self, limit: int = MEMO_LIMIT):
+        self.limit, self.slots = limit, 1 << (4 * limit - 1).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.at = np.full(self.slots, -1, dtype=np.int32)
+        self.hashes = np.zeros((self.limit, 2), dtype=np.uint64)
+        self.first, self.size = np.zeros(self.limit, dtype=np.int64), np.zeros(self.limit, dtype=np.int32)
+        self.pool, self.used, self.held = np.zeros(1 << 20, dtype="<u4"), 0, 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entries of (n, 2) hashes; -1: none."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        left, slot = np.arange(len(hashes)), (hashes[:, 0] & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(left):
+            entry = self.at[slot]
+            there = entry >= 0
+            left, slot, entry = left[there], slot[there], entry[there]
+            equal = (self.hashes[entry, 0] == hashes[left, 0]) & (self.hashes[entry, 1] == hashes[left, 1])
+            out[left[equal]] = entry[equal]
+            left, slot = left[~equal], (slot[~equal] + 1) & (self.slots - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, numbers: list[np.ndarray]) -> None:
+        """Add pieces that are not there yet, each once."""
+        sizes = np.array([len(x) for x in numbers], dtype=np.int64)
+        flat = np.concatenate(numbers) if numbers else np.zeros(0, dtype="<u4")
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used:self.used + len(flat)] = flat
+        entries = np.arange(self.held, self.held + len(numbers))
+        self.hashes[entries], self.size[entries] = hashes, sizes
+        self.first[entries] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.held = self.used + len(flat), self.held + len(numbers)
+        slot = (hashes[:, 0] & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(entries):
+            free = self.at[slot] < 0
+            self.at[slot[free]] = entries[free]
+            put = self.at[slot] == entries
+            entries, slot = entries[~put], (slot[~put] + 1) & (self.slots - 1)
+
+
+class Pieces:
+    """Numbers (ids, say) of whole texts, put together from those of their pieces; running: each piece's count on from the last ones before it."""
+
+    def __init__(self, word_ends: bool, of_piece: Callable[[str], np.ndarray], of_text: Callable[[str], np.ndarray], with_space: bool = False, running: bool = False):
+        self.word_ends, self.of_piece, self.of_text, self.with_space, self.running, self.table = word_ends, of_piece, of_text, with_space, running, PieceTable()
+
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of all pieces of some texts, and how many of them each text has."""
+        data = b"".join(x.encode() + b"\xff" for x in texts)
+        buf = np.frombuffer(data + b"\0" * PADDING, dtype=np.uint8)
+        if self.word_ends:  # the vocabulary drops case, so pieces may as well
+            upper = (buf >= 65) & (buf <= 90)
+            buf = buf + (upper * 32).astype(np.uint8)
+        body = buf[:len(data)]
+        starts, sizes = cut(body, self.word_ends, self.with_space)
+        hashes = np.column_stack([word_hashes(buf, starts, sizes, salt) for salt in (M2, M3)])
+        entries = self.table.find(hashes)
+        missing = np.flatnonzero(entries < 0)
+        if len(missing):
+            _, at = np.unique(hashes[missing], axis=0, return_index=True) if len(missing) < 64 else np.unique(hashes[missing, 0] ^ hashes[missing, 1], return_index=True)
+            new = missing[at]
+            if self.table.held + len(new) > self.table.limit:
+                if len(new) > self.table.limit:
+                    raise TooMany
+                self.table.clear()
+                return self.pieces(texts)
+            raw = buf.tobytes()
+            self.table.add(hashes[new], [self.of_piece(raw[s:s + n].decode()) for s, n in zip(starts[new].tolist(), sizes[new].tolist(), strict=True)])
+            entries = self.table.find(hashes)
+        ends = np.searchsorted(starts, np.flatnonzero(body == _END))
+        return entries, np.diff(ends, prepend=0)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers of some texts, and how many each has."""
+        try:
+            return self._encode(texts)
+        except TooMany:  # one run holds more different pieces than the memo: take texts by themselves, and a single one whole
+            parts = [self.of_text(x) if len(texts) == 1 else self.encode([x])[0] for x in texts]
+            return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        whole = [whole_only(x, self.word_ends) for x in texts]
+        entries, n = self.pieces([("" if w else x) for x, w in zip(texts, whole, strict=True)])
+        sizes = self.table.size[entries].astype(np.int64)
+        flat = self.table.pool[spread(self.table.first[entries], sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(n)]
+        if self.running and len(entries):
+            last = self.table.pool[self.table.first[entries] + sizes - 1].astype(np.int64)
+            upto = np.concatenate([[0], np.cumsum(last)])
+            flat = flat + np.repeat(upto[:-1] - np.repeat(upto[np.cumsum(n) - n], n), sizes)
+        counts = np.diff(ends, prepend=0)
+        if any(whole):
+            parts = [self.of_text(x) if w else flat[e - c:e] for x, w, e, c in zip(texts, whole, ends.tolist(), counts.tolist(), strict=True)]
+            flat, counts = np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
+        return flat, counts
+
+
+def runs(texts: list[str]) -> list[tuple[int, int]]:
+    """(from, to) of runs of texts of about CHUNK characters."""
+    out, lo, held = [], 0, 0
+    for k, x in enumerate(texts):
+        held += len(x)
+        if held >= CHUNK or k + 1 == len(texts):
+            out.append((lo, k + 1))
+            lo, held = k + 1, 0
+    return out
+
+
+class PieceIds(Pieces):
+    """Ids of whole texts as unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        #: A vocabulary with a word-end mark drops white space and case; the byte-level one keeps both.
-        self.word_ends = bool(self.model.end_of_word_suffix)
-        self.lead_letter = byte_letters(" ")
-        self.start, self.inner = Memo(self.piece, ""), Memo(self.piece, "" if self.word_ends else " ")
-
-    def library(self, text: str) -> bytes:
-        return ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def piece(self, lead: str, piece: str) -> bytes:
-        body, tail = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") else (piece, "")
-        if not (body.isalpha() and (body.isascii() or max(body) < "ɐ")):
-            return self.library(lead + piece)
-        if tail:
-            return (self.inner if lead else self.start)[body] + self.start[tail]
-        if self.word_ends:
-            body = body.lower()
-            if body != piece:
-                return self.start[body] if body.isalpha() else self.library(piece)
-        return ids_bytes([t.id for t in self.model.tokenize(self.lead_letter + byte_letters(body) if lead else byte_letters(body))])
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if len(self.start) + len(self.inner) > MEMO_LIMIT:
-            self.start.clear()
-            self.inner.clear()
-        pieces = split_pieces(text, self.word_ends)
-        if pieces is None:
-            return self.library(text)
-        first, rest, lead = pieces
-        return self.start[first] + b"".join(map((self.inner if lead else self.start).__getitem__, rest))
-
-
-def split_pieces(text: str, word_ends: bool) -> tuple[str, list[str], str] | None:
-    """Independent pieces of a text: the first, and the others without the lead that each of them has.
-
-    None: only the whole text gives the right ids.
-    """
-    if "<|" in text:
-        return None
-    if word_ends:
-        first, *rest = text.replace("\n", " ").split(" ")
-        return first, rest, ""
-    if not _ODD_SPACE.search(text):
-        first, *rest = text.split(" ")
-        return first, rest, " "
-    if _CONTROL_SPACE.search(text):
-        return None
-    first, *rest = _SPACED.findall(text)
-    return first, rest, ""
+        # a vocabulary with a word-end mark drops white space and case; the byte-level one keeps both
+        super().__init__(bool(self.model.end_of_word_suffix), self.piece, self.library)
+
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def piece(self, piece: str) -> np.ndarray:
+        body = piece[1:] if piece[0] == " " else piece
+        # a word of letters alone is one pre-token, which the model itself takes; not where lower-casing could add marks
+        if not body.isalpha() or not (body.isascii() or (not self.word_ends and max(body) < "ɐ")):
+            return self.library(piece)
+        return np.array([t.id for t in self.model.tokenize(byte_letters(piece))], dtype="<u4")
 
 
 @lru_cache(maxsize=4)

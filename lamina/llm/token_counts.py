@@ -3,27 +3,30 @@
 For a piece of pre-tokenised text, last[i] is the last token of the encoding of its first i bytes
 and count[i] = count[i - len(last[i])] + 1. A vocabulary token t that ends at i is that last token
 exactly if the merge rules leave the pair (last[i - len(t)], t) as it is; the pair test depends on
-two ids only and is memoised. Sums of piece counts give the count of any whole text or prefix of
-it, so truncation and budget questions need no second encoding.
+two ids only and is memoised. What is stored for a piece is its count at every character prefix. Sums
+of the pieces' last counts give the count of a whole text; the counts inside a piece that crosses a
+budget give the longest prefix within it, so that neither question needs a second encoding.
 
-Nulls: a null text counts as empty; ids and repeated rows pass through unchanged.
+Nulls: a null text counts as empty; ids and repeated rows pass through unchanged. Special strings in
+a text are one token each, as the library has it by default; a prefix that ends inside one counts
+what it has of it as plain text.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lamina.llm.pieces import MEMO_LIMIT, Memo, byte_letters, split_pieces
+from lamina.llm.pieces import MEMO_LIMIT, Pieces, byte_letters, runs
 
 
 class PrefixCounter:
@@ -43,7 +46,7 @@ class PrefixCounter:
         self.pairs: dict[int, bool] = {}
         self.words = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.spaces = regex.compile(r"\p{White_Space}+")
-        self.start, self.inner = Memo(self.piece_total, ""), Memo(self.piece_total, " ")
+        self.memo = Pieces(False, self.stored_counts, lambda text: np.array(self.text_prefixes(text)[1:], dtype="<u4"), with_space=True, running=True)
 
     def stays(self, a: int, b: int) -> bool:
         """Whether the merge rules leave the tokens a, b as they are, side by side."""
@@ -72,39 +75,19 @@ class PrefixCounter:
     def text_total(self, text: str) -> int:
         return sum(self.prefix_counts(byte_letters(w))[-1] for w in self.words.findall(text))
 
-    def piece_total(self, lead: str, piece: str) -> int:
-        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
-            return (self.inner if lead else self.start)[piece[:-1]] + 1
-        return self.text_total(lead + piece)
-
-    def cumulative(self, text: str, budget: int | None) -> tuple[int, int]:
-        """Tokens of a text, and the characters of its longest prefix of at most budget tokens."""
-        if not text:
-            return 0, 0
-        if len(self.start) + len(self.inner) > MEMO_LIMIT:
-            self.start.clear()
-            self.inner.clear()
-        pieces = split_pieces(text, word_ends=False)
-        if pieces is None:
-            return self._special(text, budget)
-        first, rest, lead = pieces
-        counts = [self.start[first], *map((self.inner if lead else self.start).__getitem__, rest)]
-        total = sum(counts)
-        if budget is None or total <= budget:
-            return total, len(text)
-        return total, self._fit([first, *(lead + p for p in rest)], counts, budget)
-
-    def _fit(self, pieces: list[str], counts: list[int], budget: int) -> int:
-        # totals before each piece only grow: the last piece that starts within the budget holds the end,
-        # or the one before it where its first character alone takes too many tokens
-        before = list(accumulate(counts, initial=0))
-        at = bisect_left(before, budget) - 1
-        while at >= 0:
-            inside = self.piece_prefixes(pieces[at])
-            if fits := [k for k in range(1, len(inside)) if before[at] + inside[k] <= budget]:
-                return sum(map(len, pieces[:at])) + fits[-1]
-            at -= 1
-        return 0
+    def stored_counts(self, piece: str) -> np.ndarray:
+        return np.array(self.piece_prefixes(piece)[1:], dtype="<u4")
+
+    def counts(self, texts: list[str], budget: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of every text, and the characters of its longest prefix of at most budget tokens."""
+        flat, n_chars = self.memo.encode(texts)
+        ends = np.cumsum(n_chars)
+        total = np.where(n_chars > 0, np.append(flat, 0)[np.maximum(ends - 1, 0)], 0).astype(np.int64)
+        fit = n_chars.copy()
+        for k in np.flatnonzero(total > budget):
+            within = np.flatnonzero(flat[ends[k] - n_chars[k]:ends[k]] <= budget)
+            fit[k] = within[-1] + 1 if len(within) else 0
+        return total, fit
 
     def piece_prefixes(self, piece: str) -> list[int]:
         """Count of every character prefix of a piece; index 0 is the empty prefix. One pass over the piece's bytes."""
@@ -128,27 +111,27 @@ class PrefixCounter:
         counts = self.prefix_counts(byte_letters(word))
         return [counts[n] for n in accumulate(len(c.encode()) for c in word)]
 
-    def _special(self, text: str, budget: int | None) -> tuple[int, int]:
-        """Texts that may hold special strings: these are split off first, as the library does by default."""
+    def text_prefixes(self, text: str) -> list[int]:
+        """Count of every character prefix of a text, special strings included; index 0 is the empty prefix."""
         parts = regex.split("(" + "|".join(map(regex.escape, self.marks)) + ")", text) if self.marks else [text]
-        total = chars = fit = 0
+        out, plain, done = [0], "", 0
         for part in parts:
-            n = 1 if part in self.marks else self.text_total(part)
-            if budget is not None and fit == chars:
-                fit += len(part) if total + n <= budget else self._fit([part], [n], budget - total) if budget > total and part not in self.marks else 0
-            total, chars = total + n, chars + len(part)
-        return total, len(text) if budget is None or total <= budget else fit
-
-    def all_prefixes(self, text: str) -> list[int]:
-        """Exact token count of every character prefix of a text without special strings."""
-        first, rest, lead = split_pieces(text, word_ends=False) or (text, [], "")
-        out, done = [0], 0
-        for piece in [first, *(lead + p for p in rest)]:
-            inside = self.piece_prefixes(piece)
-            out += [done + n for n in inside[1:]]
-            done += inside[-1]
+            if part in self.marks:
+                # cut short, the mark goes on as plain text from what stands before it
+                out += [done + self.text_total(plain + part[:k]) for k in range(1, len(part))]
+                done = out[-len(part)] + 1
+                out.append(done)
+                plain = ""
+            else:
+                out += [done + n for n in self.piece_prefixes(part)[1:]]
+                plain = part
         return out
 
+    def all_prefixes(self, texts: list[str]) -> list[list[int]]:
+        """Exact token count of every character prefix of each text; element 0 is the empty prefix."""
+        flat, n_chars = self.memo.encode(texts)
+        return [[0, *own.tolist()] for own in np.split(flat, np.cumsum(n_chars)[:-1])]
+
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
@@ -159,11 +142,10 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator
     own = counter(path)
     for batch in batches:
         texts = [x or "" for x in batch.column(1).to_pylist()]
-        both = [own.cumulative(x, limit) for x in texts]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array([n for n, _ in both], pa.int64()), pa.array([n > limit for n, _ in both], pa.bool_()), pa.array([k for _, k in both], pa.int64())],
-            ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
-        )
+        for lo, hi in runs(texts):
+            part = texts[lo:hi]
+            total, fit = own.counts(part, limit)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([len(x.encode()) for x in part], pa.int64()), pa.array(total), pa.array(total > limit), pa.array(fit, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
@@ -176,8 +158,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
 def _prefix_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = counter(path)
     for batch in batches:
-        counts = [own.all_prefixes(x or "") for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "prefix_tokens"])
+        texts = [x or "" for x in batch.column(1).to_pylist()]
+        for lo, hi in runs(texts):
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(own.all_prefixes(texts[lo:hi]), pa.list_(pa.int32()))], ["doc_id", "prefix_tokens"])
 
 
 def prefix_table(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.pieces import piece_ids
+from lamina.llm.pieces import piece_ids, runs
 from lamina.llm.scratch import stored
+from lamina.llm.words import spread
 
 #: Ids per independently decodable block.
 BLOCK = 256
@@ -126,14 +127,26 @@ def unpack(bits: bytes, starts: np.ndarray, sizes: np.ndarray, symbols: np.ndarr
 
 # ---------------------------------------------------------------- tasks
 
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some texts, each followed by the end id, and how many each then has."""
+    out = np.full(len(ids) + len(counts), end_id, dtype="<u4")
+    out[spread(np.cumsum(counts) - counts + np.arange(len(counts)), counts)] = ids
+    return out, counts + 1
+
+
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column whose values lie one after another in data."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * data.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype("<i8")), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
 def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: str) -> Iterator[pa.RecordBatch]:
-    memo, end = piece_ids(path), np.array([end_id], dtype="<u4").tobytes()
+    memo = piece_ids(path)
     for batch in batches:
-        ids = [np.frombuffer(memo.encode(x.as_py()) + end, dtype="<u4") for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(width).tobytes() for x in ids], pa.binary())],
-            ["doc_id", "n_tokens", "ids"],
-        )
+        texts = [x or "" for x in batch.column(1).to_pylist()]
+        for lo, hi in runs(texts):
+            ids, counts = with_end(*memo.encode(texts[lo:hi]), end_id)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(counts, pa.int64()), binaries(ids.astype(width), counts)], ["doc_id", "n_tokens", "ids"])
 
 
 def _count_ids(batches: Iterator[pa.RecordBatch], width: str, vocab: int) -> Iterator[pa.RecordBatch]:

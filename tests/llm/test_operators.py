@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from lamina.llm import decontaminate, line_dedup, packing, quality, secret_scan, simhash, token_counts, token_output, toxicity, url_filter
+from lamina.llm import decontaminate, line_dedup, packing, pieces, quality, secret_scan, simhash, token_counts, token_output, toxicity, url_filter
 from lamina.llm.pieces import piece_ids
 from lamina.llm.queries import BYTE_BPE, QUERIES, URL_RULES, WORD_BPE
 from lamina.llm.scratch import new_path
@@ -63,11 +63,28 @@ def lower(text):
 
 # ---------------------------------------------------------------- tokens
 
+def random_texts(n, seed):
+    """Strings of what pre-tokenisers treat in different ways, the dotted capital I before stops among them."""
+    rng = np.random.default_rng(seed)
+    parts = ["a", "B", "word", "The", "İ", "ß", "Σ", "é", "e\u0301", "\u0301", "日本", "😀", "1", "23", "'s", "'", "'LL", ".", ",", "...", "!", "#", "-", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x85", "\u00a0", "\u3000", "ǆ", "ﬁ", "ŉ", "<", "|", "\x00", "ب", "क्ष"]
+    return ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(n)]
+
+
 @pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
 def test_pieces_equal_the_library(path, texts):
-    memo = piece_ids(path)
-    for _, text in [*AWKWARD, *texts[:60]]:
-        assert np.frombuffer(memo.encode(text), dtype="<u4").tolist() == ids_of(path, text), text
+    memo, own = piece_ids(path), [*(t or "" for _, t in AWKWARD), *(t for _, t in texts[:60]), *random_texts(20_000, 3), "İ. İ, xİ. i\u0307."]
+    for lo in range(0, len(own), 1000):
+        ids, counts = memo.encode(own[lo:lo + 1000])
+        for text, mine in zip(own[lo:lo + 1000], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert mine.tolist() == ids_of(path, text), text
+
+
+def test_the_memo_starts_again(texts):
+    memo = pieces.PieceIds(BYTE_BPE)
+    memo.table = pieces.PieceTable(4500)
+    for _, text in texts[:60]:
+        ids, counts = memo.encode([text, "", text[:50]])
+        assert ids.tolist() == [*ids_of(BYTE_BPE, text), *ids_of(BYTE_BPE, text[:50])] and counts.tolist()[1] == 0
 
 
 def expected_ids(rows):
@@ -120,12 +137,14 @@ def test_token_counts(awkward, real, texts):
 
 def test_count_at_every_prefix():
     own = token_counts.counter(BYTE_BPE)
-    for text in ("The quick, brown fox!\n\n  jumps over 12 l'été 😀 don't", "  x\n y", "aaaaaaaaaaaa bbbb"):
-        assert own.all_prefixes(text) == [len(ids_of(BYTE_BPE, text[:k])) for k in range(len(text) + 1)]
-    long = " ".join(t or "" for _, t in AWKWARD[4:14] if "<|" not in (t or ""))
-    for budget in (1, 7, 60, 200):
-        _, fit = own.cumulative(long, budget)
-        assert len(ids_of(BYTE_BPE, long[:fit])) <= budget < min(len(ids_of(BYTE_BPE, long[:k])) for k in range(fit + 1, min(fit + 4, len(long)) + 1))
+    some = ["The quick, brown fox!\n\n  jumps over 12 l'été 😀 don't.", "  x\n y", "aaaaaaaaaaaa bbbb", "", "a b <|endoftext|>!<|endoftext|> c <|x", "odd\u3000 space \x85\n.", *random_texts(150, 9)]
+    for text, counts in zip(some, own.all_prefixes(some), strict=True):
+        assert counts == [len(ids_of(BYTE_BPE, text[:k])) for k in range(len(text) + 1)], text
+    for budget in (1, 7, 60):
+        total, fit = own.counts(some, budget)
+        for text, n, k in zip(some, total, fit, strict=True):
+            counts = [len(ids_of(BYTE_BPE, text[:j])) for j in range(len(text) + 1)]
+            assert n == counts[-1] and k == (len(text) if n <= budget else max(j for j, c in enumerate(counts) if c <= budget))
 
 
 @pytest.mark.parametrize("rows", ["awkward", "real"])
