@@ -1,4 +1,7 @@
-"""Connected components by alternating large-star and small-star steps on an edge table."""
+"""Connected components by alternating large-star and small-star steps on an edge table.
+
+Ends of edges are never null; repeated edges, loops and an empty table are fine.
+"""
 
 from __future__ import annotations
 

@@ -9,7 +9,7 @@ broadcast blocks of at most BLOCK windows, as many rounds as the benchmark needs
 
 Nulls: a null text has no words; rows with equal doc_id but other texts get results of their own;
 repeated rows stay repeated; a null item_id can hit words but is not named. Without windows every
-document is clean.
+document is clean; an empty table of documents gives none.
 """
 
 from __future__ import annotations
@@ -91,6 +91,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, block: int
     per_doc = hits.groupBy("doc_id", "key").agg(
         F.max("n_words").alias("n_words"), (F.count("n_words") / rounds).cast("int").alias("copies"), F.collect_set("span").alias("spans"), F.collect_set("window_id").alias("window_ids")
     )
+    per_doc = stored(per_doc, "hits")  # both kinds of documents come from it
     named = pairs.select(F.sha2(F.concat_ws(" ", "window"), 256).alias("window_id"), "item_id")
     clean = per_doc.where(F.size("spans") == 0).select("doc_id", "key", "n_words", "copies", "spans", F.array().cast("array<string>").alias("items"))
     hit = per_doc.where(F.size("spans") > 0)
@@ -101,6 +102,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, block: int
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of docs, all columns as they are, that hold no window of an item."""
-    hit = stored(contamination(docs.select("doc_id", "text"), items, size).where("n_hit > 0").select(F.col("doc_id").alias("hit_doc_id"), F.col("key").alias("hit_key")).distinct(), "contaminated")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_doc_id")) & (F.xxhash64("text") == F.col("hit_key")), "left_anti")
+    """The rows of docs, all columns as they are and of any names, that hold no window of an item."""
+    at = {name: f"c{k}" for k, name in enumerate(docs.columns)}
+    rows = docs.toDF(*at.values())
+    found = contamination(rows.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")), items, size)
+    hit = stored(found.where("n_hit > 0").select(F.col("doc_id").alias("hit_doc_id"), F.col("key").alias("hit_key")).distinct(), "contaminated")
+    return rows.join(hit, F.col(at["doc_id"]).eqNullSafe(F.col("hit_doc_id")) & (F.xxhash64(at["text"]) == F.col("hit_key")), "left_anti").toDF(*docs.columns)

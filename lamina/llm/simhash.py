@@ -126,12 +126,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one of the least doc_id (null first) and, among its texts, the least content hash."""
-    prints = stored(fingerprints(docs), "fingerprints")
+    """docs, with columns of any names, with one row of each component: the one of the least doc_id (null first) and, among its texts, the least content hash."""
+    at = {name: f"c{k}" for k, name in enumerate(docs.columns)}
+    plain = docs.toDF(*at.values())
+    prints = stored(fingerprints(plain.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"))), "fingerprints")
     nodes = rooted(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "doc_key")).alias("low")))
     kept = stored(nodes.groupBy("root").agg(F.min("low").alias("low")).select("low.*"), "kept")
     # two columns for an id that may be null, so that the join and what follows it share their keys
-    keys = lambda doc_key: {"lamina_none": F.col("doc_id").isNull(), "lamina_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "lamina_key": doc_key}
-    rows, kept = docs.withColumns(keys(F.xxhash64("text"))), kept.withColumns(keys(F.col("doc_key")))
-    on = ["lamina_none", "lamina_id", "lamina_key"]
-    return rows.join(kept.select(*on), on, "left_semi").dropDuplicates(on).select(*(f"`{c}`" for c in docs.columns))
+    keys = lambda id_, doc_key: {"no_id": F.col(id_).isNull(), "id": F.coalesce(F.col(id_).cast("long"), F.lit(0)), "key": doc_key}
+    rows, kept = plain.withColumns(keys(at["doc_id"], F.xxhash64(at["text"]))), kept.withColumns(keys("doc_id", F.col("doc_key")))
+    on = ["no_id", "id", "key"]
+    return rows.join(kept.select(*on), on, "left_semi").dropDuplicates(on).select(*at.values()).toDF(*docs.columns)

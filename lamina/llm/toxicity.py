@@ -9,7 +9,7 @@ the background, -ln(E) = lambda * S - ln(K * n) for a text of n words. A logisti
 the number of significant passages gives the score.
 
 Nulls and empty texts have no segments and get the score of a text without toxic words. Repeated rows
-are kept; a row without doc_id is scored like any other and never learnt from. Without labels of both
+are kept; a row without doc_id is scored like any other and never learnt from; it is in neither fold (held_out is null). Without labels of both
 kinds every score is 0.
 """
 

@@ -19,6 +19,23 @@ def kept(spark, sf_dir):
     return out
 
 
+CLASHING = ["c0", "c1", "key", "id", "no_id", "lid", "removed", "gone_id", "gone_doc_id", "removed_line_nos", "hit_doc_id", "hit_key", "lamina_none", "lamina_row", "score", "fp", "root", "words"]
+
+
+def test_stages_take_any_columns_and_rows(spark, sf_dir):
+    """Names that stages use inside, one id on other texts, nulls, repeated rows; and no rows at all."""
+    rows_ = [(1, "one text of its own that stays"), (1, "quite another matter under the same number"), (None, "a row without any number at all"), (2, None), (3, ""), (4, "more of it"), (4, "more of it")]
+    docs = spark.createDataFrame([(i, t, *range(len(CLASHING))) for i, t in rows_], "doc_id long, text string, " + ", ".join(f"{c} long" for c in CLASHING))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert {tuple(r[2:]) for r in got} == {tuple(range(len(CLASHING)))}
+        assert {t for _, t in rows_ if t and t != "more of it"} < {r.text for r in got}, name
+        assert stage(spark, docs.limit(0), sf_dir).collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).collect() == []
+
+
 def rows(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").orderBy("doc_id").collect()]
 
