@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from lamina.llm.scratch import stored
 
-#: Bounds of the fit: labelled rows, features of the model; beginnings of words that count as tokens.
-MAX_ROWS, MAX_FEATURES, BEGINNINGS = 20_000, 50_000, (4, 6)
+#: Bound of the fit: labelled rows. Beginnings of words that count as tokens.
+MAX_ROWS, BEGINNINGS = 20_000, (4, 6)
 #: Prior weight in documents, and what every word costs a segment.
 PRIOR, DRIFT = 25.0, 0.25
 #: Decimals of a score; what rounds to nothing scores nothing.
@@ -103,16 +103,36 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([c[f] for f in part], pa.int64()) for c in counts)], ["feature", "n0", "n1"])
 
 
+MEASURED = "toxic int, n long, best double, values array<double>, counts array<long>"
+
+
 def _measure(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    scores = Scores(model)
+    """Per text its words and best segment; from each task one row more, with how often each score occurs in clean texts."""
+    scores, held = Scores(model), Counter()
+    kinds = [pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64())]
+    names = [x.split()[0] for x in MEASURED.split(", ")]
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names)
     for batch in batches:
         rows = []
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             n, found = segments_of(text.as_py(), scores)
-            own = [scores[w] for w in tokens(text.as_py())] if not toxic else []
-            rows.append((toxic, n, sorted((s for _, _, s in found), reverse=True), sum(own), [x for x in own if x > -DRIFT]))
-        kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["toxic", "n", "segments", "total", "scored"])
+            if not toxic:
+                held.update(map(scores.__getitem__, tokens(text.as_py())))
+            rows.append((toxic, n, max((s for _, _, s in found), default=0.0), None, None))
+        yield table(rows)
+    # scores are rounded, so that there are few of them whatever the texts' lengths
+    yield table([(None, None, None, list(held.keys()), list(held.values()))])
+
+
+def _inputs(batches: Iterator[pa.RecordBatch], model: dict, lam: float, log_k: float) -> Iterator[pa.RecordBatch]:
+    scores = Scores(model)
+    for batch in batches:
+        rows = []
+        for text in batch.column(0):
+            n, found = segments_of(text.as_py(), scores)
+            rows.append(inputs(n, [s for _, _, s in found], lam, log_k))
+        x = np.array(rows, dtype=np.float64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "x0", "x1", "x2"])
 
 
 def solve_lambda(values: np.ndarray, weights: np.ndarray) -> float:
@@ -161,6 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id")).limit(MAX_ROWS)
     # bounded by MAX_ROWS, so texts of the fit are picked out where they lie
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
+    rows = stored(rows, "labelled")
     n = dict(rows.groupBy("toxic").count().collect())
     if not (n.get(0) and n.get(1)):
         return None
@@ -175,21 +196,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     ratio = sum((part(F.col(y), n[k], both) + part(n[k] - F.col(y), n[k], 1 - both) for k, y in enumerate(("n0", "n1"))), F.lit(0.0))
     z = F.signum(delta) * F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))
     score = F.round(delta / (1 + counted.count() * F.exp(-z * z / 2)), DECIMALS)
-    top = counted.select("feature", score.alias("score"), z.alias("z")).where("score <> 0").orderBy(F.desc(F.abs("z")), "feature").limit(MAX_FEATURES).collect()
+    # what chance explains is rounded away: as many words stay as the labelled texts give evidence for
+    top = counted.select("feature", score.alias("score"), z.alias("z")).where("score <> 0").collect()
     model = {r.feature: (float(r.score), float(r.z)) for r in top}
-    few = rows.mapInArrow(partial(_measure, model=model), "toxic int, n long, segments array<double>, total double, scored array<double>").toPandas()
-    clean = few[few.toxic == 0]
-    scored = np.concatenate([np.asarray(x, dtype=float) for x in clean.scored] or [np.zeros(0)])
-    plain = max(int(clean.n.sum()) - len(scored), 1)
-    if not (scored > 0).any():
-        scored = np.append(scored, 1.0)
-    lam = solve_lambda(np.append(scored, -DRIFT), np.append(np.ones(len(scored)), plain))
-    hit = clean[[len(s) > 0 for s in clean.segments]]
+    few = rows.mapInArrow(partial(_measure, model=model), MEASURED).toArrow().to_pylist()
+    held = Counter()
+    for r in few:
+        held.update(dict(zip(r["values"] or (), r["counts"] or (), strict=True)))
+    values, weights = np.array([*held.keys()] or [-DRIFT]), np.array([*held.values()] or [1.0], dtype=float)
+    if not (values > 0).any():
+        values, weights = np.append(values, 1.0), np.append(weights, 1.0)
+    if (values * weights).sum() >= 0:  # the background's mean is negative, if only by the words that no feature scores
+        values, weights = np.append(values, -DRIFT), np.append(weights, 1 + (values * weights).sum() / DRIFT)
+    lam = solve_lambda(values, weights)
+    clean = [r for r in few if r["toxic"] == 0]
+    best, n_words = np.array([r["best"] for r in clean]), np.array([r["n"] for r in clean], dtype=float)
     # the mean of a Gumbel variable of this kind is (ln K + ln n + 0.5772) / lambda; texts without a segment count as best 0
-    best = np.array([s[0] if len(s) else 0.0 for s in clean.segments])
-    log_k = float(np.mean(lam * best - np.log(np.maximum(clean.n, 1)))) - 0.5772 if len(hit) else -float(np.log(max(float(clean.n.mean()), 1.0)))
-    x = np.array([inputs(n_, list(s), lam, log_k) for n_, s in zip(few.n, few.segments, strict=True)])
-    return {"features": model, "lambda": lam, "log_k": log_k, "weights": logistic(x, few.toxic.to_numpy(dtype=float))}
+    log_k = float(np.mean(lam * best - np.log(np.maximum(n_words, 1)))) - 0.5772 if (best > 0).any() else -float(np.log(max(float(n_words.mean()), 1.0)))
+    x = rows.mapInArrow(partial(_inputs, model=model, lam=lam, log_k=log_k), "toxic int, x0 double, x1 double, x2 double").toArrow()
+    y = np.asarray(x.column(0), dtype=float)
+    return {"features": model, "lambda": lam, "log_k": log_k, "weights": logistic(np.column_stack([np.asarray(x.column(k)) for k in (1, 2, 3)]), y)}
 
 
 # ---------------------------------------------------------------- scoring
