@@ -102,8 +102,11 @@ class Lines:
         return Lines(self.text[at], self.number[at], sizes, self.words[np.repeat(self.first[at], sizes) + inner])
 
 
-def lines_of(texts: list[str], counts: np.ndarray | None = None, least: int = 1) -> Lines:
-    """Lines of at least `least` different words; their words by rarity under counts, else in the order of their hashes."""
+def lines_of(texts: list[str], counts: np.ndarray | None = None, least: int = 1, ranks: np.ndarray | None = None, some: np.ndarray | None = None) -> Lines:
+    """Lines of at least `least` different words; their words by rarity under counts, else in the order of their hashes.
+
+    ranks: `rarity` of the counts. some: a table by the upper 20 bits of hashes; lines without a word in it are left out.
+    """
     low = [x.lower() for x in texts]
     joined = "\n".join(low)
     data = joined.encode()
@@ -117,19 +120,14 @@ def lines_of(texts: list[str], counts: np.ndarray | None = None, least: int = 1)
     words = word_hashes(buf, starts, ends - starts)
     breaks = np.searchsorted(starts, np.flatnonzero(buf[:-PADDING] == 10))
     line = np.repeat(np.arange(len(breaks)), np.diff(breaks, prepend=0))
-    count = np.zeros(len(words), dtype=np.uint64) if counts is None else counts[(words & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64)
-    if len(line) and line[-1] < 1 << 21:
-        packed = line.astype(np.uint64) << np.uint64(43) | np.minimum(count, np.uint64((1 << 20) - 1)) << np.uint64(23) | words >> np.uint64(41)
-        order = np.argsort(packed)
-        packed, words, line = packed[order], words[order], line[order]
-        tied = np.flatnonzero((packed[1:] == packed[:-1]) & (words[1:] != words[:-1]))
-        if len(tied):  # other words of equal rank: their whole hashes decide, the same way in all lines
-            at = np.flatnonzero(np.isin(line, line[tied]))
-            at = at[np.lexsort((words[at], packed[at]))], at
-            words[at[1]] = words[at[0]]
-    else:
-        order = np.lexsort((words, words >> np.uint64(41), np.minimum(count, np.uint64((1 << 20) - 1)), line))
-        words, line = words[order], line[order]
+    if some is not None:
+        wanted = np.zeros(len(breaks), dtype=bool)
+        wanted[line[some[(words >> np.uint64(44)).astype(np.int64)]]] = True
+        words, line = words[wanted[line]], line[wanted[line]]
+    rank = np.zeros(len(words), dtype=np.uint64)
+    if counts is not None:
+        rank = (rarity(counts) if ranks is None else ranks)[(words & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64)
+    words, line = in_rank_order(words, line, rank)
     new = np.ones(len(words), dtype=bool)
     new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
     words, line = words[new], line[new]
@@ -143,6 +141,28 @@ def lines_of(texts: list[str], counts: np.ndarray | None = None, least: int = 1)
     return found.take(np.flatnonzero(sizes >= least)) if least > 1 else found
 
 
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Counts as 12 bits in the same order: as they are up to RARE, in small steps of their logarithm beyond."""
+    beyond = RARE + np.minimum(4095 - RARE, 1 + (128 * np.log2(np.maximum(counts, 1) / max(RARE, 1))).astype(np.int64))
+    return np.where(counts <= RARE, counts, beyond).astype(np.uint16)
+
+
+def in_rank_order(words: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words by line, rank and hash."""
+    if not len(words) or line[-1] >= 1 << 13 or len(words) >= 1 << 19:
+        order = np.lexsort((words, rank, line))
+        return words[order], line[order]
+    # line, rank, some of the hash and the place in one number: plain numbers sort the fastest
+    packed = np.sort(line.astype(np.uint64) << np.uint64(51) | rank << np.uint64(39) | words >> np.uint64(44) << np.uint64(19) | np.arange(len(words), dtype=np.uint64))
+    order = (packed & np.uint64((1 << 19) - 1)).astype(np.int64)
+    packed, words, line = packed >> np.uint64(19), words[order], line[order]
+    tied = np.flatnonzero((packed[1:] == packed[:-1]) & (words[1:] != words[:-1]))
+    if len(tied):  # other words of equal rank: their whole hashes decide, the same way in all lines
+        at = np.flatnonzero(np.isin(line, line[tied]))
+        words[at] = words[at][np.lexsort((words[at], packed[at]))]
+    return words, line
+
+
 def chunks(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Runs of rows with about CHUNK characters of text."""
     lo, held = 0, 0
@@ -302,9 +322,10 @@ def _keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, least: int, edg
     Only of lines named in lids, where given; only under the groups given, for lines that are as early as asked for there.
     """
     seen: dict[int, int] = {}
+    ranks = rarity(counts)
     for batch in batches:
         for part, texts in chunks(batch, 1):
-            own = lines_of(texts, counts, max(least, KEYED))
+            own = lines_of(texts, counts, max(least, KEYED), ranks)
             if not len(own.sizes):
                 continue
             ids = part.column(0).fill_null(np.iinfo(np.int64).min)
@@ -567,7 +588,7 @@ def _compared(batches: Iterator[pa.RecordBatch], least: int, asked: Asked, edges
         if early is not None:
             batch = batch.filter(pa.array(np.isin(earliness(np.asarray(batch.column(0).fill_null(np.iinfo(np.int64).min)), edges), early)))
         for part, texts in chunks(batch, 2):
-            own = lines_of(texts, least=max(least, KEYED))
+            own = lines_of(texts, least=max(least, KEYED), some=asked.some)
             hit = np.flatnonzero(asked.some[(own.words >> np.uint64(44)).astype(np.int64)])
             low, high = (np.searchsorted(asked.flat, own.words[hit], side=x) for x in ("left", "right"))
             line = np.repeat(np.arange(len(own.sizes)), own.sizes)[hit]
