@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamina.functions.ranking import ranked
+
 
 def _field(name: str):
     return lambda row: row[name]
@@ -45,6 +47,18 @@ def set_key(value: Column, key: str, new: Column) -> Column:
     return F.map_concat(rest, F.create_map(F.lit(key), new))
 
 
+def merged_elements(values: DataFrame, array: str, path: str = "path", order: str = "ord") -> DataFrame:
+    """(path, position, value): arrays of equal path joined in order, as rows, so that no path has to fit into one task.
+
+    Nulls among the elements stay; null and empty arrays add nothing.
+    """
+    spread = values.select(path, F.col(order).alias("lamina_ord"), F.posexplode(array).alias("lamina_k", "value"))
+    placed = ranked(spread, [F.col(path), F.col("lamina_ord"), F.col("lamina_k")], "lamina_place")
+    # one row for each path
+    first = placed.groupBy(F.col(path).alias("lamina_path")).agg(F.min("lamina_place").alias("lamina_first"))
+    return placed.join(first, F.col(path).eqNullSafe(F.col("lamina_path"))).select(path, (F.col("lamina_place") - F.col("lamina_first") + 1).alias("position"), "value")
+
+
 def merge_by_path(values: DataFrame, path: str = "path", arrays: Sequence[str] = (), maps: Sequence[str] = (), order: str = "ord") -> DataFrame:
     """Values of equal path merged: arrays are joined in order, maps laid over one another, the last winning."""
     joined = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, name))), _field(name))).alias(name) for name in arrays]

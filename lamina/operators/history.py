@@ -71,7 +71,7 @@ def forks(history: DataFrame, per: list[str], key: str = "timeId") -> DataFrame:
 
 def conflict(history: DataFrame, table: str) -> dict | None:
     """{table, type, branches} of one table's history if it has more than one tip, else None."""
-    open_ = [r.timeId for r in tips(history).select("timeId").orderBy("timeId").limit(100).collect()]
+    open_ = sorted(r.timeId for r in tips(history).select("timeId").collect())
     return {"table": table, "type": "dagBranch", "detectedAt": int(time.time() * 1000), "branches": open_} if len(open_) > 1 else None
 
 

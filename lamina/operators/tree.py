@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.functions.hashing import HASH, canonical, hash_of, row_hash
+from lamina.sources.scratch import new_path, stored
 
 MAX_DEPTH = 1000
-MAX_ROWS = 1_000_000_000
 NODE_SCHEMA = T.StructType([T.StructField(HASH, T.StringType()), T.StructField("id", T.StringType()), T.StructField("isParent", T.BooleanType()), T.StructField("children", T.ArrayType(T.StringType())), T.StructField("meta", T.StringType())])
 
 
@@ -59,13 +59,13 @@ def cells(nodes: DataFrame, start: DataFrame | None = None, path: Sequence[str]
 
 def nested(nodes: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(root, path, value): every node's canonical JSON of what lies below it, folded from the deepest level up."""
-    walked = expand(nodes, start).join(nodes.select(HASH, "id", "meta", F.size("children").alias("n")), HASH)
+    walked = stored(expand(nodes, start).join(nodes.select(HASH, "id", "meta", F.size("children").alias("n")), HASH), "walk")
     deepest = walked.agg(F.max("depth")).first()[0] or 0
     level = walked.where(F.col("depth") == deepest).select("root", "path", "id", _leaf_value().alias("value"))
     for depth in range(deepest - 1, -1, -1):
         entry = F.concat(F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2), F.lit(":"), F.col("value"))
         folded = level.groupBy("root", F.slice("path", 1, depth + 1).alias("path")).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("}")).alias("below"))
-        level = walked.where(F.col("depth") == depth).join(folded, ["root", "path"], "left").select("root", "path", "id", F.coalesce("below", _leaf_value()).alias("value"))
+        level = stored(walked.where(F.col("depth") == depth).join(folded, ["root", "path"], "left").select("root", "path", "id", F.coalesce("below", _leaf_value()).alias("value")), "level")
     return level.select("root", "path", "value")
 
 
@@ -73,23 +73,29 @@ def _leaf_value():
     return F.when(F.col("meta").isNull(), F.lit("{}")).otherwise(F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json("meta"), "$.value", "variant")), F.col("meta")))
 
 
-def merkle(edges: DataFrame, leaves: DataFrame, max_levels: int = 100) -> DataFrame:
+def merkle(edges: DataFrame, leaves: DataFrame) -> DataFrame:
     """Content hashes of a tree given as edges (parent, child) and node texts (id, text), bottom-up by level.
 
     A node's hash is over its text and the sorted hashes of its children; a level is hashed when all of
-    its children are, so there are as many rounds as the tree is deep.
+    its children are, so there are as many rounds as the tree is deep. Each level is written once to the
+    shared folder and read from there by the next ones, so that plans stay short and a lost executor
+    costs one level at most.
     """
-    done = leaves.join(edges.select(F.col("parent").alias("id")), "id", "left_anti").select("id", row_hash(T.StructType([leaves.schema["text"]])).alias("hash"))
+    spark, path = edges.sparkSession, new_path(edges.sparkSession, "merkle")
     total = leaves.count()
-    for _ in range(max_levels):
-        hashed = edges.join(done.select(F.col("id").alias("child"), "hash"), "child", "left")
+    own = leaves.join(edges.select(F.col("parent").alias("id")), "id", "left_anti").select("id", row_hash(T.StructType([leaves.schema["text"]])).alias("hash"))
+    own.write.parquet(path)
+    known = 0
+    while (n := spark.read.schema(own.schema).parquet(path).count()) < total:
+        if n == known:
+            raise ValueError("edges do not form trees")
+        known, done = n, spark.read.schema(own.schema).parquet(path)
+        waiting = edges.join(done.select(F.col("id").alias("parent")), "parent", "left_anti")
+        hashed = waiting.join(done.select(F.col("id").alias("child"), "hash"), "child", "left")
         ready = hashed.groupBy("parent").agg(F.count("*").alias("n"), F.count("hash").alias("known"), F.array_sort(F.collect_list("hash")).alias("children")).where("n = known")
-        new = ready.select(F.col("parent").alias("id"), "children").join(leaves, "id").join(done.select("id"), "id", "left_anti")
         kinds = T.StructType([T.StructField("children", T.ArrayType(T.StringType())), leaves.schema["text"]])
-        done = done.unionByName(new.select("id", row_hash(kinds).alias("hash")))
-        if done.count() >= total:
-            return done
-    raise ValueError("edges do not form trees")
+        ready.select(F.col("parent").alias("id"), "children").join(leaves, "id").select("id", row_hash(kinds).alias("hash")).write.mode("append").parquet(path)
+    return spark.read.schema(own.schema).parquet(path)
 
 
 def nodes_of(value: Mapping, name: str = "root") -> list[dict]:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamina.functions.ranking import ranked
 from lamina.functions.hashing import object_text, row_hash, text_hash
 from lamina.functions.predicates import RowFilter
 from lamina.plans.selection import RowSort, Selection, SetValue, ViewColumn
@@ -205,19 +206,3 @@ class View:
         columns = [c for c in rows.columns if c != SLICE]
         hashed = rows.withColumn("ref", text_hash(object_text(None, T.StructType([f for f in rows.schema.fields if f.name in columns]))))
         return hashed.select(F.col("ref").alias("id"), *columns).dropDuplicates(["id"]), hashed.select(SLICE, "ref")
-
-
-def ranked(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
-    """df with a global 1-based rank by keys, without bringing all rows to one task.
-
-    Rows are range-partitioned by the keys and numbered within their partition; partitions' sizes, one row
-    each, give the offset.
-    """
-    spread = df.repartitionByRange(*keys).withColumn("lamina_part", F.spark_partition_id())
-    within = spread.withColumn("lamina_rank", F.row_number().over(Window.partitionBy("lamina_part").orderBy(*keys)))
-    sizes = spread.groupBy("lamina_part").agg(F.count("*").alias("lamina_n"))
-    before = F.coalesce(F.sum("lamina_n").over(Window.orderBy("lamina_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("lamina_part", before.alias("lamina_before"))
-    # one row per partition, so its size is bounded by the number of partitions
-    out = within.join(F.broadcast(offsets), "lamina_part").withColumn(name, (F.col("lamina_rank") + F.col("lamina_before")).cast("long"))
-    return out.drop("lamina_part", "lamina_rank", "lamina_before")

@@ -56,7 +56,7 @@ _VIEW = """v AS (SELECT o_orderkey AS slice_id, o_orderstatus, o_totalprice, o_o
 _PARTS = "b AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)"
 
 _LINES = """c AS (SELECT o_orderkey AS slice_id, p_partkey, p_size, CASE WHEN p_size > 25 THEN p_brand END AS p_maybe
-  FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber <= 4) ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey)"""
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey)"""
 
 
 def _joined(value: str) -> str:
@@ -84,7 +84,7 @@ tip AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h AS o WHERE o.user_id =
 _FEED = """f AS (SELECT event_id, ts, user_id, event_type || ':' || (event_id % 200) AS r, 'peer' || (user_id % 5) AS o,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)"""
 
-_GAPS = """g AS (SELECT user_id, max(seq) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after_seq, seq AS upto_seq
+_GAPS = """g AS (SELECT user_id, coalesce(max(seq) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after_seq, seq AS upto_seq
   FROM f WHERE event_id % 7 <> 0),
 gap AS (SELECT * FROM g WHERE after_seq IS NOT NULL AND upto_seq > after_seq + 1)"""
 
@@ -184,8 +184,8 @@ SQL: dict[str, str] = {
     "p11_bool_words": "SELECT doc_id, toxic FROM labels WHERE toxic = 0",
     "n1_prune": "SELECT event_id, '{\"k\":' || (props ->> '$.k') || '}' AS pruned, '{}' AS empty FROM events",
     "n2_set_path": "SELECT n_nationkey, '{\"inner\":{\"name\":\"set\"}}' AS v FROM nation",
-    "n3_merge": "SELECT event_type AS path, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY event_id) AS users FROM events WHERE event_id < 300 GROUP BY 1",
-    "n3_merge_maps": "SELECT event_type AS path, CAST(user_id % 7 AS VARCHAR) AS k, CAST(max(event_id) AS VARCHAR) AS v FROM events WHERE event_id < 300 GROUP BY 1, 2",
+    "n3_merge": "SELECT event_type AS path, row_number() OVER (PARTITION BY event_type ORDER BY event_id, k) AS position, value FROM (SELECT event_type, event_id, 0 AS k, user_id AS value FROM events UNION ALL SELECT event_type, event_id, 1, event_id % 10 FROM events)",
+    "n3_merge_maps": "SELECT event_type AS path, CAST(user_id % 7 AS VARCHAR) AS k, CAST(max(event_id) AS VARCHAR) AS v FROM events GROUP BY 1, 2",
     "n4_make_unique": f"SELECT {_hash('text')} AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1",
     "n5_merge_tables": "SELECT DISTINCT nation_key FROM (SELECT c_nationkey AS nation_key FROM customer UNION ALL SELECT s_nationkey FROM supplier)",
     "n10_overlap": f"WITH {_PARTS} SELECT DISTINCT l_orderkey FROM b WHERE l_partkey IN (1, 2, 3, 5, 8)",
@@ -213,7 +213,7 @@ SQL: dict[str, str] = {
     "d2_latest_first": "SELECT event_id, row_number() OVER (ORDER BY epoch_ms(ts) DESC, event_id) AS place FROM events",
     "e3_replay": f"""WITH {_VIEW} SELECT slice_id, row_number() OVER (ORDER BY o_totalprice DESC, slice_id) AS ord, '0-NOW' AS priority, coalesce(c_mktsegment, '') AS segment
       FROM v WHERE o_orderstatus = 'O' AND o_totalprice > 150000""",
-    "e3_chain_order": """WITH one AS (SELECT conv_id, turn, min(role) AS role FROM conversations WHERE conv_id < 40 GROUP BY 1, 2)
+    "e3_chain_order": """WITH one AS (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY 1, 2)
       SELECT conv_id || '-' || max(turn) OVER (PARTITION BY conv_id) AS root, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, role AS edit FROM one""",
     "t4_enrich": f"WITH {_FEED} SELECT o AS route, 'me' AS o, r, row_number() OVER (PARTITION BY o ORDER BY event_id) AS seq FROM f",
     "t5_dedup": f"WITH {_FEED} SELECT event_id, r FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY ts, event_id) AS k FROM f) WHERE k = 1",

@@ -392,7 +392,7 @@ def j2_multi_layer(spark, sf_dir):
 
 
 def line_view(spark, sf_dir) -> View:
-    lines = t(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
+    lines = t(spark, sf_dir, "lineitem")
     o = t(spark, sf_dir, "orders")
     refs = lines.select(F.col("l_orderkey").alias("slice_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("ref"))
     part = t(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id").withColumn("p_maybe", F.when(F.col("p_size") > 25, F.col("p_brand")))
@@ -578,13 +578,13 @@ def n2_set_path(spark, sf_dir):
 
 @query
 def n3_merge(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select(F.col("event_type").alias("path"), F.col("event_id").alias("ord"), F.array("user_id").alias("users")).where("event_id < 300")
-    return nested.merge_by_path(e, arrays=["users"]).select("path", F.array_join(F.col("users").cast("array<string>"), ",").alias("users"))
+    e = t(spark, sf_dir, "events").select(F.col("event_type").alias("path"), F.col("event_id").alias("ord"), F.array("user_id", F.col("event_id") % 10).alias("users"))
+    return nested.merged_elements(e, "users")
 
 
 @query
 def n3_merge_maps(spark, sf_dir):
-    e = t(spark, sf_dir, "events").where("event_id < 300").select(F.col("event_type").alias("path"), F.col("event_id").alias("ord"), F.create_map((F.col("user_id") % 7).cast("string"), F.col("event_id").cast("string")).alias("m"))
+    e = t(spark, sf_dir, "events").select(F.col("event_type").alias("path"), F.col("event_id").alias("ord"), F.create_map((F.col("user_id") % 7).cast("string"), F.col("event_id").cast("string")).alias("m"))
     return nested.merge_by_path(e, maps=["m"]).select("path", F.explode("m").alias("k", "v"))
 
 
@@ -753,7 +753,7 @@ def e3_chain_order(spark, sf_dir):
     one = c.groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
     key = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
     before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    links = one.where("conv_id < 40").select("conv_id", "turn", "role", before.alias("b")).select(key(F.col("turn")).alias("_hash"), F.col("role").alias("edit"), F.when(F.col("b").isNotNull(), key(F.col("b"))).alias("previous"))
+    links = one.select("conv_id", "turn", "role", before.alias("b")).select(key(F.col("turn")).alias("_hash"), F.col("role").alias("edit"), F.when(F.col("b").isNotNull(), key(F.col("b"))).alias("previous"))
     ends = links.join(links.select(F.col("previous").alias("_hash")), "_hash", "left_anti").select("_hash")
     return edits.chain_order(links, ends).select("root", F.col("position").cast("long").alias("position"), "edit")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,7 @@ from lamina.functions.hashing import HASH, hash_of, row_hash, with_hash
 
 # Content types with the ending that their tables' names must have, and column types.
 ENDINGS = {"cakes": "Cake", "layers": "Layer", "sliceIds": "SliceId", "trees": "Tree"}
+CONFIGS = "_tableCfgs"
 PLAIN = ("components", "edits", "multiEdits", "editHistory", "insertHistory", "tableCfgs", "revisions", "head")
 COLUMN_TYPES = {"string": T.StringType(), "number": T.DoubleType(), "integer": T.LongType(), "boolean": T.BooleanType(), "json": T.StringType(), "jsonArray": T.StringType(), "jsonValue": T.StringType()}
 
@@ -59,6 +62,14 @@ class TableConfig:
     def hash(self) -> str:
         return hash_of({"key": self.key, "type": self.type, "columns": [{"key": c.key, "type": c.type} for c in self.columns]})
 
+    def model(self) -> dict:
+        return asdict(self)
+
+    @classmethod
+    def from_model(cls, model: dict) -> TableConfig:
+        columns = tuple(Column(c["key"], c["type"], Reference(**c["ref"]) if c["ref"] else None, c["title"]) for c in model["columns"])
+        return cls(model["key"], model["type"], columns, model["id"])
+
     def extended(self, other: TableConfig) -> TableConfig:
         """Columns are only ever added."""
         have = {c.key for c in self.columns}
@@ -67,18 +78,47 @@ class TableConfig:
 
 @dataclass
 class Store:
-    """A namespace of tables. With a path every table is a Parquet folder that only grows; else they are DataFrames."""
+    """A namespace of tables. With a path every table is a Parquet folder that only grows; else they are DataFrames.
+
+    Opening a path finds the tables and configurations that earlier stores left there.
+    """
 
     spark: SparkSession
     path: str | None = None
     configs: dict[str, TableConfig] = field(default_factory=dict)
     frames: dict[str, DataFrame] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        if self.path is None:
+            return
+        # configurations are kept as lines of JSON, one for each time that a table was created or extended
+        for line in self._read(lambda r: r.text(f"{self.path}/{CONFIGS}"), ["value"]):
+            config = TableConfig.from_model(json.loads(line.value))
+            old = self.configs.get(config.key)
+            self.configs[config.key] = old.extended(config) if old else config
+        for key in self.configs:
+            if key not in self.frames and self._read(lambda r, key=key: r.parquet(f"{self.path}/{key}").limit(0), []) is not None:
+                self.frames[key] = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{key}")
+
+    def _read(self, read, order: list[str]) -> list | None:
+        """Rows of a small file; none where it does not exist."""
+        try:
+            rows = read(self.spark.read)
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return [] if order else None
+        return rows.orderBy(*order).collect() if order else rows.collect()
+
     def create_table(self, config: TableConfig, rows: DataFrame | None = None) -> None:
         """Create, or extend by columns that are new."""
         config.check()
         old = self.configs.get(config.key)
-        self.configs[config.key] = old.extended(config) if old else config
+        new = old.extended(config) if old else config
+        self.configs[config.key] = new
+        if self.path is not None and new != old:
+            line = json.dumps(new.model(), sort_keys=True)
+            self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/{CONFIGS}")
         if rows is not None:
             self.frames[config.key] = rows
 

@@ -15,6 +15,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 PAYLOAD = "route string, o string, r string, c string, t long, seq long, p array<string>"
 DEDUP_SIZE, ACK_TIMEOUT_MS = 10_000, 10_000
+#: Numbers of a gap that one row spells out.
+GAP_RUN = 4096
 
 
 def enrich(refs: DataFrame, origin: str, client: str | None = None, causal: bool = False) -> DataFrame:
@@ -44,16 +46,21 @@ def first_seen(payloads: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 
 def gaps(payloads: DataFrame, client: str, seq: str, order: list[str]) -> DataFrame:
-    """(client, after_seq, upto_seq) for each jump of a client's sequence; the last number seen never goes back."""
+    """(client, after_seq, upto_seq) for each jump of a client's sequence; the last number seen never goes back, and is 0 for a client not seen before."""
     before = F.max(seq).over(Window.partitionBy(client).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    marked = payloads.select(client, F.col(seq).alias("upto_seq"), before.alias("after_seq"))
-    return marked.where(F.col("after_seq").isNotNull() & (F.col("upto_seq") > F.col("after_seq") + 1)).select(client, "after_seq", "upto_seq")
+    marked = payloads.select(client, F.col(seq).alias("upto_seq"), F.coalesce(before, F.lit(0)).alias("after_seq"))
+    return marked.where(F.col("upto_seq") > F.col("after_seq") + 1).select(client, "after_seq", "upto_seq")
 
 
 def gap_fill(log: DataFrame, requests: DataFrame, client: str, seq: str) -> DataFrame:
-    """Logged payloads that requests (client, after_seq, upto_seq) ask for."""
-    asked = requests.select(F.col(client).alias("asked"), "after_seq", "upto_seq")
-    return log.join(asked, (F.col(client) == F.col("asked")) & (F.col(seq) > F.col("after_seq")) & (F.col(seq) < F.col("upto_seq"))).select(*log.columns).distinct()
+    """Logged payloads that requests (client, after_seq, upto_seq) ask for, each once.
+
+    Gaps are spelt out as numbers, in runs of GAP_RUN, so that client and number are both keys of the join.
+    """
+    runs = F.explode(F.sequence(F.col("after_seq") + 1, F.col("upto_seq") - 1, F.lit(GAP_RUN).cast("long")))
+    asked = requests.where(F.col("upto_seq") > F.col("after_seq") + 1).select(F.col(client).alias("asked"), "upto_seq", runs.alias("at"))
+    numbers = asked.select("asked", F.explode(F.sequence("at", F.least(F.col("at") + GAP_RUN, F.col("upto_seq")) - 1)).alias("number")).distinct()
+    return log.join(numbers, (F.col(client) == F.col("asked")) & (F.col(seq) == F.col("number"))).select(*log.columns).distinct()
 
 
 def unacked(sent: DataFrame, acks: DataFrame, key: str, sent_at: str, acked_at: str, timeout_ms: int = ACK_TIMEOUT_MS) -> DataFrame:
@@ -74,7 +81,7 @@ class Receiver(StatefulProcessor):
     """One route's incoming payloads: each ref once, with two generations of memory, and gaps by client.
 
     Emits (route, kind, r, c, seq, after_seq): kind `ref` for a new ref, `gap` for a request to fill, `ack` for
-    every payload. A generation holds `size` refs; when it is full it becomes the old one and the one before
+    a new ref of a client; repeated refs are dropped before anything else. A generation holds `size` refs; when it is full it becomes the old one and the one before
     is forgotten. kind `forget` in the input's o column allows a ref again.
     """
 
@@ -98,16 +105,17 @@ class Receiver(StatefulProcessor):
                         if state.containsKey((x.r,)):
                             state.removeKey((x.r,))
                     continue
-                seq, last = (None if pd.isna(x.seq) else int(x.seq)), None
+                if self.new.containsKey((x.r,)) or self.old.containsKey((x.r,)):
+                    continue
+                self._remember(x.r)
+                seq = None if pd.isna(x.seq) else int(x.seq)
                 if x.c is not None and seq is not None:
-                    last = self.last.getValue((x.c,))[0] if self.last.containsKey((x.c,)) else None
-                    if last is not None and seq > last + 1:
+                    last = self.last.getValue((x.c,))[0] if self.last.containsKey((x.c,)) else 0
+                    if seq > last + 1:
                         out.append((key[0], "gap", x.r, x.c, seq, last))
-                    self.last.updateValue((x.c,), (max(seq, last or 0),))
+                    self.last.updateValue((x.c,), (max(seq, last),))
                 out.append((key[0], "ack", x.r, x.c, seq, None))
-                if not (self.new.containsKey((x.r,)) or self.old.containsKey((x.r,))):
-                    self._remember(x.r)
-                    out.append((key[0], "ref", x.r, x.c, seq, None))
+                out.append((key[0], "ref", x.r, x.c, seq, None))
         yield pd.DataFrame(out, columns=["route", "kind", "r", "c", "seq", "after_seq"]).astype({"seq": "Int64", "after_seq": "Int64"})
 
     def _remember(self, ref: str) -> None:
