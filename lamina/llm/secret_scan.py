@@ -3,7 +3,9 @@
 The base rules find assignments, access keys and hex strings. Further candidates (provider tokens,
 bearer values, private-key headers, upper-case hex) are hashed, and each hash's distinct
 repositories and owners are counted over the whole corpus: a value held by many owners is a widely
-copied example, one held by few looks live and its span is added. Base spans always stay.
+copied example, and so is one of few owners that fills more of their repositories than nearly all other
+values of few owners do (`UNUSUAL` of them, over all rows). The rest looks live and its span is added.
+Base spans always stay.
 
 Offsets are in code points, ends exclusive. Nulls: a null text is empty; a null owner or repository
 counts as one of its own. Repeated rows are kept.
@@ -27,6 +29,11 @@ UPPER_HEX = r"(?<![0-9A-Za-z])[0-9A-F]{32,}(?![0-9A-Za-z])"
 BASE = ("assign", "access", "hex")
 EXTRA = {"provider": PROVIDER, "bearer": BEARER, "header": HEADER, "upperhex": UPPER_HEX}
 
+#: Part of the values of few owners that are in no more repositories than the limit, and the least limit.
+UNUSUAL, LEAST_LIMIT = 0.99, 5
+#: Values of so many repositories that are no live ones are put aside before anything is joined by value.
+HOT = 10_000
+
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
@@ -83,17 +90,25 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     none = found.where(empty).select("doc_id", "base", F.col("extra").alias("added"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_copied"))
     held = found.where(~empty)
     spread = held.select("doc_id", "owner", "repository", "key", F.explode(F.concat("base", "extra")).alias("span")).withColumn("hash", F.sha2(F.col("span.value"), 256))
-    owned = ownership(spread.select("hash", "owner", "repository"))
-    live = F.col("n_owners") <= max_owners
-    judged = spread.join(owned, "hash").groupBy("doc_id", "owner", "repository", "key").agg(
-        F.collect_set(F.when(live & (F.col("span.rank") >= len(BASE)), F.col("span"))).alias("kept"), F.collect_set(F.when(live, F.struct("span.start", "span.rank"))).alias("live"), F.collect_set(F.when(~live, F.struct("span.start", "span.rank"))).alias("copied")
+    owned = stored(ownership(spread.select("hash", "owner", "repository")), "ownership")
+    few = F.col("n_owners") <= max_owners
+    usual = owned.where(few).agg(F.percentile_approx("n_repositories", UNUSUAL)).first()[0] or 0
+    is_live = few & (F.col("n_repositories") <= max(usual, LEAST_LIMIT))
+    live, hot = owned.where(is_live).select("hash"), owned.where(~is_live & (F.col("n_repositories") > HOT)).select("hash")
+    # what is live is in few repositories, so that no value's rows pile up in the join that is left
+    spread = spread.join(hot, "hash", "left_anti").join(live, "hash", "left_semi")
+    judged = spread.groupBy("doc_id", "owner", "repository", "key").agg(
+        F.collect_set(F.when(F.col("span.rank") >= len(BASE), F.col("span"))).alias("kept"), F.collect_set(F.struct("span.start", "span.rank")).alias("live")
     )
     keys = ["doc_id", "owner", "repository", "key"]
     left, right = held.alias("l"), judged.alias("r")
-    both = left.join(right, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    both = left.join(right, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "left")
     # an added span that a base span already covers says nothing new
-    new = F.filter(F.array_sort("r.kept"), lambda s: ~F.exists("l.base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return none.unionByName(both.select("l.doc_id", "l.base", new.alias("added"), F.size("r.live").cast("long").alias("n_live"), F.size("r.copied").cast("long").alias("n_copied")))
+    kept = F.coalesce("r.kept", F.array().cast(SPANS))
+    new = F.filter(F.array_sort(kept), lambda s: ~F.exists("l.base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    n_live = F.coalesce(F.size("r.live"), F.lit(0))
+    n_live = F.greatest(n_live, F.lit(0)).cast("long")
+    return none.unionByName(both.select("l.doc_id", "l.base", new.alias("added"), n_live.alias("n_live"), (F.size("l.base") + F.size("l.extra") - n_live).cast("long").alias("n_copied")))
 
 
 def listed(spans: Column) -> Column:

@@ -17,8 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 4
 #: Bits set per URL, and blocks per listed URL: about 12 bits a URL.
 BITS, BLOCKS_PER_URL = 6, 12 / 256
-#: Largest filter that is broadcast, in blocks (about 2.5 MB); a larger one is joined by block.
-BROADCAST_BLOCKS = 1 << 16
+#: Largest filter that is broadcast, in blocks (about 40 MB); a larger one is joined by block.
+BROADCAST_BLOCKS = 1 << 20
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 
 from lamina.llm import decontaminate, line_dedup, packing, pieces, quality, secret_scan, simhash, token_counts, token_output, toxicity, url_filter
 from lamina.llm.pieces import piece_ids
-from lamina.llm.queries import BYTE_BPE, QUERIES, URL_RULES, WORD_BPE
+from lamina.llm.queries import BYTE_BPE, ORACLE_SQL, QUERIES, URL_RULES, WORD_BPE
 from lamina.llm.scratch import new_path
 
 PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
@@ -410,6 +411,37 @@ def test_widely_copied_values_are_not_added(spark):
     assert [(s.start, s.kind, s.end) for s in found[100].added] == [(2, "provider", 2 + len(live))] and not found[101].added and len(found[101].base) == 1
 
 
+def test_one_owner_may_copy_a_value_too(spark):
+    """A hot source that holds one value in many documents, beside values of its own in one each."""
+    copied, own = "ghp_" + "TEMPLATE" * 3, [f"ghp_{n:024d}" for n in range(200)]
+    rows = [(n, f"use {copied} and {own[n]}", "hot") for n in range(200)]
+    found = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all([(s.start, s.end) for s in r.added] == [(4 + len(copied) + 5, 4 + 2 * len(copied) + 5)] and (r.n_live, r.n_copied) == (1, 1) for r in found)
+
+
+def added_by_brute_force(rows):
+    """Further spans that look live, from counts of owners and repositories over all rows."""
+    held, found = defaultdict(lambda: (set(), set())), []
+    for n, (doc, text, source) in enumerate(rows):
+        text = text or ""
+        base = [(m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 8] + [(m.start(), m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16] + [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9a-f]{32,}", text)]
+        extra = [(m.start(), m.end(), m[0]) for pattern in secret_scan.EXTRA.values() for m in re.finditer(pattern, text)]
+        for *_, value in base + extra:
+            held[value][0].add(source)
+            held[value][1].add(doc)
+        found.append((doc, base, extra))
+    few = sorted(len(docs) for owners, docs in held.values() if len(owners) <= 2)
+    limit = max(secret_scan.LEAST_LIMIT, few[-(-99 * len(few) // 100) - 1] if few else 0)
+    live = {v for v, (owners, docs) in held.items() if len(owners) <= 2 and len(docs) <= limit}
+    return Counter((doc, tuple(sorted((a, b) for a, b, v in extra if v in live and not any(x < b and a < y for x, y, _ in base))), sum(v in live for *_, v in base + extra), sum(v not in live for *_, v in base + extra)) for doc, base, extra in found)
+
+
+def test_ownership_by_brute_force(spark, real):
+    rows = [tuple(r) for r in real.select("doc_id", "text", "source").collect()]
+    got = secret_scan.scan_secrets(real).collect()
+    assert Counter((r.doc_id, tuple((s.start, s.end) for s in r.added), r.n_live, r.n_copied) for r in got) == added_by_brute_force(rows)
+
+
 # ---------------------------------------------------------------- lines
 
 def removed(rows):
@@ -507,6 +539,17 @@ def test_line_dedup_query(spark, sf_dir, texts):
 
 # ---------------------------------------------------------------- all of them
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    cursor, own = con.execute(ORACLE_SQL[name]), QUERIES[name](spark, sf_dir)
+    columns = [c[0] for c in cursor.description]
+    assert sorted(columns) == sorted(own.columns)
+    assert Counter(cursor.fetchall()) == Counter(tuple(r) for r in own.select(*columns).collect())
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_over_empty_tables(spark, sf_dir, tmp_path, name):
     for table in ("documents", "benchmark", "labels", "pages"):
