@@ -223,3 +223,26 @@ SQL: dict[str, str] = {
     "t11_unacked": "SELECT event_id FROM events WHERE event_id % 3 = 0 OR event_id % 20 > 10",
     "t13_predecessors": f"""WITH {_HISTORY} SELECT h."timeId", coalesce(p.ref, '') AS p FROM h LEFT JOIN h AS p ON p."timeId" = h.previous""",
 }
+
+_REMOVES = "CASE WHEN o_orderstatus = 'P' THEN 'remove' ELSE 'add' END"
+_MEMBERS = f"({_SETS}SELECT root, slice FROM held)"
+
+SQL |= {
+    "c14_cake_filter": "SELECT DISTINCT 'cake1995' AS _hash, '1995' AS \"sliceIdsRow\" FROM orders WHERE year(o_orderdate) = 1995",
+    "c17_layer_insert": _layers(_REMOVES, """SELECT c_custkey AS c, 1 AS ref FROM customer WHERE c_nationkey = 3
+      UNION ALL SELECT slice, ref FROM held WHERE root = (SELECT max(h) FROM layer)
+        AND slice NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)
+        AND slice NOT IN (SELECT o_custkey FROM o WHERE CAST(y AS VARCHAR) = (SELECT max(h) FROM layer) AND o_orderpriority = '1-URGENT')"""),
+    "c21_slice_insert": "SELECT c_custkey AS c FROM customer WHERE c_nationkey <> 3",
+    "r7_route_slices": _layers(_REMOVES, f"""SELECT 'cake' || root AS cake, CAST(slice AS VARCHAR) AS slice, ref AS o_orderkey FROM held
+      WHERE slice IN (1, 2, 3, 50) AND root IN (SELECT root FROM {_MEMBERS} m WHERE slice IN (1, 2, 3, 50))"""),
+    "r8_route_switch": _layers(_REMOVES, f""", f AS (SELECT o_custkey AS c, CAST(min(y) AS VARCHAR) AS y FROM o GROUP BY 1)
+      SELECT c, 'cake' || f.y AS cake, CAST(c AS VARCHAR) AS slice, ref AS o_orderkey FROM f JOIN held ON held.root = f.y AND held.slice = c
+      JOIN {_MEMBERS} m ON m.root = f.y AND m.slice = c"""),
+    "r10_route_layer": _layers(_REMOVES, "SELECT root AS y, CAST(slice AS VARCHAR) AS slice, ref, o_orderstatus FROM held JOIN orders ON o_orderkey = ref"),
+    "r11_cake_cells": _layers(_REMOVES, """SELECT 'yearCake:cake' || root || '/layers/orderLayer:' || root || '/add/' || slice || '/orders:' || ref || '/o_orderpriority' AS path,
+      o_orderpriority AS value FROM held JOIN orders ON o_orderkey = ref WHERE o_orderstatus = 'F'"""),
+    "j6_cake_view": _layers(_REMOVES, f"""SELECT m.slice AS c, o_orderstatus, o_totalprice FROM {_MEMBERS} m LEFT JOIN held ON held.root = m.root AND held.slice = m.slice
+      LEFT JOIN orders ON o_orderkey = ref WHERE m.root = '1995'"""),
+    "h1_insert_through": "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'HOUSES' ELSE c_mktsegment END AS name FROM customer",
+}

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import nested
-from lamina.functions.hashing import quoted, row_hash, text_hash
+from lamina.functions.hashing import quoted, row_hash, text_hash, with_hash
 from lamina.functions.predicates import ColumnFilter, RowFilter, number_predicate, string_predicate
-from lamina.operators import edits, history, resolve, traverse, tree
+from lamina.operators import cakes, edits, history, resolve, traverse, tree
 from lamina.operators.view import View, ranked
 from lamina.plans.selection import RowSort, Selection, SetValue
 from lamina.sources.store import Column, Reference, Store, TableConfig, cascade, decompose, layer_maps
@@ -159,7 +159,9 @@ def order_parts(spark, sf_dir) -> DataFrame:
 
 @query
 def c9_contains(spark, sf_dir):
-    return order_parts(spark, sf_dir).where(F.array_contains("parts", 17)).select("l_orderkey", F.size("parts").cast("long").alias("n_parts"))
+    own = Store(spark)
+    own.create_table(TableConfig("baskets", "components", (Column("l_orderkey"), Column("parts", "jsonArray")), "l_orderkey"), order_parts(spark, sf_dir))
+    return cakes.components_with(own, "baskets", "parts", 17).select("l_orderkey", F.size("parts").cast("long").alias("n_parts"))
 
 
 @query
@@ -213,8 +215,8 @@ def c15_layer_remove(spark, sf_dir):
 
 @query
 def c18_layer_contains(spark, sf_dir):
-    held = resolve.resolve_layers(*year_layers(spark, sf_dir, True))
-    return held.where("ref % 100 = 7").select(F.col("root").alias("y"), "ref").distinct()
+    wanted = t(spark, sf_dir, "orders").where("o_orderkey % 100 = 7").select(F.col("o_orderkey").alias("ref"))
+    return cakes.layers_with(year_cakes(spark, sf_dir), "orderLayer", wanted).select(F.col("root").alias("y"), "ref")
 
 
 def year_sets(spark, sf_dir) -> DataFrame:
@@ -242,7 +244,7 @@ def c20_slice_order(spark, sf_dir):
 
 @query
 def c22_slice_contains(spark, sf_dir):
-    return year_sets(spark, sf_dir).where(F.array_contains("add", 5)).select(F.col("_hash").alias("y"))
+    return cakes.sets_with(year_cakes(spark, sf_dir), "customerSliceId", "5").select(F.col("_hash").alias("y"))
 
 
 # ---------------------------------------------------------------- routes
@@ -355,6 +357,113 @@ def r26_deep_equality(spark, sf_dir):
     return e.select("event_id", text_hash(canon).alias("h")).join(F.broadcast(wanted), "h", "left_semi").select("event_id")
 
 
+# ---------------------------------------------------------------- cakes
+
+SLICES = ["1", "2", "3", "50"]
+
+
+def year_cakes(spark, sf_dir) -> Store:
+    """The star schema with a cake for each order year: its customers' set and a layer of their latest orders.
+
+    Sets and layers are based on those of the year before; their entries are rows.
+    """
+    out = store(spark, sf_dir)
+    layers, own = year_layers(spark, sf_dir, True)
+    o = t(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("string").alias("member"), F.col("o_custkey").cast("string").alias("slice"), F.col("o_custkey").alias("pos"), "o_orderpriority", "o_orderstatus")
+    joined, left = o.where("o_orderpriority = '1-URGENT'").withColumn("op", F.lit("add")), o.where("o_orderpriority = '5-LOW' and o_orderstatus = 'F'").withColumn("op", F.lit("remove"))
+    cakes.create_layers(out, "customerSliceId", sets=True)
+    cakes.create_layers(out, "orderLayer")
+    cakes.create_cakes(out, "yearCake")
+    out.frames["customerSliceId"] = layers
+    out.frames[cakes.entries_key("customerSliceId")] = with_hash(joined.unionByName(left).select("member", "slice", F.col("slice").alias("ref"), "pos", "op").distinct())
+    out.frames["orderLayer"] = layers.select("_hash", "base", F.lit("customerSliceId").alias("sliceIdsTable"), F.col("_hash").alias("sliceIdsTableRow"), F.lit("orders").alias("componentsTable"))
+    out.frames[cakes.entries_key("orderLayer")] = with_hash(own.select("member", F.col("slice").cast("string").alias("slice"), "ref", F.lit(0).cast("long").alias("pos"), "op"))
+    out.frames["yearCake"] = layers.select(F.concat(F.lit("cake"), "_hash").alias("_hash"), F.create_map(F.lit("orderLayer"), F.col("_hash")).alias("layers"), F.lit("customerSliceId").alias("sliceIdsTable"), F.col("_hash").alias("sliceIdsRow"), F.lit(None).cast("string").alias("id"))
+    return out
+
+
+@query
+def c14_cake_filter(spark, sf_dir):
+    return cakes.cakes_with(year_cakes(spark, sf_dir), "yearCake", "orderLayer", "1995").select("_hash", "sliceIdsRow")
+
+
+@query
+def c17_layer_insert(spark, sf_dir):
+    """A new layer on the last year's: urgent orders of that year go, then all customers of nation 3 get order 1."""
+    own = year_cakes(spark, sf_dir)
+    last = own.table("orderLayer").agg(F.max("_hash")).first()[0]
+    o = own.table("orders").where((F.year("o_orderdate").cast("string") == last) & (F.col("o_orderpriority") == "1-URGENT"))
+    gone, _ = cakes.insert_layer(own, "orderLayer", "remove", o.groupBy(F.col("o_custkey").alias("slice")).agg(F.max("o_orderkey").alias("ref")), last)
+    put, _ = cakes.insert_layer(own, "orderLayer", "add", own.table("customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("slice"), F.lit(1).alias("ref")), gone)
+    return cakes.held(own, "orderLayer", spark.createDataFrame([(put,)], "root string")).select(F.col("slice").cast("long").alias("c"), F.col("ref").cast("long").alias("ref"))
+
+
+@query
+def c21_slice_insert(spark, sf_dir):
+    """Two sets by insert: all customers, then without those of nation 3."""
+    own = year_cakes(spark, sf_dir)
+    customers = own.table("customer").select(F.col("c_custkey").alias("slice"), "c_nationkey")
+    whole, _ = cakes.insert_slices(own, "customerSliceId", "add", customers.select("slice"))
+    less, _ = cakes.insert_slices(own, "customerSliceId", "remove", customers.where("c_nationkey = 3").select("slice"), whole)
+    return cakes.held(own, "customerSliceId", spark.createDataFrame([(less,)], "root string")).select(F.col("slice").cast("long").alias("c"))
+
+
+@query
+def r7_route_slices(spark, sf_dir):
+    """Orders that four customers have in cakes whose sets hold one of them."""
+    paths = cakes.get(year_cakes(spark, sf_dir), "/yearCake/orderLayer/orders", slices=SLICES).paths
+    return paths.select(F.col("t0._hash").alias("cake"), "slice", F.col("t2.o_orderkey").alias("o_orderkey"))
+
+
+@query
+def r8_route_switch(spark, sf_dir):
+    """Customers refer to the cake of their first year for themselves alone: below, only their own slice holds."""
+    own = year_cakes(spark, sf_dir)
+    first = own.table("orders").groupBy("o_custkey").agg(F.min(F.year("o_orderdate")).alias("y"))
+    visits = first.select(F.col("o_custkey").alias("v_custkey"), F.array(F.struct(F.concat(F.lit("cake"), F.col("y").cast("string")).alias("ref"), F.array(F.col("o_custkey").cast("string")).alias("sliceIds"))).alias("cakes"))
+    own.create_table(TableConfig("visits", "components", (Column("v_custkey"), Column("cakes", "jsonArray", Reference("yearCake"))), "v_custkey"), visits)
+    paths = cakes.get(own, "/visits/yearCake/orderLayer/orders").paths
+    return paths.select(F.col("t0.v_custkey").alias("c"), F.col("t1._hash").alias("cake"), "slice", F.col("t3.o_orderkey").alias("o_orderkey"))
+
+
+@query
+def r10_route_layer(spark, sf_dir):
+    """All slices of all layers, each with its order."""
+    found = cakes.get(year_cakes(spark, sf_dir), "/orderLayer/orders/o_orderstatus")
+    return found.paths.select(F.col("t0._hash").alias("y"), "slice", F.col("t1.o_orderkey").alias("ref"), F.col("t1.o_orderstatus").alias("o_orderstatus"))
+
+
+@query
+def r11_cake_cells(spark, sf_dir):
+    """Cells of every cake with the slice in their path."""
+    cells = cakes.get(year_cakes(spark, sf_dir), "/yearCake/orderLayer/orders/o_orderpriority", {"orderLayer": {"orders": {"o_orderstatus": "F"}}}).cells()
+    return cells.select(F.array_join("path", "/").alias("path"), "value")
+
+
+@query
+def j6_cake_view(spark, sf_dir):
+    """The view of one cake, found by its ref, in the order of its set."""
+    view = cakes.cake_view(year_cakes(spark, sf_dir), "yearCake", "cake1995", Selection.from_routes(["orderLayer/o_orderstatus", "orderLayer/o_totalprice"]))
+    return view.rows.select(F.col("slice_id").cast("long").alias("c"), F.get("o_orderstatus", F.lit(0)).alias("o_orderstatus"), F.get("o_totalprice", F.lit(0)).alias("o_totalprice"))
+
+
+@query
+def h1_insert_through(spark, sf_dir):
+    """Customers' segments as cells of a cake; those of BUILDING are then written anew through the cake's route."""
+    own = Store(spark)
+    cakes.create_layers(own, "customerSliceId", sets=True)
+    cakes.create_layers(own, "segmentLayer")
+    cakes.create_cakes(own, "segmentCake")
+    own.create_table_with_history(TableConfig("segments", "components", (Column("name"),)))
+    c = t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("slice"), F.col("c_mktsegment").alias("name"))
+    whole, _ = cakes.insert_slices(own, "customerSliceId", "add", c.select("slice"))
+    first, _ = cakes.insert_cake(own, "segmentCake", "add", {}, sliceIdsTable="customerSliceId", sliceIdsRow=whole)
+    made = cakes.insert_through(own, f"/segmentCake@{first}/segmentLayer/segments", c)
+    new = cakes.insert_through(own, f"/segmentCake@{made['segmentCake']}/segmentLayer/segments", c.where("name = 'BUILDING'").withColumn("name", F.lit("HOUSES")))
+    cells = cakes.get(own, f"/segmentCake@{new['segmentCake']}/segmentLayer/segments/name").paths
+    return cells.select(F.col("slice").cast("long").alias("c_custkey"), F.col("t2.name").alias("name"))
+
+
 # ---------------------------------------------------------------- views
 
 VIEW = Selection.from_routes(["orderLayer/o_orderstatus", "orderLayer/o_totalprice", "orderLayer/o_orderpriority", "customerLayer/c_mktsegment", "customerLayer/c_acctbal"])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.functions.hashing import HASH, hash_of, row_hash, with_hash
+from lamina.sources.scratch import stored
 
 # Content types with the ending that their tables' names must have, and column types.
 ENDINGS = {"cakes": "Cake", "layers": "Layer", "sliceIds": "SliceId", "trees": "Tree"}
@@ -167,10 +168,15 @@ class Store:
         unknown = set(rows.columns) - {c.key for c in config.columns} - {HASH}
         if config.columns and unknown:
             raise ValueError(f"columns not in table {key!r}: {sorted(unknown)}")
-        hashed = with_hash(rows).dropDuplicates([HASH])
+        return self.append_hashed(key, with_hash(rows).dropDuplicates([HASH]))
+
+    def append_hashed(self, key: str, hashed: DataFrame) -> DataFrame:
+        """Append rows whose `_hash` is given, each once, unless the table has them; returns the new rows."""
         old = self.frames.get(key)
         new = hashed if old is None else hashed.join(old.select(HASH), HASH, "left_anti")
         if self.path is None:
+            # new rows are written before they count as held, so that insert after insert adds no joins to the plan
+            new = stored(new, key)
             self.frames[key] = new if old is None else old.unionByName(new, allowMissingColumns=True)
             return new
         where = f"{self.path}/{key}"
