@@ -47,6 +47,35 @@ def set_key(value: Column, key: str, new: Column) -> Column:
     return F.map_concat(rest, F.create_map(F.lit(key), new))
 
 
+def unique(df: DataFrame) -> DataFrame:
+    """Rows with each `_hash` once and, at every depth, arrays of rows with each `_hash` once, the first in place.
+
+    Elements without a hash all stay.
+    """
+    rows = df.select(*(_unique(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
+    return rows.dropDuplicates(["_hash"]) if "_hash" in df.columns else rows
+
+
+def _unique(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*(_unique(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields))
+        return F.when(value.isNotNull(), inner)
+    if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        return value
+    if isinstance(kind.elementType, T.StructType) and "_hash" in kind.elementType.names:
+        hashes = F.transform(value, _field("_hash"))
+        value = F.filter(value, lambda x, k: F.coalesce(F.array_position(hashes, x["_hash"]) == k + 1, F.lit(True)))
+    return F.transform(value, lambda x: _unique(x, kind.elementType))
+
+
+def same_json(value: Column) -> Column:
+    """JSON text in one form for all equal values: keys sorted, no spaces, without any `_hash`; null where it is no JSON."""
+    text = F.to_json(F.try_parse_json(value))
+    for pattern in (r'(?<!\\)"_hash":"[^"\\]*",', r',?(?<!\\)"_hash":"[^"\\]*"'):
+        text = F.regexp_replace(text, pattern, "")
+    return text
+
+
 def merged_elements(values: DataFrame, array: str, path: str = "path", order: str = "ord") -> DataFrame:
     """(path, position, value): arrays of equal path joined in order, as rows, so that no path has to fit into one task.
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from lamina.functions.hashing import HASH, hash_of, row_hash, with_hash
 from lamina.operators import history, resolve
-from lamina.operators.traverse import property_of, where_on_references
+from lamina.operators.traverse import edges, property_of, where_on_references
 from lamina.operators.view import View
 from lamina.plans.route import Route, bind, parse
 from lamina.plans.selection import Selection
@@ -62,6 +62,35 @@ def _chained(store: Store, table: str) -> DataFrame:
     return rows if "base" in rows.columns else rows.withColumn("base", F.lit(None).cast("string"))
 
 
+def child_refs(store: Store, table: str) -> DataFrame:
+    """(parent, child_table, column, ref, slice_ids) by content type: references of components, layers of cakes,
+    components of layers for each slice, children of tree nodes; slice sets have none.
+    """
+    kind, rows, id_ = store.content_type(table), store.table(table), store.config(table).id
+    none, no_slices = F.lit(None).cast("string").alias("column"), F.lit(None).cast("array<string>").alias("slice_ids")
+    if kind == "cakes":
+        spread = rows.select(F.col(id_).alias("parent"), F.explode("layers").alias("child_table", "ref")).where("not startswith(child_table, '_')")
+        return spread.select("parent", "child_table", none, "ref", no_slices)
+    if kind == "layers":
+        to = rows.select(F.col(id_).alias("root"), F.col("componentsTable").alias("child_table"))
+        return held(store, table).join(to, "root").select(F.col("root").alias("parent"), "child_table", none, "ref", F.array("slice").alias("slice_ids"))
+    if kind == "trees":
+        return rows.select(F.col(id_).alias("parent"), F.lit(table).alias("child_table"), none, F.explode("children").alias("ref"), no_slices)
+    if kind == "components" and store.config(table).references:
+        parts = [edges(rows, id_, c, r.table) for c, r in store.config(table).references.items()]
+        return reduce(DataFrame.unionByName, parts)
+    return store.spark.createDataFrame([], "parent string, child_table string, column string, ref string, slice_ids array<string>")
+
+
+def chained(rows: list[dict]) -> list[dict]:
+    """Rows in order, each with the hash of the one before as its base, and with its own hash."""
+    out: list[dict] = []
+    for row in rows:
+        own = {**row, **({"base": out[-1][HASH]} if out else {})}
+        out.append({HASH: hash_of(own), **own})
+    return out
+
+
 # ---------------------------------------------------------------- filters
 
 def cakes_with(store: Store, table: str, layer_table: str, layer: object) -> DataFrame:

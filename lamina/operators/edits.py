@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.functions.hashing import hash_of
+from lamina.functions.hashing import HASH, hash_of
 from lamina.functions.predicates import ColumnFilter, RowFilter
+from lamina.operators.history import time_id
 from lamina.operators.resolve import chains
 from lamina.operators.view import View
 from lamina.plans.selection import RowSort, Selection, SetValue
+from lamina.sources.store import Column, Store, TableConfig
 
 
 @dataclass(frozen=True)
@@ -85,6 +88,46 @@ def chain_order(multi_edits: DataFrame, roots: DataFrame | None = None) -> DataF
     return linked.join(longest, "root").select("root", (F.col("last") - F.col("depth")).alias("position"), "edit")
 
 
+def create_tables(store: Store, cake: str) -> None:
+    """Tables of edits, of chain links and of the timeline of a cake."""
+    store.create_table(TableConfig(f"{cake}Edits", "edits", (Column("model", "json"),)))
+    store.create_table(TableConfig(f"{cake}MultiEdits", "multiEdits", (Column("edit"), Column("previous_"))))
+    store.create_table(TableConfig(f"{cake}EditHistory", "editHistory", (Column("timeId"), Column("dataRef"), Column("multiEditRef"), Column("previous"))))
+
+
+def save(store: Store, cake: str, head: MultiEdit, data_ref: str, previous: list[str] | None = None) -> str:
+    """Store a chain and one row of the timeline; links that are held are not stored twice. Returns the time id."""
+    links, link = [], head
+    while link:
+        links.append(link)
+        link = link.previous
+    models = [(x.edit.hash, json.dumps(x.edit.model(), sort_keys=True)) for x in links]
+    store.append_hashed(f"{cake}Edits", store.spark.createDataFrame(sorted(set(models)), f"{HASH} string, model string"))
+    rows = [(x.hash, x.edit.hash, x.previous.hash if x.previous else None) for x in links]
+    store.append_hashed(f"{cake}MultiEdits", store.spark.createDataFrame(rows, f"{HASH} string, edit string, previous_ string"))
+    own = time_id()
+    store.upsert(f"{cake}EditHistory", store.spark.createDataFrame([(own, data_ref, head.hash, previous or [])], "timeId string, dataRef string, multiEditRef string, previous array<string>"))
+    return own
+
+
+def restore(store: Store, cake: str, ref: str) -> MultiEdit:
+    """The chain of a link's hash, or of a time id of the timeline. A chain is a plan: one row for each edit is read."""
+    if ":" in ref:
+        row = store.table(f"{cake}EditHistory").where(F.col("timeId") == ref).first()
+        if row is None:
+            raise ValueError(f"time {ref!r} is not in the edit history of {cake!r}")
+        ref = row.multiEditRef
+    links = store.table(f"{cake}MultiEdits").withColumnRenamed("previous_", "previous")
+    order = chain_order(links, store.spark.createDataFrame([(ref,)], "root string"))
+    models = order.join(store.table(f"{cake}Edits").select(F.col(HASH).alias("edit"), "model"), "edit").orderBy("position").collect()
+    if not models:
+        raise ValueError(f"no edits {ref!r} of {cake!r}")
+    head = None
+    for row in models:
+        head = MultiEdit(Edit.from_model(json.loads(row.model)), head)
+    return head
+
+
 @dataclass
 class EditSession:
     """A view under edit: the base view, the head of its chain, and what has been recorded."""

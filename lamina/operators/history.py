@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,9 +82,23 @@ def append(store: Store, table: str, ref: str, route: str, origin: str | None =
     key = f"{table}InsertHistory"
     row = store.spark.createDataFrame([(own, ref, route, origin, previous or [])], f"timeId string, `{table}Ref` string, route string, origin string, previous array<string>")
     store.upsert(key, row)
+    # branches are looked for only where somebody wants to know
+    if store.on_conflict.get(table) and (found := conflict(store.table(key), table)):
+        for callback in list(store.on_conflict[table]):
+            callback(found)
     return own
 
 
+def observe_conflicts(store: Store, table: str, callback: Callable[[dict], None]) -> None:
+    """Call back after each write that leaves the table's history with more than one tip."""
+    store.on_conflict.setdefault(table, []).append(callback)
+
+
+def unobserve_conflicts(store: Store, table: str, callback: Callable[[dict], None] | None = None) -> None:
+    """End one callback of a table, or all of them."""
+    store.on_conflict[table] = [c for c in store.on_conflict.get(table, []) if callback is not None and c is not callback]
+
+
 def insert(store: Store, route: str, rows: DataFrame, origin: str | None = None, previous: list[str] | None = None, history: bool = True) -> tuple[DataFrame, str | None]:
     """Append rows to the table that a route names, then its history: (new rows, time id or None).
 

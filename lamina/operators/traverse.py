@@ -51,8 +51,9 @@ def ref_values(df: DataFrame, column: str) -> Column:
 def where_on_references(store: Store, table: str, where: Mapping[str, object]) -> DataFrame:
     """Rows of a table whose own columns, or those of a table that they refer to, have the values given.
 
-    Own columns win over columns of the same name elsewhere; `child.column` names the other table. All
-    conditions hold together, each reference by a semi-join.
+    Own columns win over columns of the same name elsewhere; `child.column` names the other table. A column
+    that no table referred to has is looked for in those that they refer to, and so on. All conditions hold
+    together, each reference by a semi-join.
     """
     rows, config = store.table(table), store.config(table)
     own = {c: v for c, v in where.items() if c in rows.columns}
@@ -62,12 +63,14 @@ def where_on_references(store: Store, table: str, where: Mapping[str, object]) -
         if name in own:
             continue
         at = [c for c, r in config.references.items() if (name.split(".")[0] == r.table if "." in name else name in store.table(r.table).columns)]
+        # else the column lies further off, in a table that these refer to in their turn
+        at = at or [c for c, r in config.references.items() if _reaches(store, r.table, name, {table})]
         if not at:
             raise KeyError(f"{name!r} is no column of {table!r} or of what it refers to")
         # all columns that refer to the table count, whichever of them holds the row
-        per_ref.setdefault(tuple(c for c in at if config.references[c].table == config.references[at[0]].table), {})[name.split(".")[-1]] = value
+        per_ref.setdefault(tuple(c for c in at if config.references[c].table == config.references[at[0]].table), {})[_below(name, config.references[at[0]].table)] = value
     for columns, values in per_ref.items():
-        found = store.table(config.references[columns[0]].table).where(all_equal(values))
+        found = where_on_references(store, config.references[columns[0]].table, values)
         keys = {c: found.select(F.col(config.references[c].key).alias("lamina_ref")) for c in columns}
         if len(columns) == 1 and not isinstance(rows.schema[columns[0]].dataType, T.ArrayType):
             rows = rows.join(keys[columns[0]], F.col(columns[0]) == F.col("lamina_ref"), "left_semi")
@@ -76,6 +79,20 @@ def where_on_references(store: Store, table: str, where: Mapping[str, object]) -
     return rows
 
 
+def _below(name: str, table: str) -> str:
+    """The name as the referenced table knows it."""
+    return name.split(".", 1)[1] if name.startswith(f"{table}.") else name
+
+
+def _reaches(store: Store, table: str, name: str, seen: set[str]) -> bool:
+    """Whether a table, or one that it refers to over any number of references, is named or has the column."""
+    if table in seen or not store.has_table(table):
+        return False
+    if name.split(".")[0] == table if "." in name else name in store.table(table).columns:
+        return True
+    return any(_reaches(store, r.table, name, seen | {table}) for r in store.config(table).references.values())
+
+
 def _semi_on_any(rows: DataFrame, id_: str, keys: Mapping[str, DataFrame]) -> DataFrame:
     """Rows with any of a column's keys in one of the columns: equi-joins on elements, not a scan of all pairs."""
     hits = None

@@ -10,8 +10,11 @@ from pyspark.sql import types as T
 
 from lamina.functions.hashing import HASH, canonical, hash_of, row_hash
 from lamina.sources.scratch import new_path, stored
+from lamina.sources.store import all_equal
 
 MAX_DEPTH = 1000
+#: Ends the place of a node: above every position among siblings.
+LAST = 2**31 - 1
 NODE_SCHEMA = T.StructType([T.StructField(HASH, T.StringType()), T.StructField("id", T.StringType()), T.StructField("isParent", T.BooleanType()), T.StructField("children", T.ArrayType(T.StringType())), T.StructField("meta", T.StringType())])
 
 
@@ -49,6 +52,40 @@ def expand(nodes: DataFrame, start: DataFrame | None = None, path: Sequence[str]
     )
 
 
+def find(nodes: DataFrame, where: Mapping[str, object], path: Sequence[str] | None = None) -> DataFrame:
+    """The node of a where, `path` and `place` with it; children before their parent in the order of `place`.
+
+    More than one match is an error, none gives no rows. Without a path the node comes alone. With one its
+    nodes must bear the path's ids level by level, and all below its end comes along (all, for an empty path).
+    """
+    found = nodes.where(all_equal(where)) if where else nodes
+    if found.limit(2).count() > 1:
+        raise ValueError(f"several trees for {dict(where)}: ask for one")
+    if path is None:
+        return found.withColumns({"path": F.array("id"), "place": F.array(F.lit(LAST))})
+    placed = _with_places(expand(nodes, found, path), nodes)
+    return nodes.join(placed, HASH)
+
+
+def _with_places(walked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(_hash, path, place) of one expanded tree: the positions of a node's ancestors and of itself among their siblings.
+
+    A number above all positions ends each, so that a node sorts after what lies below it. Siblings bear
+    different ids; where they do not, the first position counts.
+    """
+    at = nodes.select(F.col(HASH).alias("parent"), F.posexplode("children").alias("pos", "child"))
+    ids = nodes.select(F.col(HASH).alias("child"), F.col("id").alias("child_id"))
+    held = stored(walked.select(HASH, "path", "depth"), "walk")
+    own = held.select(F.col("path").alias("above"), F.col(HASH).alias("parent")).join(at, "parent").join(ids, "child")
+    own = own.select(F.concat("above", F.array("child_id")).alias("path"), F.col("child").alias(HASH), "pos").groupBy("path", HASH).agg(F.min("pos").alias("pos"))
+    steps = own.select("path", HASH, "pos").join(held, ["path", HASH])
+    # every node takes the positions of the prefixes of its path: as many rows as it is deep
+    prefixes = held.select("path", HASH, F.explode(F.sequence(F.lit(1), F.size("path"))).alias("n")).select("path", HASH, "n", F.slice("path", 1, F.col("n")).alias("prefix"))
+    places = steps.groupBy(F.col("path").alias("prefix")).agg(F.min("pos").alias("pos"))
+    joined = prefixes.join(places, "prefix", "left").groupBy("path", HASH).agg(F.array_sort(F.collect_list(F.struct("n", F.coalesce("pos", F.lit(0)).alias("pos")))).alias("p"))
+    return joined.select(HASH, "path", F.concat(F.transform("p", lambda x: x["pos"]), F.array(F.lit(LAST))).alias("place"))
+
+
 def cells(nodes: DataFrame, start: DataFrame | None = None, path: Sequence[str] | None = None) -> DataFrame:
     """(root, path, meta) of the leaves: expanded nodes none of whose children is in the expansion."""
     walked = expand(nodes, start, path)

@@ -233,6 +233,8 @@ SQL |= {
       UNION ALL SELECT slice, ref FROM held WHERE root = (SELECT max(h) FROM layer)
         AND slice NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)
         AND slice NOT IN (SELECT o_custkey FROM o WHERE CAST(y AS VARCHAR) = (SELECT max(h) FROM layer) AND o_orderpriority = '1-URGENT')"""),
+    "c7_transitive_where": """SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+      WHERE c_mktsegment = 'BUILDING' AND (c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'))""",
     "c21_slice_insert": "SELECT c_custkey AS c FROM customer WHERE c_nationkey <> 3",
     "r7_route_slices": _layers(_REMOVES, f"""SELECT 'cake' || root AS cake, CAST(slice AS VARCHAR) AS slice, ref AS o_orderkey FROM held
       WHERE slice IN (1, 2, 3, 50) AND root IN (SELECT root FROM {_MEMBERS} m WHERE slice IN (1, 2, 3, 50))"""),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
@@ -22,6 +22,9 @@ CONFIGS = "_tableCfgs"
 PLAIN = ("components", "edits", "multiEdits", "editHistory", "insertHistory", "tableCfgs", "revisions", "head")
 COLUMN_TYPES = {"string": T.StringType(), "number": T.DoubleType(), "integer": T.LongType(), "boolean": T.BooleanType(), "json": T.StringType(), "jsonArray": T.StringType(), "jsonValue": T.StringType()}
 
+# Spark types that a column's declared type admits on import; the others are JSON text or any array.
+CHECKED = {"string": T.StringType, "number": T.NumericType, "integer": T.IntegralType, "boolean": T.BooleanType}
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -88,6 +91,7 @@ class Store:
     path: str | None = None
     configs: dict[str, TableConfig] = field(default_factory=dict)
     frames: dict[str, DataFrame] = field(default_factory=dict)
+    on_conflict: dict[str, list[Callable[[dict], None]]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.path is None:
@@ -154,13 +158,60 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.frames[key]
 
-    def read_row(self, key: str, id_: object) -> DataFrame:
-        """The row of an id; none if there is none."""
-        return self.table(key).where(F.col(self.config(key).id) == F.lit(id_))
-
-    def read_rows(self, key: str, where: Mapping[str, object]) -> DataFrame:
-        """Rows that equal all values given; they reach the scan as filters."""
-        return self.table(key).where(all_equal(where)) if where else self.table(key)
+    def read_row(self, key: str, id_: object, also: Mapping[str, object] | None = None) -> DataFrame:
+        """The row of an id, if it has the other values too; none if there is none."""
+        found = self.table(key).where(F.col(self.config(key).id) == F.lit(id_))
+        return found.where(all_equal(also)) if also else found
+
+    def read_rows(self, key: str, where: Mapping[str, object], also: Mapping[str, object] | None = None) -> DataFrame:
+        """Rows that equal all values given, those of `also` in place of equal names; they reach the scan as filters."""
+        merged = {**where, **(also or {})}
+        return self.table(key).where(all_equal(merged)) if merged else self.table(key)
+
+    def import_tables(self, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+        """Validate rows of several tables together, then append what is new; returns the new rows of each.
+
+        Columns and their types must be those of the configuration, a `_hash` that is given must be the row's,
+        and every reference must lead to a row that is held or comes along. Nothing is written if one fails.
+        """
+        hashed = {}
+        for key, rows in tables.items():
+            self._check_columns(key, rows)
+            if HASH in rows.columns:
+                wrong = rows.where(F.col(HASH).isNotNull() & (F.col(HASH) != row_hash(rows.schema))).select(HASH).first()
+                if wrong:
+                    raise ValueError(f"{wrong[0]!r} of table {key!r} is not the hash of its row")
+            hashed[key] = stored(with_hash(rows).dropDuplicates([HASH]), key)
+        for key, rows in hashed.items():
+            for column, ref in self.config(key).references.items():
+                if column in rows.columns:
+                    self._check_reference(key, rows, column, ref, hashed)
+        return {key: self.append_hashed(key, rows) for key, rows in hashed.items()}
+
+    def _check_columns(self, key: str, rows: DataFrame) -> None:
+        config = self.config(key)
+        unknown = set(rows.columns) - {c.key for c in config.columns} - {HASH}
+        if config.columns and unknown:
+            raise ValueError(f"columns not in table {key!r}: {sorted(unknown)}")
+        for column in config.columns:
+            kind = rows.schema[column.key].dataType if column.key in rows.columns else None
+            if kind is not None and column.type in CHECKED and not column.ref and not isinstance(kind, CHECKED[column.type]):
+                raise ValueError(f"column {column.key!r} of table {key!r} must be {column.type}, not {kind.simpleString()}")
+
+    def _check_reference(self, key: str, rows: DataFrame, column: str, ref: Reference, coming: Mapping[str, DataFrame]) -> None:
+        """Raise if some ref leads nowhere. One is looked for, not all."""
+        kind = rows.schema[column].dataType
+        own = F.explode(column) if isinstance(kind, T.ArrayType) else F.col(column)
+        refs = rows.select(own.alias("ref"))
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            refs = refs.select("ref.ref")
+        known = [t.select(F.col(ref.key).alias("ref")) for t in ([self.table(ref.table)] if self.has_table(ref.table) else []) + ([coming[ref.table]] if ref.table in coming else []) if ref.key in t.columns]
+        lost = refs.where("ref is not null")
+        for held in known:
+            lost = lost.join(held, "ref", "left_anti")
+        gone = lost.first()
+        if gone:
+            raise ValueError(f"{gone.ref!r} in {column!r} of table {key!r} is no row of {ref.table!r}")
 
     def upsert(self, key: str, rows: DataFrame) -> DataFrame:
         """Hash, validate and append rows that are new; returns the new rows. Running it again adds nothing."""

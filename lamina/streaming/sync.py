@@ -77,6 +77,17 @@ def predecessors(payloads: DataFrame, history: DataFrame, key: str, ref: str) ->
     return known.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("ref").isNotNull(), F.struct("k", "ref")))), lambda x: x["ref"]).alias("p"))
 
 
+def incoming(refs: DataFrame, *others: DataFrame) -> DataFrame:
+    """Payloads of one feed from several inputs: refs as they come, gap fills, the bootstrap's latest refs.
+
+    What comes twice is dropped by the receiver, so a bootstrap may repeat any of it.
+    """
+    out = refs
+    for more in others:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
 class Receiver(StatefulProcessor):
     """One route's incoming payloads: each ref once, with two generations of memory, and gaps by client.
 
