@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.functions.ranking import ranked
+from lamina.functions.ranking import numbered
 
 
 def _field(name: str):
@@ -82,10 +82,7 @@ def merged_elements(values: DataFrame, array: str, path: str = "path", order: st
     Nulls among the elements stay; null and empty arrays add nothing.
     """
     spread = values.select(path, F.col(order).alias("lamina_ord"), F.posexplode(array).alias("lamina_k", "value"))
-    placed = ranked(spread, [F.col(path), F.col("lamina_ord"), F.col("lamina_k")], "lamina_place")
-    # one row for each path
-    first = placed.groupBy(F.col(path).alias("lamina_path")).agg(F.min("lamina_place").alias("lamina_first"))
-    return placed.join(first, F.col(path).eqNullSafe(F.col("lamina_path"))).select(path, (F.col("lamina_place") - F.col("lamina_first") + 1).alias("position"), "value")
+    return numbered(spread, [path], [F.col("lamina_ord"), F.col("lamina_k")], "position").select(path, "position", "value")
 
 
 def merge_by_path(values: DataFrame, path: str = "path", arrays: Sequence[str] = (), maps: Sequence[str] = (), order: str = "ord") -> DataFrame:

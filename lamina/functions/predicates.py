@@ -11,7 +11,8 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,11 +25,17 @@ OPERATORS = {
     "boolean": ("equals", "notEquals"),
 }
 LABELS = {
-    "en": {"equals": "equals", "notEquals": "not equals", "greaterThan": "greater than", "lessThan": "less than", "startsWith": "starts with", "endsWith": "ends with", "contains": "contains", "notContains": "does not contain", "regExp": "matches"},
-    "de": {"equals": "gleich", "notEquals": "ungleich", "greaterThan": "größer als", "lessThan": "kleiner als", "startsWith": "beginnt mit", "endsWith": "endet mit", "contains": "enthält", "notContains": "enthält nicht", "regExp": "passt auf"},
+    "en": {"equals": "equals", "notEquals": "not equals", "greaterThan": "greater than", "greaterThanOrEquals": "at least", "lessThan": "less than", "lessThanOrEquals": "at most", "between": "between", "expression": "expression", "startsWith": "starts with", "endsWith": "ends with", "contains": "contains", "notContains": "does not contain", "regExp": "matches"},
+    "de": {"equals": "gleich", "notEquals": "ungleich", "greaterThan": "größer als", "greaterThanOrEquals": "mindestens", "lessThan": "kleiner als", "lessThanOrEquals": "höchstens", "between": "zwischen", "expression": "Ausdruck", "startsWith": "beginnt mit", "endsWith": "endet mit", "contains": "enthält", "notContains": "enthält nicht", "regExp": "passt auf"},
 }
 
 
+
+def operators(type_: str, language: str = "en") -> dict[str, str]:
+    """The operators of a filter type with their labels; an unknown type has those of text."""
+    return {o: LABELS[language][o] for o in OPERATORS.get(type_, OPERATORS["string"])}
+
+
 @dataclass(frozen=True)
 class ColumnFilter:
     """One column's filter. An unknown type is treated as text."""
@@ -156,17 +163,22 @@ def normalized(value: Column, match_case: bool) -> Column:
     return F.replace(value if match_case else F.lower(value), F.lit(" "), F.lit(""))
 
 
+def _valid_pattern(pattern: str) -> bool:
+    """Whether Spark's own expressions take a pattern; it is tried on an empty text when the plan is made."""
+    try:
+        SparkSession.active().sql("SELECT '' RLIKE :pattern", args={"pattern": pattern}).first()
+    except PySparkException:
+        return False
+    return True
+
+
 def string_predicate(value: Column, kind: T.DataType, operator: str, search: object, match_case: bool = False) -> Column:
     if search is None or search == "":
         return F.lit(True)
     text = value if isinstance(kind, T.StringType) else number_text(value, kind) if isinstance(kind, T.NumericType) else value.cast("string")
     own = normalized(text, match_case)
     if operator == "regExp":
-        try:
-            re.compile(str(search))
-        except re.error:
-            return F.lit(False)
-        return own.rlike(str(search))
+        return own.rlike(str(search)) if _valid_pattern(str(search)) else F.lit(False)
     wanted = (str(search) if match_case else str(search).lower()).replace(" ", "")
     tests = {"equals": own == wanted, "notEquals": own != wanted, "startsWith": own.startswith(wanted), "endsWith": own.endswith(wanted), "contains": own.contains(wanted), "notContains": ~own.contains(wanted)}
     if operator not in tests:

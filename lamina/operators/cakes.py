@@ -147,6 +147,12 @@ def one_cake(store: Store, table: str, ref: object):
     return found[0]
 
 
+def single(store: Store, table: str) -> DataFrame:
+    """Cakes that are found by their id alone; those that share one are what `one_cake` refuses."""
+    rows, id_ = store.table(table), store.config(table).id
+    return rows.join(rows.groupBy(id_).agg(F.count("*").alias("lamina_n")).where("lamina_n = 1").select(id_), id_, "left_semi")
+
+
 def cake_view(store: Store, table: str, ref: object, selection: Selection) -> View:
     """A view of one cake's slices over the layers that the selection's columns name."""
     cake = one_cake(store, table, ref)

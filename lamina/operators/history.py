@@ -8,8 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lamina.functions.hashing import hash_of
+from lamina.functions.hashing import hash_of, object_text, text_hash
 from lamina.sources.store import Store
 
 
@@ -113,6 +114,46 @@ def insert(store: Store, route: str, rows: DataFrame, origin: str | None = None,
     return new, append(store, table, ref, route, origin, previous)
 
 
+def insert_nested(store: Store, route: str, rows: DataFrame, origin: str | None = None, previous: list[str] | None = None) -> dict[str, str | None]:
+    """Append rows whose reference columns hold the child rows themselves (a struct or an array of them).
+
+    Children are written before their parents, which keep their hashes in their place, to any depth. The hashes
+    are expressions over the nested columns, so no level waits for another one and none is joined. Every table
+    gets a history row; previous is that of the route's own table. Null children stay null, in arrays they go.
+    Returns the time id of each table written.
+    """
+    made: dict[str, str | None] = {}
+    table = route.strip("/").split("/")[-1].split("@")[0]
+    for column, ref in store.config(table).references.items():
+        kind = rows.schema[column].dataType if column in rows.columns else None
+        many = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
+        if not many and not isinstance(kind, T.StructType):
+            continue
+        if ref.key != "_hash":
+            raise ValueError(f"{column!r} of {table!r} refers by {ref.key!r}: only rows referred to by hash can be nested")
+        children = rows.select((F.explode(column) if many else F.col(column)).alias("child")).where("child is not null").select("child.*")
+        made |= insert_nested(store, f"/{ref.table}", children, origin)
+    flat = [_stored_value(store, table, f, F.col(f"`{f.name}`"))[0].alias(f.name) for f in rows.schema.fields]
+    made[table] = insert(store, route, rows.select(*flat), origin, previous)[1]
+    return made
+
+
+def _stored_value(store: Store, table: str, field: T.StructField, value: Column) -> tuple[Column, T.DataType]:
+    """A field as it is stored, and its type: rows in reference columns by their hashes."""
+    kind, ref = field.dataType, store.config(table).references.get(field.name)
+    if ref and isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), _stored_hash(store, ref.table, value, kind)), T.StringType()
+    if ref and isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        present = F.filter(value, lambda x: x.isNotNull())
+        return F.transform(present, lambda x: _stored_hash(store, ref.table, x, kind.elementType)), T.ArrayType(T.StringType())
+    return value, kind
+
+
+def _stored_hash(store: Store, table: str, value: Column, kind: T.StructType) -> Column:
+    own = {f.name: _stored_value(store, table, f, value.getField(f.name)) for f in kind.fields}
+    return text_hash(object_text(F.struct(*(c.alias(n) for n, (c, _) in own.items())), T.StructType([T.StructField(n, k) for n, (_, k) in own.items()])))
+
+
 def _set_hash(rows: DataFrame) -> str:
     """A hash of many rows that needs no list of them: the sum of their hashes' numbers."""
     n, total = rows.agg(F.count("*"), F.sum(F.xxhash64("_hash").cast("decimal(38,0)"))).first()

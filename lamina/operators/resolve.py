@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.functions.ranking import numbered
+
 #: Levels of a chain that one query follows.
 MAX_DEPTH = 1000
 
@@ -55,8 +57,8 @@ def resolve_layers(layers: DataFrame, own: DataFrame, key: str = "_hash", base:
     return reached.withColumn("rn", F.row_number().over(nearest)).where("rn = 1 and op = 'add'").select("root", "slice", "ref")
 
 
-def resolve_slices(sets: DataFrame, key: str = "_hash", base: str = "base", roots: DataFrame | None = None) -> DataFrame:
-    """Slice sets with `add`, `remove` arrays -> (root, slice, ord), in insertion order, base first."""
+def resolve_slices(sets: DataFrame, key: str = "_hash", base: str = "base", roots: DataFrame | None = None, ordered: bool = True) -> DataFrame:
+    """Slice sets with `add`, `remove` arrays -> (root, slice, ord), in insertion order, base first; unordered without `ord`."""
     own = sets.select(F.col(key).alias("member"), F.posexplode("add").alias("pos", "slice")).withColumn("op", F.lit("add"))
     if "remove" in sets.columns:
         gone = sets.select(F.col(key).alias("member"), F.posexplode("remove").alias("pos", "slice")).withColumn("op", F.lit("remove"))
@@ -67,8 +69,9 @@ def resolve_slices(sets: DataFrame, key: str = "_hash", base: str = "base", root
     marked = reached.withColumn("last_gone", F.min(F.when(F.col("op") == "remove", F.col("depth"))).over(per_slice))
     since = marked.where((F.col("op") == "add") & (F.col("last_gone").isNull() | (F.col("depth") < F.col("last_gone"))))
     placed = since.groupBy("root", "slice").agg(F.min(F.struct((-F.col("depth")).alias("level"), "pos")).alias("at"))
-    order = Window.partitionBy("root").orderBy("at.level", "at.pos", "slice")
-    return placed.select("root", "slice", F.row_number().over(order).alias("ord"))
+    if not ordered:
+        return placed.select("root", "slice")
+    return numbered(placed, ["root"], [F.col("at.level"), F.col("at.pos"), F.col("slice")], "ord").select("root", "slice", "ord")
 
 
 def overlay(base: Column, own: Column, removed: Column | None = None) -> Column:

@@ -126,7 +126,6 @@ SQL: dict[str, str] = {
     "r7_slice_filter": _SETS + "SELECT DISTINCT root AS y FROM held WHERE slice IN (1, 2, 3, 50)",
     "r8_slice_propagation": "SELECT DISTINCT l_orderkey, l_partkey AS ref, '2' AS slices FROM lineitem WHERE l_linenumber = 2",
     "r10_layer_map": _layers("'add'", "SELECT root AS y, CAST(slice AS VARCHAR) AS slice, CAST(ref AS VARCHAR) AS ref FROM held"),
-    "r11_cake_layers": "SELECT n_regionkey, n_name AS name_layer, n_nationkey AS key_layer FROM nation",
     "r12_nested_component": "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'BUILDING'",
     "r13_through": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'A')",
     "r15_property": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'MACHINERY'",
@@ -140,7 +139,7 @@ SQL: dict[str, str] = {
     "j4_missing_cells": f"WITH {_LINES} SELECT slice_id, count(p_partkey) AS n_values, {_joined('p_maybe')} AS brands FROM c GROUP BY slice_id",
     "j5_deep_view": """SELECT r_name, n_name, c_custkey, o_orderkey FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
       JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'FURNITURE' AND o_orderstatus = 'P'""",
-    "j6_cake_unique": "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = 1",
+    "j6_cake_unique": "SELECT l_orderkey, CAST(any_value(l_partkey) AS VARCHAR) AS part FROM lineitem GROUP BY l_orderkey HAVING count(*) = 1",
     "v6_select": f"WITH {_VIEW} SELECT slice_id, c_mktsegment, o_orderstatus FROM v",
     "v7_filter_and": f"WITH {_VIEW} SELECT slice_id, o_totalprice, c_mktsegment FROM v WHERE o_totalprice > 100000 AND c_mktsegment = 'BUILDING'",
     "v9_filter_or": f"WITH {_VIEW} SELECT slice_id, o_orderpriority, c_acctbal FROM v WHERE o_orderpriority LIKE '1%' OR c_acctbal < 0",
@@ -247,4 +246,21 @@ SQL |= {
     "j6_cake_view": _layers(_REMOVES, f"""SELECT m.slice AS c, o_orderstatus, o_totalprice FROM {_MEMBERS} m LEFT JOIN held ON held.root = m.root AND held.slice = m.slice
       LEFT JOIN orders ON o_orderkey = ref WHERE m.root = '1995'"""),
     "h1_insert_through": "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'HOUSES' ELSE c_mktsegment END AS name FROM customer",
+    "r11_cake_layers": _layers(_REMOVES, """SELECT 'cake' || root AS cake, root AS layer, CAST(slice AS VARCHAR) AS slice, ref AS o_orderkey
+      FROM held JOIN orders ON o_orderkey = ref WHERE o_orderstatus = 'O'"""),
+    "s12_first_store": """WITH a AS (SELECT *, s_nationkey > 5 AS one, s_suppkey % 2 = 0 AS two FROM supplier WHERE s_nationkey IN (3, 8))
+      SELECT s_suppkey, s_nationkey FROM a WHERE one OR (two AND s_nationkey NOT IN (SELECT s_nationkey FROM a WHERE one))""",
+    "s13_chart": f"""WITH m AS (SELECT *, {_hash("'{\"size\":' || p_size || '}'")} AS measure FROM part)
+      SELECT p_partkey, {_hash(f"'{{\"brand\":' || {_quoted('p_brand')} || ',\"measure\":' || {_quoted('measure')} || '}}'")} AS ref, p_brand AS brand, measure, CAST(p_size AS DOUBLE) AS size FROM m""",
+    "c3_id_and_filter": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 7 AND o_orderstatus = 'O'",
+    "c4_where_and_filter": "SELECT c_custkey, c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 4",
+    "c16_layer_child_refs": _layers(_REMOVES, "SELECT root AS y, 'orders' AS child_table, ref, CAST(slice AS VARCHAR) AS slice FROM held"),
+    "h1_nested_insert": "SELECT c_custkey, n_name, r_name, CAST(3 AS BIGINT) AS n_tables FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "n4_nested_unique": "SELECT l_orderkey, CAST(l_suppkey AS VARCHAR) AS supplier, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1, 2",
+    "e4_restored": SQL["e3_replay"],
+    "t3_outgoing": f"""WITH {_FEED} SELECT event_id, o AS route, r FROM (SELECT *, row_number() OVER (PARTITION BY o, r ORDER BY ts, event_id) AS k FROM f
+      WHERE event_id % 3 = 2 AND (o, r) NOT IN (SELECT (o, r) FROM f WHERE event_id % 3 <> 2)) WHERE k = 1""",
+    "t9_bootstrap": f"""WITH {_FEED}, late AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY ts DESC, event_id DESC) AS k FROM f WHERE event_id % 4 > 0) WHERE k = 1),
+      x AS (SELECT event_id, ts, o, r FROM f WHERE event_id % 4 = 0 UNION ALL SELECT event_id, ts, o, r FROM late)
+      SELECT event_id, o AS route, r FROM (SELECT *, row_number() OVER (PARTITION BY o, r ORDER BY ts, event_id) AS k FROM x) WHERE k = 1""",
 }

@@ -14,7 +14,7 @@ from lamina.functions.predicates import ColumnFilter, RowFilter, number_predicat
 from lamina.operators import cakes, edits, history, resolve, traverse, tree
 from lamina.operators.view import View, ranked
 from lamina.plans.selection import RowSort, Selection, SetValue
-from lamina.sources.store import Column, Reference, Store, TableConfig, cascade, decompose, layer_maps
+from lamina.sources.store import Cascade, Chart, Column, Member, Reference, Store, TableConfig, cascade, decompose, from_chart, layer_maps
 from lamina.streaming import sync
 
 
@@ -106,6 +106,30 @@ def s12_cascade(spark, sf_dir):
     return cascade([first, second], "s_suppkey").select("s_suppkey", "s_name", F.col("priority").cast("long").alias("store"))
 
 
+@query
+def s12_first_store(spark, sf_dir):
+    """Suppliers of a nation from the first store that has any; the third store is never read."""
+    s = t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    stores = []
+    for rows in (s.where("s_nationkey > 5"), s.where("s_suppkey % 2 = 0"), s):
+        own = Store(spark)
+        own.create_table(TableConfig("supplier", "components", (Column("s_suppkey"), Column("s_nationkey")), "s_suppkey"), rows)
+        stores.append(own)
+    held = Cascade((Member(stores[0]), Member(stores[1], write=False), Member(stores[2], read=False)))
+    return held.read_rows("supplier", {"s_nationkey": 3}).unionByName(held.read_rows("supplier", {"s_nationkey": 8}))
+
+
+@query
+def s13_chart(spark, sf_dir):
+    """Parts by a chart: columns renamed and cast, sizes as records of their own."""
+    chart = Chart("p_partkey", {"kind": {"brand": "p_brand", "measure": {"size": ("p_size", "number")}}, "names": {"name": "p_name"}}, frozenset({"names"}))
+    components, layers = from_chart(t(spark, sf_dir, "part"), chart)
+    if set(layers) != {"kind"}:
+        raise ValueError("names must have no layer")
+    kinds, measures = components["kind"].withColumnRenamed("_hash", "ref"), components["measure"].withColumnRenamed("_hash", "measure")
+    return layers["kind"].join(kinds, "ref").join(measures, "measure").select(F.col("slice").alias("p_partkey"), "ref", "brand", "measure", "size")
+
+
 @query
 def s13_decompose(spark, sf_dir):
     components, layers = decompose(t(spark, sf_dir, "part"), "p_partkey", {"kind": ["p_brand", "p_type"], "size": ["p_size"]})
@@ -137,6 +161,17 @@ def c2_partial_match(spark, sf_dir):
     return store(spark, sf_dir).read_rows("customer", {"c_mktsegment": "BUILDING", "c_nationkey": 3}).select("c_custkey", "c_name")
 
 
+@query
+def c3_id_and_filter(spark, sf_dir):
+    return store(spark, sf_dir).read_row("orders", 7, {"o_orderstatus": "O"}).select("o_orderkey", "o_orderstatus")
+
+
+@query
+def c4_where_and_filter(spark, sf_dir):
+    """The filter's nation takes the place of the where's."""
+    return store(spark, sf_dir).read_rows("customer", {"c_mktsegment": "BUILDING", "c_nationkey": 3}, {"c_nationkey": 4}).select("c_custkey", "c_nationkey")
+
+
 @query
 def c5_where_on_ref(spark, sf_dir):
     return traverse.where_on_references(store(spark, sf_dir), "orders", {"c_mktsegment": "BUILDING", "o_orderstatus": "F"}).select("o_orderkey", "o_custkey")
@@ -227,6 +262,12 @@ def c18_layer_contains(spark, sf_dir):
     return cakes.layers_with(year_cakes(spark, sf_dir), "orderLayer", wanted).select(F.col("root").alias("y"), "ref")
 
 
+@query
+def c16_layer_child_refs(spark, sf_dir):
+    found = cakes.child_refs(year_cakes(spark, sf_dir), "orderLayer")
+    return found.select(F.col("parent").alias("y"), "child_table", "ref", F.get("slice_ids", F.lit(0)).alias("slice"))
+
+
 def year_sets(spark, sf_dir) -> DataFrame:
     """Slice sets of a year: customers of urgent orders join, those of low ones leave."""
     o = t(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate"))
@@ -239,7 +280,7 @@ def year_sets(spark, sf_dir) -> DataFrame:
 
 @query
 def c20_slice_chain(spark, sf_dir):
-    return resolve.resolve_slices(year_sets(spark, sf_dir)).select(F.col("root").alias("y"), F.col("slice").alias("c"))
+    return resolve.resolve_slices(year_sets(spark, sf_dir), ordered=False).select(F.col("root").alias("y"), F.col("slice").alias("c"))
 
 
 @query
@@ -294,7 +335,7 @@ def r6_semi_parent(spark, sf_dir):
 def r7_slice_filter(spark, sf_dir):
     """Years whose resolved slice set holds one of the requested customers."""
     sets = year_sets(spark, sf_dir)
-    members = resolve.resolve_slices(sets).select("root", F.col("slice").cast("string").alias("slice"))
+    members = resolve.resolve_slices(sets, ordered=False).select("root", F.col("slice").cast("string").alias("slice"))
     return traverse.overlapping(sets, "_hash", members.select(F.col("root"), "slice"), ["1", "2", "3", "50"]).select(F.col("_hash").alias("y"))
 
 
@@ -317,9 +358,10 @@ def r10_layer_map(spark, sf_dir):
 
 @query
 def r11_cake_layers(spark, sf_dir):
-    n = t(spark, sf_dir, "nation")
-    under = n.select("n_regionkey", F.struct(F.struct(F.col("n_name").alias("nameLayer"), F.col("n_nationkey").alias("keyLayer")).alias("layers")).alias("cake"))
-    return under.select("n_regionkey", F.col("cake.layers.nameLayer").alias("name_layer"), F.col("cake.layers.keyLayer").alias("key_layer"))
+    """Cakes with what their layer holds nested under `layers`: the orders of each year that are open."""
+    found = cakes.get(year_cakes(spark, sf_dir), "/yearCake/orderLayer/orders", {"orderLayer": {"orders": {"o_orderstatus": "O"}}}).nested()
+    layer = found.select("cake", F.col("layers.orderLayer.ref").alias("layer"), F.explode("layers.orderLayer.add").alias("slice", "o"))
+    return layer.select("cake", "layer", "slice", F.col("o.o_orderkey").alias("o_orderkey"))
 
 
 @query
@@ -471,6 +513,22 @@ def h1_insert_through(spark, sf_dir):
     return cells.select(F.col("slice").cast("long").alias("c_custkey"), F.col("t2.name").alias("name"))
 
 
+@query
+def h1_nested_insert(spark, sf_dir):
+    """Customers that hold their nation, and that its region, as rows: three tables, read back over their references."""
+    own = Store(spark)
+    own.create_table_with_history(TableConfig("regions", "components", (Column("name"),)))
+    own.create_table_with_history(TableConfig("nations", "components", (Column("name"), Column("region", ref=Reference("regions")))))
+    own.create_table_with_history(TableConfig("people", "components", (Column("custkey", "integer"), Column("nations", "jsonArray", Reference("nations")))))
+    c, n, r = (t(spark, sf_dir, x) for x in ("customer", "nation", "region"))
+    wide = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    region = F.struct(F.col("r_name").alias("name"))
+    rows = wide.select(F.col("c_custkey").alias("custkey"), F.array(F.struct(F.col("n_name").alias("name"), region.alias("region"))).alias("nations"))
+    made = history.insert_nested(own, "/people", rows)
+    found = traverse.get(own, "/people/nations/regions").joined
+    return found.select(F.col("t0.custkey").alias("c_custkey"), F.col("t1.name").alias("n_name"), F.col("t2.name").alias("r_name"), F.lit(len(made)).cast("long").alias("n_tables"))
+
+
 # ---------------------------------------------------------------- views
 
 VIEW = Selection.from_routes(["orderLayer/o_orderstatus", "orderLayer/o_totalprice", "orderLayer/o_orderpriority", "customerLayer/c_mktsegment", "customerLayer/c_acctbal"])
@@ -533,8 +591,11 @@ def j5_deep_view(spark, sf_dir):
 
 @query
 def j6_cake_unique(spark, sf_dir):
-    dup = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
-    return dup.where("n_lines = 1").select("l_orderkey")
+    """Lines as cakes named by their order: those that can be told by that name."""
+    own = Store(spark)
+    lines = t(spark, sf_dir, "lineitem").select("l_orderkey", F.create_map(F.lit("partLayer"), F.col("l_partkey").cast("string")).alias("layers"))
+    own.create_table(TableConfig("lineCake", "cakes", id="l_orderkey"), lines)
+    return cakes.single(own, "lineCake").select("l_orderkey", F.element_at("layers", F.lit("partLayer")).alias("part"))
 
 
 @query
@@ -710,6 +771,14 @@ def n4_make_unique(spark, sf_dir):
     return d.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
 
 
+@query
+def n4_nested_unique(spark, sf_dir):
+    """Orders with their lines as an array: of lines with one supplier the first stays."""
+    line = F.struct("l_linenumber", F.col("l_suppkey").cast("string").alias("_hash"))
+    orders = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return nested.unique(orders).select("l_orderkey", F.explode("lines").alias("x")).select("l_orderkey", F.col("x._hash").alias("supplier"), F.col("x.l_linenumber").alias("l_linenumber"))
+
+
 @query
 def n5_merge_tables(spark, sf_dir):
     a = t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation_key"))
@@ -851,17 +920,34 @@ def d2_latest_first(spark, sf_dir):
 
 # ---------------------------------------------------------------- edits
 
-@query
-def e3_replay(spark, sf_dir):
+def order_edits() -> edits.MultiEdit:
     chain = edits.MultiEdit(edits.Edit("columns", VIEW))
     chain = chain.then(edits.Edit("open", RowFilter((ColumnFilter("orderLayer/o_orderstatus", "equals", "O"), ColumnFilter("orderLayer/o_totalprice", "greaterThan", 150000, "number")))))
     chain = chain.then(edits.Edit("order", RowSort((("orderLayer/o_totalprice", "desc"),))))
     chain = chain.then(edits.Edit("set", SetValue("orderLayer/o_orderpriority", "0-NOW")))
     chain = chain.then(edits.Edit("few", Selection.from_routes(["orderLayer/o_orderpriority", "customerLayer/c_mktsegment"])))
-    view = edits.replay(order_view(spark, sf_dir), chain)
+    return chain
+
+
+def edited(view: View) -> DataFrame:
     return view.rows.select("slice_id", "ord", F.array_join("o_orderpriority", "|").alias("priority"), F.array_join("c_mktsegment", "|").alias("segment"))
 
 
+@query
+def e3_replay(spark, sf_dir):
+    return edited(edits.replay(order_view(spark, sf_dir), order_edits()))
+
+
+@query
+def e4_restored(spark, sf_dir):
+    """The same edits, stored in two steps and restored from the timeline."""
+    own, chain = Store(spark), order_edits()
+    edits.create_tables(own, "orderCake")
+    first = edits.save(own, "orderCake", chain.previous, "orders")
+    last = edits.save(own, "orderCake", chain, "orders", [first])
+    return edited(edits.replay(order_view(spark, sf_dir), edits.restore(own, "orderCake", last)))
+
+
 @query
 def e3_chain_order(spark, sf_dir):
     """Conversations as chains of edits: each turn's previous is the turn before."""
@@ -883,6 +969,22 @@ def feed(spark, sf_dir) -> DataFrame:
     return sent.select("*", F.concat(F.lit("peer"), (F.col("user_id") % 5).cast("string")).alias("o"))
 
 
+@query
+def t3_outgoing(spark, sf_dir):
+    """Refs that peers have to send: what they sent or received before is left out."""
+    f = feed(spark, sf_dir).withColumnRenamed("o", "route")
+    return sync.outgoing(f.where("event_id % 3 = 2"), ["ts", "event_id"], f.where("event_id % 3 = 0"), f.where("event_id % 3 = 1")).select("event_id", "route", "r")
+
+
+@query
+def t9_bootstrap(spark, sf_dir):
+    """A client that joins late: each route's latest ref, then what comes; every ref once."""
+    f = feed(spark, sf_dir).select(F.col("o").alias("route"), "ts", "event_id", "r")
+    held, live = f.where("event_id % 4 > 0"), f.where("event_id % 4 = 0")
+    both = sync.incoming(live, sync.bootstrap(held, ["ts", "event_id"]))
+    return sync.first_seen(both, ["route", "r"], ["ts", "event_id"]).select("event_id", "route", "r")
+
+
 @query
 def t4_enrich(spark, sf_dir):
     refs = feed(spark, sf_dir).select(F.col("o").alias("route"), "r", F.col("event_id").alias("ord"))

@@ -9,11 +9,12 @@ from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.functions.hashing import HASH, hash_of, row_hash, with_hash
+from lamina.functions.hashing import HASH, hash_of, object_text, row_hash, text_hash, with_hash
 from lamina.sources.scratch import stored
 
 # Content types with the ending that their tables' names must have, and column types.
@@ -258,6 +259,94 @@ def cascade(stores: list[DataFrame], key: str = HASH) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
+@dataclass(frozen=True)
+class Member:
+    """A store of a cascade and what it is used for."""
+
+    store: Store
+    read: bool = True
+    write: bool = True
+    dump: bool = True
+
+
+@dataclass(frozen=True)
+class Cascade:
+    """Stores by priority, the first one first."""
+
+    members: tuple[Member, ...]
+
+    def _readers(self, key: str) -> list[Store]:
+        return [m.store for m in self.members if m.read and m.store.has_table(key)]
+
+    def table(self, key: str) -> DataFrame:
+        """All rows of the stores that are read; of equal ids the first store's."""
+        stores = self._readers(key)
+        if not stores:
+            raise KeyError(f"no store that is read has table {key!r}")
+        return cascade([s.table(key) for s in stores], stores[0].config(key).id).drop("priority")
+
+    def read_rows(self, key: str, where: Mapping[str, object]) -> DataFrame:
+        """The rows of the first store that has any such row; none if no store has."""
+        found = [s.read_rows(key, where).withColumn("lamina_store", F.lit(n)) for n, s in enumerate(self._readers(key))]
+        if not found:
+            raise KeyError(f"no store that is read has table {key!r}")
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+        # one row: the number of the first store that has some
+        first = rows.agg(F.min("lamina_store").alias("lamina_store"))
+        return rows.join(F.broadcast(first), "lamina_store", "left_semi").drop("lamina_store")
+
+    def upsert(self, key: str, rows: DataFrame) -> list[DataFrame]:
+        """Append to every store that is written; returns the new rows of each."""
+        return [m.store.upsert(key, rows) for m in self.members if m.write]
+
+    def dump(self, path: str) -> None:
+        """Tables of the stores that are dumped, each once, as JSON lines below path."""
+        members = tuple(replace(m, read=True) for m in self.members if m.dump)
+        for key in {k: None for m in members for k in m.store.tables()}:
+            Cascade(members).table(key).write.json(f"{path}/{key}")
+
+
+@dataclass(frozen=True)
+class Chart:
+    """How wide rows fall into components: for each group its new columns and where they come from.
+
+    A column comes from a path (`props.k`), a (path, type) that it is cast to, or is a group of its own, which
+    becomes another table of components that the column refers to. Groups in `bare` get no layer.
+    """
+
+    slice_key: str
+    groups: Mapping[str, Mapping[str, object]]
+    bare: frozenset[str] = frozenset()
+
+
+def from_chart(rows: DataFrame, chart: Chart) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """(components, layers) of a chart: distinct hashed records of every group, and (slice, ref) of each row."""
+    components: dict[str, DataFrame] = {}
+
+    def columns(fields: Mapping[str, object]) -> list[SparkColumn]:
+        out = []
+        for name, origin in fields.items():
+            if isinstance(origin, Mapping):
+                inner = columns(origin)
+                own = rows.select(*inner)
+                components[name] = with_hash(own).dropDuplicates([HASH])
+                value = text_hash(object_text(F.struct(*inner), own.schema))
+            else:
+                path, kind = origin if isinstance(origin, tuple) else (origin, None)
+                value = F.col(path).cast(COLUMN_TYPES[kind]) if kind else F.col(path)
+            out.append(value.alias(name))
+        return out
+
+    layers = {}
+    for group, fields in chart.groups.items():
+        own = rows.select(F.col(chart.slice_key).alias("lamina_slice"), *columns(fields))
+        hashed = own.withColumn(HASH, row_hash(own.schema, list(fields)))
+        components[group] = hashed.select(HASH, *fields).dropDuplicates([HASH])
+        if group not in chart.bare:
+            layers[group] = hashed.select(F.col("lamina_slice").alias("slice"), F.col(HASH).alias("ref"))
+    return components, layers
+
+
 def decompose(rows: DataFrame, slice_key: str, groups: Mapping[str, list[str]]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """Wide rows -> (components, layers) per group of columns: distinct hashed records, and (slice, ref) of each row."""
     components, layers = {}, {}

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from lamina.functions.ranking import greatest_before, numbered
+
 PAYLOAD = "route string, o string, r string, c string, t long, seq long, p array<string>"
 DEDUP_SIZE, ACK_TIMEOUT_MS = 10_000, 10_000
 #: Numbers of a gap that one row spells out.
@@ -21,7 +23,8 @@ GAP_RUN = 4096
 
 def enrich(refs: DataFrame, origin: str, client: str | None = None, causal: bool = False) -> DataFrame:
     """refs (route, r, ord[, p]) -> payloads: origin and ref always, client and time if there is a client, sequence and predecessors if causal."""
-    number = F.row_number().over(Window.partitionBy("route").orderBy("ord")).cast("long")
+    if causal:
+        refs = numbered(refs, ["route"], [F.col("ord")], "number")
     previous = F.col("p") if "p" in refs.columns else F.lit(None).cast("array<string>")
     return refs.select(
         "route",
@@ -29,7 +32,7 @@ def enrich(refs: DataFrame, origin: str, client: str | None = None, causal: bool
         "r",
         F.lit(client).cast("string").alias("c"),
         (F.unix_millis(F.current_timestamp()) if client else F.lit(None).cast("long")).alias("t"),
-        (number if causal else F.lit(None).cast("long")).alias("seq"),
+        (F.col("number") if causal else F.lit(None).cast("long")).alias("seq"),
         (previous if causal else F.lit(None).cast("array<string>")).alias("p"),
     )
 
@@ -45,10 +48,23 @@ def first_seen(payloads: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return payloads.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
+def outgoing(refs: DataFrame, order: list[str], *known: DataFrame) -> DataFrame:
+    """refs (route, r) to be sent: each once, without what known payloads (route, r), sent or received, hold."""
+    for held in known:
+        refs = refs.join(held.select("route", "r"), ["route", "r"], "left_anti")
+    return first_seen(refs, ["route", "r"], order)
+
+
+def bootstrap(log: DataFrame, order: list[str]) -> DataFrame:
+    """The latest payload of each route, for clients that join late."""
+    own = log.groupBy("route").agg(F.max(F.struct(*order, *(c for c in log.columns if c not in order and c != "route"))).alias("x"))
+    return own.select("route", "x.*").select(*log.columns)
+
+
 def gaps(payloads: DataFrame, client: str, seq: str, order: list[str]) -> DataFrame:
     """(client, after_seq, upto_seq) for each jump of a client's sequence; the last number seen never goes back, and is 0 for a client not seen before."""
-    before = F.max(seq).over(Window.partitionBy(client).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    marked = payloads.select(client, F.col(seq).alias("upto_seq"), F.coalesce(before, F.lit(0)).alias("after_seq"))
+    known = greatest_before(payloads.select(client, seq, *(c for c in order if c not in (client, seq))), [client], [F.col(c) for c in order], seq, "before")
+    marked = known.select(client, F.col(seq).alias("upto_seq"), F.coalesce("before", F.lit(0)).alias("after_seq"))
     return marked.where(F.col("upto_seq") > F.col("after_seq") + 1).select(client, "after_seq", "upto_seq")
 
 
