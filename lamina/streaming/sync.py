@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lamina.functions.ranking import greatest_before, numbered
+from lamina.operators import history
+from lamina.sources.store import Store
 
 PAYLOAD = "route string, o string, r string, c string, t long, seq long, p array<string>"
 DEDUP_SIZE, ACK_TIMEOUT_MS = 10_000, 10_000
@@ -175,6 +177,8 @@ class Observers:
         self.callbacks: dict[str, list[Callable]] = {}
         self.errors: list[Exception] = []
         self.missed: dict[str, str] = {}
+        self.queries: list[StreamingQuery] = []
+        self.ends: list[Callable[[], None]] = []
 
     def register(self, route: str, callback: Callable[[str], None]) -> None:
         """A ref that came before the first callback is delivered to it once."""
@@ -204,4 +208,27 @@ class Observers:
             for row in rows.where(F.col("kind") == "ref").where(F.col("route").isin(list(self.callbacks))).select("route", "r").toLocalIterator():
                 self.notify(row.route, row.r)
 
-        return received.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query = received.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        self.queries.append(query)
+        return query
+
+    def forward_conflicts(self, store: Store, table: str, callback: Callable[[dict], None]) -> None:
+        """Conflicts of a table's history go to the callback until `tear_down`; its errors are kept, not raised."""
+
+        def forward(found: dict) -> None:
+            try:
+                callback(found)
+            except Exception as error:  # noqa: BLE001  a write must not fail for who watches it
+                self.errors.append(error)
+
+        history.observe_conflicts(store, table, forward)
+        self.ends.append(lambda: history.unobserve_conflicts(store, table, forward))
+
+    def tear_down(self) -> None:
+        """Stop the queries, end the forwarding, forget callbacks and what they missed."""
+        for query in self.queries:
+            query.stop()
+        for end in self.ends:
+            end()
+        for kept in (self.queries, self.ends, self.callbacks, self.missed):
+            kept.clear()

@@ -95,3 +95,20 @@ def test_labels_and_patterns(spark):
     # valid in one dialect alone: Python takes (?P<n>a), Java does not
     for pattern, n in [("(?P<n>a)", 0), ("([", 0), ("^a", 1), ("'", 0)]:
         assert rows.where(string_predicate(F.col("x"), rows.schema["x"].dataType, "regExp", pattern)).count() == n
+
+
+def test_conflicts_are_forwarded_until_the_end(store):
+    observers, heard = sync.Observers(), []
+
+    def fails(found):
+        heard.append(found["branches"])
+        raise RuntimeError("no")
+
+    observers.forward_conflicts(store, "cars", fails)
+    observers.register("/cars", heard.append)
+    history.append(store, "cars", "a", "/cars")
+    history.append(store, "cars", "b", "/cars")
+    assert len(heard) == 1 and len(heard[0]) == 2 and len(observers.errors) == 1
+    observers.tear_down()
+    history.append(store, "cars", "c", "/cars")
+    assert len(heard) == 1 and not observers.callbacks and not observers.ends
