@@ -252,7 +252,7 @@ SQL |= {
       SELECT s_suppkey, s_nationkey FROM a WHERE one OR (two AND s_nationkey NOT IN (SELECT s_nationkey FROM a WHERE one))""",
     "s13_chart": f"""WITH m AS (SELECT *, {_hash("'{\"size\":' || p_size || '}'")} AS measure FROM part)
       SELECT p_partkey, {_hash(f"'{{\"brand\":' || {_quoted('p_brand')} || ',\"measure\":' || {_quoted('measure')} || '}}'")} AS ref, p_brand AS brand, measure, CAST(p_size AS DOUBLE) AS size FROM m""",
-    "c3_id_and_filter": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 7 AND o_orderstatus = 'O'",
+    "c3_id_and_filter": "SELECT o_orderkey, o_orderstatus FROM orders WHERE (o_orderkey = 7 AND o_orderstatus = 'O') OR (o_orderkey = 10 AND o_orderstatus = 'F')",
     "c4_where_and_filter": "SELECT c_custkey, c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 4",
     "c16_layer_child_refs": _layers(_REMOVES, "SELECT root AS y, 'orders' AS child_table, ref, CAST(slice AS VARCHAR) AS slice FROM held"),
     "h1_nested_insert": "SELECT c_custkey, n_name, r_name, CAST(3 AS BIGINT) AS n_tables FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",

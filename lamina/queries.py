@@ -163,7 +163,8 @@ def c2_partial_match(spark, sf_dir):
 
 @query
 def c3_id_and_filter(spark, sf_dir):
-    return store(spark, sf_dir).read_row("orders", 7, {"o_orderstatus": "O"}).select("o_orderkey", "o_orderstatus")
+    own = store(spark, sf_dir)
+    return own.read_row("orders", 7, {"o_orderstatus": "O"}).unionByName(own.read_row("orders", 10, {"o_orderstatus": "F"})).select("o_orderkey", "o_orderstatus")
 
 
 @query
