@@ -19,8 +19,8 @@ from lamina.streaming import sync
 
 
 def millis() -> SparkColumn:
-    """Milliseconds of an event, whatever the session's time zone."""
-    return F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    """Milliseconds of an event, whatever the session's time zone; microseconds are rounded, halves away from zero, as SQL's epoch_ms does."""
+    return F.expr("round(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts), -3) div 1000")
 
 
 Query = Callable[[SparkSession, str], DataFrame]
