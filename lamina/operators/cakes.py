@@ -409,8 +409,14 @@ def _links(store: Store, parent: str, child: str, rows: DataFrame, state: DataFr
     if kind == "layers":
         to = rows.where(F.col("componentsTable") == child).select(F.col(config.id).alias("id"))
         at = held(store, parent, to.withColumnRenamed("id", "root")).select(F.col("root").alias("id"), text("slice").alias("slice"), "ref")
-        # slices that are not asked for are left out here, before components are read
-        at = state.join(at, "id").where((F.size("slices") == 0) | F.array_contains("slices", F.col("slice")))
+        # slices that are not asked for are left out here, before components are read; those asked for are found by equality
+        # with the layer's own, since many states may ask one layer for a slice each
+        kinds = {r.lamina_all for r in state.select((F.size("slices") == 0).alias("lamina_all")).distinct().collect()}
+        if kinds == {True, False}:
+            at = stored(at, "held")
+        asked = state.where(F.size("slices") > 0).withColumn("slice", F.explode(F.array_distinct("slices"))).join(at, ["id", "slice"])
+        whole = state.where(F.size("slices") == 0).join(at, "id")
+        at = whole.unionByName(asked) if kinds == {True, False} else whole if True in kinds else asked
         return at.select(F.col("id").alias("parent"), "slices", "slice", "ref", F.array("slice").alias("own"), F.col("slices").alias("below"))
     if kind != "components":
         raise ValueError(f"rows of {parent!r} ({kind}) have no children on a route")

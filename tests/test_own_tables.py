@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
+from lamina.operators import cakes
 from lamina.oracle import SQL
 from lamina.queries import QUERIES
+from lamina.sources.store import Column, Store, TableConfig
 
 
 def differences(spark, where, name, **tables):
@@ -27,3 +29,19 @@ def test_milliseconds_are_rounded(spark, tmp_path, name):
     events = spark.createDataFrame([(n, u, n % 4) for n, u in enumerate(micros)], "event_id long, us long, user_id long")
     events = events.selectExpr("event_id", "cast(timestamp_micros(us) as timestamp_ntz) as ts", "user_id")
     assert differences(spark, tmp_path, name, events=events) == ([], [])
+
+
+def test_slices_asked_of_a_layer_are_joined_by_equality(spark):
+    store = Store(spark)
+    layers = spark.createDataFrame([("a", None, "c", {"1": "x", "2": "y", "3": "z"}, {}), ("b", "a", "c", {"4": "w"}, {"2": "y"})], "_hash string, base string, componentsTable string, add map<string,string>, remove map<string,string>")
+    store.create_table(TableConfig("oneLayer", "layers", tuple(Column(n) for n in ("base", "componentsTable", "add", "remove"))), layers)
+    rows = store.table("oneLayer")
+    asked = {("a", ("1",)): "1", ("a", ("2",)): "2", ("b", ("2", "3", "3", "9")): "3", ("b", ("9",)): ""}
+    for wanted in (asked, {("b", ()): "134"}, asked | {("b", ()): "134", ("a", ()): "123"}, {}):
+        state = spark.createDataFrame([(i, list(s)) for i, s in wanted], "id string, slices array<string>")
+        links = cakes._links(store, "oneLayer", "c", rows, state)
+        want = sorted((i, s, c) for (i, s), found in wanted.items() for c in found)
+        assert sorted((r.parent, tuple(r.slices), r.slice) for r in links.collect()) == want
+        assert all(r.own == [r.slice] and r.below == r.slices for r in links.collect())
+        # not every state of a layer with every entry of it
+        assert "array_contains" not in links._jdf.queryExecution().optimizedPlan().toString()
