@@ -36,8 +36,11 @@ def edges(df: DataFrame, key: str, column: str, table: str) -> DataFrame:
     own = F.col(column) if isinstance(kind, T.ArrayType) else F.array(column)
     spread = df.select(F.col(key).alias("parent"), F.explode(own).alias("e"))
     struct = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
-    ref, slices = (F.col("e.ref"), F.col("e.sliceIds")) if struct else (F.col("e"), F.lit(None).cast("array<string>"))
-    return spread.select("parent", F.lit(table).alias("child_table"), F.lit(column).alias("column"), ref.alias("ref"), slices.alias("slice_ids")).where("ref is not null").dropDuplicates()
+    held = [F.col("e.ref").alias("ref"), F.col("e.sliceIds").alias("slice_ids")] if struct else [F.col("e").alias("ref")]
+    # what is the same in all rows takes no memory where they are compared
+    once = spread.select("parent", *held).where("ref is not null").dropDuplicates()
+    slices = F.col("slice_ids") if struct else F.lit(None).cast("array<string>").alias("slice_ids")
+    return once.select("parent", F.lit(table).alias("child_table"), F.lit(column).alias("column"), "ref", slices)
 
 
 def ref_values(df: DataFrame, column: str) -> Column:

@@ -194,9 +194,15 @@ def c7_transitive_where(spark, sf_dir):
     return traverse.where_on_references(store(spark, sf_dir), "lineitem", {"r_name": "ASIA", "c_mktsegment": "BUILDING"}).select("l_orderkey", "l_linenumber")
 
 
+#: Lines that one task groups into orders, about: what a task holds must not grow with the table.
+GROUPED = 500_000
+
+
 def order_parts(spark, sf_dir) -> DataFrame:
-    lines = t(spark, sf_dir, "lineitem")
-    return lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
+    lines = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    # the number of rows comes from the files' footers
+    parts = max(spark.sparkContext.defaultParallelism, -(-lines.count() // GROUPED))
+    return lines.repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
 
 
 @query

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from lamina import queries
 from lamina.operators import cakes
 from lamina.oracle import SQL
 from lamina.queries import QUERIES
@@ -45,3 +46,11 @@ def test_slices_asked_of_a_layer_are_joined_by_equality(spark):
         assert all(r.own == [r.slice] and r.below == r.slices for r in links.collect())
         # not every state of a layer with every entry of it
         assert "array_contains" not in links._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_task_groups_lines_in_bounds_however_many_there_are(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(queries, "GROUPED", 200, raising=False)
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    out = QUERIES["c10_child_refs"](spark, sf_dir)
+    held = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert n > 2000 and sum(held) == out.distinct().count() and max(held) < 600
