@@ -486,6 +486,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("later", "later2", "later_words", "earlier_words").mapInArrow(_verify, "lid long, lid2 long").distinct()
 
 
+def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """texts without the lines that no pair names, where few are named: their words need not move."""
+    lids = pairs.select(F.explode(F.array("later", "earlier")).alias("lid")).distinct()
+    return texts.join(F.broadcast(lids), "lid", "left_semi").select(texts.columns) if lids.count() <= SENT_IDS else texts
+
+
 def _texts(batches: Iterator[pa.RecordBatch], least: int, places: tuple[np.ndarray, ...] | None) -> Iterator[pa.RecordBatch]:
     """LINE, ORD and words of lines; of those at the places (document, number; sorted) alone, where these are few enough to be sent along."""
     for batch in batches:
@@ -652,8 +658,8 @@ def similar_later(rows: DataFrame, lines: DataFrame, counts: np.ndarray, least:
     closest = pairs.groupBy("later", "later2").agg(F.min(F.struct("apart", "earlier", "earlier2")).alias("x")).select("later", "later2", "x.earlier", "x.earlier2")
     sure = stored(verified(closest, texts), "later-lines")
     known = sure.select(F.col("lid").alias("later"), F.col("lid2").alias("later2"))
-    rest = pairs.join(known, ["later", "later2"], "left_anti").join(closest, ["later", "later2", "earlier", "earlier2"], "left_anti")
-    sure = stored(sure.unionByName(verified(rest, texts)), "later-lines")
+    rest = stored(pairs.join(known, ["later", "later2"], "left_anti").join(closest, ["later", "later2", "earlier", "earlier2"], "left_anti"), "rest")
+    sure = stored(sure.unionByName(verified(rest, texts_of(rest, texts))), "later-lines")
     open_ = found.where("more > 0").groupBy(F.col("later").alias("lid")).agg(F.max("more").alias("more"))
     left = stored(texts.join(open_, "lid").join(sure, LINE, "left_anti"), "left")
     n, n_bytes, widest = left.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)), F.max("more")).first()

@@ -54,3 +54,14 @@ def test_a_task_groups_lines_in_bounds_however_many_there_are(spark, sf_dir, mon
     out = QUERIES["c10_child_refs"](spark, sf_dir)
     held = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert n > 2000 and sum(held) == out.distinct().count() and max(held) < 600
+
+
+def test_words_of_lines_that_no_pair_names_do_not_move(spark, monkeypatch):
+    from lamina.llm import line_dedup
+
+    texts = spark.createDataFrame([(n, -n, b"w") for n in range(50)], "lid long, lid2 long, words binary")
+    pairs = spark.createDataFrame([(3, -3, 1, -1, 2), (4, -4, 3, -3, 1), (4, -4, 1, -1, 2)], "later long, later2 long, earlier long, earlier2 long, apart int")
+    own = line_dedup.texts_of(pairs, texts)
+    assert own.columns == texts.columns and sorted(r.lid for r in own.collect()) == [1, 3, 4]
+    monkeypatch.setattr(line_dedup, "SENT_IDS", 2)
+    assert line_dedup.texts_of(pairs, texts).count() == 50
