@@ -59,6 +59,10 @@ SENT_BYTES = 8_000_000
 BROADCAST_DOCS, BROADCAST_LINES = 300_000, 5_000_000
 #: Bytes of text worked at once, rows of keys worked at once, lines that a task remembers as sent.
 CHUNK, BAG, SEEN_LIMIT = 1 << 21, 200_000, 1_000_000
+#: Rows of keys that a task deals out at once, bytes of text whose keys go to one task (some 400,000 rows), and rows that it sorts at once.
+DEALT, BYTES_A_PART, HELD = 500_000, 1 << 24, 2_000_000
+#: Bits (as a power of two, 16 MB) that mark lines which are too many to be sent.
+MARK_BITS = 27
 
 ORD = ["doc_id", "doc_key", "line_no"]
 #: A line's identity: two sums of 64 bits over its words.
@@ -66,6 +70,8 @@ LINE = ["lid", "lid2"]
 #: Low bits of a key: the part flag, the place of the key's first word and the number of words, the last two up to a bound.
 PLACE_BITS, SIZE_BITS = 8, 10
 MOST_PLACE, MOST_SIZE, KEY_SHIFT = (1 << PLACE_BITS) - 1, (1 << SIZE_BITS) - 1, 1 + PLACE_BITS + SIZE_BITS
+#: Bits of keys and of LINE's first sum as they are dealt out; other lines of equal bits are told apart by their words.
+DEALT_BITS, SHORT_BITS = 48, 40
 #: Bits of the parity sketch. Lines of SPLIT words or more have another one for half of their words. The rest of both longs says how early the line is.
 SKETCH_BITS, EARLY_BITS, SPLIT = 56, 8, 64
 
@@ -197,14 +203,21 @@ def _lines(batches: Iterator[pa.RecordBatch], least: int, n_cells: int) -> Itera
     for lo in range(0, len(used), 256):
         own = used[lo:lo + 256]
         empty = [pa.nulls(len(own), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*empty, pa.array(own, pa.int32()), pa.array([rows[k].tobytes() for k in own], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(own, pa.int32()), pa.array([narrow(rows[k]) for k in own], pa.binary())], names)
+
+
+def narrow(cells: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest of them needs."""
+    most = int(cells.max())
+    return cells.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.frombuffer(cells.as_buffer(), dtype="<u4")
+            held = cells.as_buffer()
+            own = np.frombuffer(held, dtype=f"<u{len(held) // CELLS_A_ROW}").astype("<u4")
             total[part] = np.minimum(total[part].astype(np.int64) + own, 0xFFFFFFFF).astype("<u4") if part in total else own
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "cells"])
 
@@ -316,6 +329,81 @@ SAME, ALL = 1, 2
 KEYS_SCHEMA = "key long, lid long, sketch long, half long"
 
 
+def short(lid: Column | str) -> Column:
+    return (F.col(lid) if isinstance(lid, str) else lid).bitwiseAND(F.lit((1 << SHORT_BITS) - 1))
+
+
+DEALT_SCHEMA = "part int, data binary"
+
+
+def dealt(rows: tuple[np.ndarray, ...], parts: int) -> pa.RecordBatch:
+    """Columns of KEYS_SCHEMA -> the rows of each part as bytes: the lines, the keys, and the half sketches of the lines that have one."""
+    key, lid, sketch, half = (x.view(np.uint64) for x in rows)
+    part = (mixed(key >> np.uint64(KEY_SHIFT), M2) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, key, lid, sketch, half = part[order], key[order], lid[order], sketch[order], half[order]
+    eight = lambda x: np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    lines = np.concatenate([eight(lid)[:, :SHORT_BITS // 8], eight(sketch), eight(half)[:, 7:]], axis=1)
+    keys, halves = eight(key)[:, :DEALT_BITS // 8], eight(half)[:, :7]
+    split = (key & np.uint64(MOST_SIZE)) >= SPLIT
+    own, starts = np.unique(part, return_index=True)
+    data = [lines[a:b].tobytes() + keys[a:b].tobytes() + halves[a:b][split[a:b]].tobytes() for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True)]
+    # the number of rows goes first, since those with a half sketch are longer
+    sizes = np.diff(np.append(starts, len(part)))
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([n.to_bytes(4, "little") + x for n, x in zip(sizes.tolist(), data, strict=True)], pa.binary())], ["part", "data"])
+
+
+def undealt(data: bytes | pa.Buffer) -> tuple[np.ndarray, ...]:
+    """Rows of `dealt`, as columns of KEYS_SCHEMA in unsigned numbers; of keys and lids the bits that were sent."""
+    buf = np.frombuffer(data, dtype=np.uint8)
+    n, a, b = int(buf[:4].view("<u4")[0]), SHORT_BITS // 8, DEALT_BITS // 8
+    lines, keys = buf[4:4 + n * (a + 9)].reshape(n, a + 9), buf[4 + n * (a + 9):4 + n * (a + 9 + b)].reshape(n, b)
+    out = [np.zeros((n, 8), dtype=np.uint8) for _ in range(4)]
+    out[0][:, :b], out[1][:, :a], out[2][:], out[3][:, 7] = keys, lines[:, :a], lines[:, a:a + 8], lines[:, a + 8]
+    key, lid, sketch = (x.view("<u8").reshape(-1) for x in out[:3])
+    out[3][(key & np.uint64(MOST_SIZE)) >= SPLIT, :7] = buf[4 + n * (a + 9 + b):].reshape(-1, 7)
+    return key, lid, sketch, out[3].view("<u8").reshape(-1)
+
+
+def _deal(batches: Iterator[pa.RecordBatch], parts: int, **how: object) -> Iterator[pa.RecordBatch]:
+    """The rows of `_keys`, dealt out."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n_held = 0
+    for batch in _keys(batches, **how):
+        held.append(tuple(np.asarray(c) for c in batch.columns))
+        n_held += batch.num_rows
+        if n_held >= DEALT:
+            yield dealt(tuple(map(np.concatenate, zip(*held, strict=True))), parts)
+            held, n_held = [], 0
+    if n_held:
+        yield dealt(tuple(map(np.concatenate, zip(*held, strict=True))), parts)
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows that were dealt to one part, by key; where they are more than HELD, some at a time, their keys flagged as not whole."""
+    def by_key(rows: list[tuple[np.ndarray, ...]], flag: bool) -> Iterator[pa.RecordBatch]:
+        columns = tuple(map(np.concatenate, zip(*rows, strict=True)))
+        order = np.argsort(columns[0], kind="stable")
+        key, *others = (c[order] for c in columns)
+        if flag:
+            key = key | np.uint64(1 << (PLACE_BITS + SIZE_BITS))
+        for lo in range(0, len(key), BAG):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo:lo + BAG].view(np.int64)) for c in (key, *others)], ["key", "lid", "sketch", "half"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    n_held, over = 0, False
+    for batch in batches:
+        for data in batch.column(1):
+            if n_held >= HELD:
+                over = True
+                yield from by_key(held, over)
+                held, n_held = [], 0
+            held.append(undealt(data.as_buffer()))
+            n_held += len(held[-1][0])
+    if n_held:
+        yield from by_key(held, over)
+
+
 def _keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, least: int, edges: np.ndarray, salt: bool, lids: np.ndarray | None = None, groups: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
     """key, lid and sketches of every line of KEYED words or more; a line goes once from a task as far as it remembers.
 
@@ -372,10 +460,12 @@ def group_candidates(group: np.ndarray, low: np.ndarray, lid: np.ndarray, sketch
     more says where else a line has candidates: nowhere (0), in documents just as early (SAME), anywhere (ALL).
     """
     bits, mask = np.uint64(SKETCH_BITS), np.uint64((1 << SKETCH_BITS) - 1)
-    order = np.lexsort((half >> bits, sketch >> bits, lid, group))
-    group, low, lid, sketch, half, cut = group[order], low[order], lid[order], sketch[order], half[order], cut[order]
+    # lines are known by lid, place and parity: of the lid some bits may be left, and other keys may fall into the group
+    place = low >> np.uint64(SIZE_BITS) & np.uint64(MOST_PLACE)
+    order = np.lexsort((half >> bits, sketch >> bits, sketch & mask, place, lid, group))
+    group, low, lid, sketch, half, cut, place = group[order], low[order], lid[order], sketch[order], half[order], cut[order], place[order]
     new = np.ones(len(lid), dtype=bool)
-    new[1:] = (lid[1:] != lid[:-1]) | (group[1:] != group[:-1])  # the earliest copy of each line
+    new[1:] = (lid[1:] != lid[:-1]) | (group[1:] != group[:-1]) | (place[1:] != place[:-1]) | ((sketch[1:] ^ sketch[:-1]) & mask != 0)  # the earliest copy of each line
     group, low, lid, sketch, half, cut = group[new], low[new], lid[new], sketch[new], half[new], cut[new]
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.append(starts, len(group)))
@@ -402,7 +492,7 @@ def group_candidates(group: np.ndarray, low: np.ndarray, lid: np.ndarray, sketch
         # where both have it, each half is compared by itself
         other = np.where((n[i] >= SPLIT) & (n[j] >= SPLIT), half[i] ^ half[j], np.uint64(0))
         apart = np.bitwise_count(parity[i] ^ parity[j] ^ other).astype(np.int64) + np.bitwise_count(other)
-        fits = fitting(n[i], n[j], place[i], place[j], apart)
+        fits = fitting(n[i], n[j], place[i], place[j], apart) & ((lid[i] != lid[j]) | (parity[i] != parity[j]))
         i, j, apart = i[fits], j[fits], apart[fits]
         # equally early: either may come first, the words' check knows which
         for later, earlier in ((j, i), (i, j)):
@@ -430,6 +520,10 @@ def group_candidates(group: np.ndarray, low: np.ndarray, lid: np.ndarray, sketch
 CANDIDATE_SCHEMA = "later long, earlier long, apart int, more int"
 
 
+def _dealt_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _candidates(_in_order(batches))
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of KEYS_SCHEMA, those of a key one after another -> candidates; memory is bounded whatever a key holds."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -492,8 +586,8 @@ def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(lids), "lid", "left_semi").select(texts.columns) if lids.count() <= SENT_IDS else texts
 
 
-def _texts(batches: Iterator[pa.RecordBatch], least: int, places: tuple[np.ndarray, ...] | None) -> Iterator[pa.RecordBatch]:
-    """LINE, ORD and words of lines; of those at the places (document, number; sorted) alone, where these are few enough to be sent along."""
+def _texts(batches: Iterator[pa.RecordBatch], least: int, places: tuple[np.ndarray, ...] | None, marks: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """LINE, ORD and words of lines; of those at the places (document, number, lid; sorted) alone, where these are few enough to be sent along, else of those with marks."""
     for batch in batches:
         for part, texts in chunks(batch, 2):
             number = None
@@ -504,10 +598,14 @@ def _texts(batches: Iterator[pa.RecordBatch], least: int, places: tuple[np.ndarr
                 # these lines alone, as a text of its own for each document; numbers beyond a text's end are of another document of equal hash
                 texts = [pick(t, places[1][a:b].tolist()) for t, a, b in zip(texts, low.tolist(), high.tolist(), strict=True)]
             own = lines_of(texts, least=max(least, KEYED))
-            if number is not None:
+            lid, lid2 = own.ids()
+            if number is None:
+                hit = np.flatnonzero(marked(lid, marks))
+            else:
+                hit = np.flatnonzero(places[2][np.minimum(low[own.text] + own.number, len(places[2]) - 1)] == lid) if len(lid) else np.zeros(0, dtype=np.int64)
                 first = np.concatenate([[0], np.cumsum(high - low)[:-1]])
                 own.number = number[np.minimum(first[own.text] + own.number, len(number) - 1)] if len(own.number) else own.number
-            lid, lid2 = own.ids()
+            own, lid, lid2 = own.take(hit), lid[hit], lid2[hit]
             data, ends = own.words.tobytes(), np.cumsum(own.sizes) * 8
             rows = pa.array(own.text)
             yield pa.RecordBatch.from_arrays(
@@ -526,28 +624,77 @@ def place_hashes(ids: np.ndarray, keys: np.ndarray, null: np.ndarray) -> np.ndar
     return mixed(mixed(ids.astype(np.int64).view(np.uint64), M2) ^ keys.astype(np.int64).view(np.uint64), M3 + null.astype(np.uint64))
 
 
+def slots(lid: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Two bits of 1 << MARK_BITS that mark a line."""
+    own = lid.view(np.uint64) & np.uint64((1 << SHORT_BITS) - 1)
+    return tuple((mixed(own, salt) & np.uint64((1 << MARK_BITS) - 1)).astype(np.int64) for salt in (M2, M3))
+
+
+def marked(lid: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    one, two = slots(lid)
+    return ((marks[one >> 3] >> (one & 7)) & (marks[two >> 3] >> (two & 7)) & 1).astype(bool)
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The marks of some lines, in rows of CELLS_A_ROW bytes."""
+    marks = np.zeros(1 << MARK_BITS >> 3, dtype=np.uint8)
+    for batch in batches:
+        for own in slots(np.asarray(batch.column(0))):
+            for bit in range(8):
+                marks[own[own & 7 == bit] >> 3] |= np.uint8(1 << bit)
+    rows = marks.reshape(-1, CELLS_A_ROW)
+    used = np.flatnonzero(rows.any(axis=1))
+    for lo in range(0, len(used), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(used[lo:lo + 256], pa.int32()), pa.array([rows[k].tobytes() for k in used[lo:lo + 256]], pa.binary())], ["part", "cells"])
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(cells.as_buffer(), dtype=np.uint8)
+            total[part] = total[part] | own if part in total else own
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "cells"])
+
+
+def marks_of(lids: DataFrame) -> np.ndarray:
+    """Marks of all lines named in lids (lid): of other lines few have both bits, while lids are fewer than a tenth of the bits."""
+    shares = max(1, int(lids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = np.zeros(((1 << MARK_BITS) // 8 // CELLS_A_ROW, CELLS_A_ROW), dtype=np.uint8)
+    # at most 1 << MARK_BITS bits reach the driver
+    for part, cells in lids.select("lid").mapInArrow(_mark, "part int, cells binary").repartition(shares, "part").mapInArrow(_either, "part int, cells binary").collect():
+        out[part] = np.frombuffer(cells, dtype=np.uint8)
+    return out.reshape(-1)
+
+
 def line_texts(rows: DataFrame, lines: DataFrame, lids: DataFrame, least: int) -> DataFrame:
-    """LINE, first (the ORD of the first such line) and words (sorted hashes) of the lines named in lids (lid)."""
+    """LINE, first (the ORD of the first such line) and words (sorted hashes) of the lines named in lids (lid, short)."""
     n = lids.count()
-    first = stored(lines.join(F.broadcast(lids) if n <= SENT_IDS else lids, "lid", "left_semi").groupBy(*LINE).agg(F.min(F.struct(*ORD)).alias("first")), "firsts")
-    few = None
-    if n <= SENT_IDS:
-        table = first.select("first.*").toArrow()
+    asked = lids.select(F.col("lid").alias("short"))
+    first = stored(lines.withColumn("short", short("lid")).join(F.broadcast(asked) if n <= SENT_IDS else asked, "short", "left_semi").groupBy(*LINE).agg(F.min(F.struct(*ORD)).alias("first")), "firsts")
+    few = marks = None
+    if n > SENT_IDS:
+        marks = marks_of(lids)
+    else:
+        table = first.select("first.*", "lid").toArrow()
         doc = place_hashes(np.asarray(table.column(0).fill_null(0)), np.asarray(table.column(1)), np.asarray(table.column(0).is_null()))
         number = np.asarray(table.column(2), dtype=np.int64)
         order = np.lexsort((number, doc))
-        few = doc[order], number[order]
-    texts = rows.mapInArrow(partial(_texts, least=least, places=few), "lid long, lid2 long, doc_id long, doc_key long, line_no int, words binary")
+        few = doc[order], number[order], np.asarray(table.column(3), dtype=np.int64)[order]
+    texts = rows.mapInArrow(partial(_texts, least=least, places=few, marks=marks), "lid long, lid2 long, doc_id long, doc_key long, line_no int, words binary")
+    own = texts.select(*LINE, F.struct(*ORD).alias("first"), "words")
+    if few is None:
+        own = own.join(first.withColumnRenamed("first", "least"), LINE).where(F.col("first").eqNullSafe(F.col("least")))
     # one row for each line, however often its document is repeated
-    words = texts.join(first, LINE).where(F.struct(*ORD).eqNullSafe(F.col("first"))).dropDuplicates(LINE)
+    words = own.dropDuplicates(LINE)
     return stored(words.select(*LINE, "first", "words"), "line-words")
 
 
 def directed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (later, earlier, apart) of lids -> later, later2, earlier, earlier2, apart of those that stand so in the order of lines."""
-    one, two = (texts.select(F.col("lid").alias(a), F.col("lid2").alias(f"{a}2"), F.col("first").alias(f"{a}_first")) for a in ("later", "earlier"))
+    """pairs (later, earlier, apart) of short lids -> later, later2, earlier, earlier2, apart (LINE) of those that stand so in the order of lines."""
+    one, two = (texts.select(short("lid").alias(a), F.col("lid").alias(f"{a}_lid"), F.col("lid2").alias(f"{a}2"), F.col("first").alias(f"{a}_first")) for a in ("later", "earlier"))
     both = pairs.join(one, "later").join(two, "earlier").where(F.col("earlier_first") < F.col("later_first"))
-    return both.select("later", "later2", "earlier", "earlier2", "apart")
+    return both.select(F.col("later_lid").alias("later"), "later2", F.col("earlier_lid").alias("earlier"), "earlier2", "apart")
 
 
 # ---------------------------------------------------------------- operator
@@ -620,7 +767,7 @@ def _field(c: Column, shift: int, most: int) -> Column:
 
 
 def looked_up(rows: DataFrame, left: DataFrame, counts: np.ndarray, least: int, edges: np.ndarray) -> DataFrame:
-    """All candidates (later, earlier, apart) of the lines in left (lid), under all of their keys."""
+    """All candidates (later, earlier, apart; short lids) of the lines in left (lid), under all of their keys."""
     grouped = lambda keys: keys.withColumns({"group": F.shiftrightunsigned("key", KEY_SHIFT), "early": F.shiftrightunsigned("sketch", SKETCH_BITS) * F.lit(1 << EARLY_BITS) + F.shiftrightunsigned("half", SKETCH_BITS)})
     lids = np.sort(np.asarray(left.toArrow().column(0), dtype=np.int64)) if left.count() <= SENT_IDS else None
     own = key_rows(rows, counts, least, edges, salt=False, lids=lids)
@@ -642,15 +789,16 @@ def looked_up(rows: DataFrame, left: DataFrame, counts: np.ndarray, least: int,
     fits = (n == MOST_SIZE) | (m == MOST_SIZE) | ((p <= n - overlap) & (q <= m - overlap) & (apart * (NUM + DEN) <= (n + m) * (DEN - NUM)))
     lengths = ((n * DEN >= m * NUM) | (m == MOST_SIZE)) & ((m * DEN >= n * NUM) | (n == MOST_SIZE))
     both = a.join(b, "group").where((F.col("lid_a") != F.col("lid_b")) & lengths & fits & (F.col("early_b") <= F.col("early_a")))
-    return both.groupBy(F.col("lid_a").alias("later"), F.col("lid_b").alias("earlier")).agg(F.min(apart).alias("apart"))
+    return both.groupBy(short("lid_a").alias("later"), short("lid_b").alias("earlier")).agg(F.min(apart).alias("apart"))
 
 
-def similar_later(rows: DataFrame, lines: DataFrame, counts: np.ndarray, least: int) -> DataFrame:
+def similar_later(rows: DataFrame, lines: DataFrame, counts: np.ndarray, least: int, n_bytes: int) -> DataFrame:
     """LINE of every set of words that is similar to another one that comes first."""
     edges = early_edges(rows)
     shares = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = key_rows(rows, counts, least, edges, salt=True).repartition(shares, F.shiftrightunsigned("key", KEY_SHIFT)).sortWithinPartitions("key")
-    found = stored(keyed.mapInArrow(_candidates, CANDIDATE_SCHEMA), "candidates")
+    parts = max(shares, -(-n_bytes // BYTES_A_PART))
+    keyed = rows.select("doc_id", "text").mapInArrow(partial(_deal, parts=parts, counts=counts, least=least, edges=edges, salt=True), DEALT_SCHEMA).repartitionById(parts, "part")
+    found = stored(keyed.mapInArrow(_dealt_candidates, CANDIDATE_SCHEMA), "candidates")
     pairs = found.where("apart >= 0").groupBy("later", "earlier").agg(F.min("apart").alias("apart"))
     lids = found.select(F.explode(F.when(F.col("apart") >= 0, F.array("later", "earlier")).otherwise(F.array("later"))).alias("lid")).distinct()
     texts = line_texts(rows, lines, stored(lids, "suspects"), least)
@@ -660,8 +808,10 @@ def similar_later(rows: DataFrame, lines: DataFrame, counts: np.ndarray, least:
     known = sure.select(F.col("lid").alias("later"), F.col("lid2").alias("later2"))
     rest = stored(pairs.join(known, ["later", "later2"], "left_anti").join(closest, ["later", "later2", "earlier", "earlier2"], "left_anti"), "rest")
     sure = stored(sure.unionByName(verified(rest, texts_of(rest, texts))), "later-lines")
-    open_ = found.where("more > 0").groupBy(F.col("later").alias("lid")).agg(F.max("more").alias("more"))
-    left = stored(texts.join(open_, "lid").join(sure, LINE, "left_anti"), "left")
+    open_ = found.where("more > 0").groupBy(F.col("later").alias("short")).agg(F.max("more").alias("more"))
+    # names alone move to find the lines that are left
+    names = stored(texts.select(*LINE, short("lid").alias("short")).join(open_, "short").join(sure, LINE, "left_anti").drop("short"), "left-names")
+    left = stored(texts.join(F.broadcast(names) if names.count() <= SENT_IDS else names, LINE), "left")
     n, n_bytes, widest = left.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)), F.max("more")).first()
     if not n:
         return sure
@@ -683,7 +833,7 @@ def removed_lines(docs: DataFrame, min_words: int = 1) -> DataFrame:
     n_cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << int(n_bytes // BYTES_A_CELL).bit_length()))
     lines = stored(rows.mapInArrow(partial(_lines, least=min_words, n_cells=n_cells), LINES_SCHEMA), "lines")
     held = lines.where("lid is not null").select(*ORD, *LINE)
-    later = similar_later(rows, held, word_counts(lines, n_cells), min_words)
+    later = similar_later(rows, held, word_counts(lines, n_cells), min_words, n_bytes)
     # a line stays if it is the first of its words and no other comes before; sums of copies are made before the shuffle, and no join meets all copies of a line
     firsts = held.groupBy(*LINE).agg(F.min(F.struct(*ORD)).alias("first")).join(later, LINE, "left_anti").select("first.*")
     gone = _keyed(held.select(*ORD)).join(_keyed(firsts).drop("doc_id"), ["no_id", "id", "doc_key", "line_no"], "left_anti")

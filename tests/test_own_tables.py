@@ -65,3 +65,43 @@ def test_words_of_lines_that_no_pair_names_do_not_move(spark, monkeypatch):
     assert own.columns == texts.columns and sorted(r.lid for r in own.collect()) == [1, 3, 4]
     monkeypatch.setattr(line_dedup, "SENT_IDS", 2)
     assert line_dedup.texts_of(pairs, texts).count() == 50
+
+
+def test_keys_of_lines_are_dealt_out_in_few_bytes(monkeypatch):
+    import numpy as np
+
+    from lamina.llm import line_dedup as d
+
+    rng = np.random.default_rng(3)
+    n = 5000
+    size, place = rng.integers(4, 130, n).astype(np.uint64), rng.integers(0, 4, n).astype(np.uint64)
+    group = rng.integers(0, 40, n).astype(np.uint64)
+    key = (d.mixed(group, d.M2) << np.uint64(d.KEY_SHIFT)) | place << np.uint64(d.SIZE_BITS) | size
+    lid, sketch, half = (rng.integers(0, 1 << 62, n).astype(np.uint64) for _ in range(3))
+    half = np.where(size >= d.SPLIT, half, half & np.uint64(0xFF << d.SKETCH_BITS))
+    rows = d.dealt(tuple(x.view(np.int64) for x in (key, lid, sketch, half)), 7)
+    assert sum(len(x.as_py()) for x in rows.column(1)) < 25 * n
+    got = [row for x in rows.column(1) for row in zip(*(c.tolist() for c in d.undealt(x.as_buffer())), strict=True)]
+    low = lambda x, bits: x & np.uint64((1 << bits) - 1)
+    assert sorted(got) == sorted(zip(low(key, d.DEALT_BITS).tolist(), low(lid, d.SHORT_BITS).tolist(), sketch.tolist(), half.tolist(), strict=True))
+    # all rows of a key are in one part; where a part is worked some at a time its keys are flagged
+    shares = [{k >> d.KEY_SHIFT for k in d.undealt(x.as_buffer())[0].tolist()} for x in rows.column(1)]
+    assert sum(map(len, shares)) == len(set().union(*shares)) == len(set(group.tolist()))
+    one = d.dealt(tuple(x.view(np.int64) for x in (key, lid, sketch, half)), 1)
+    for held, flags in ((1 << 20, {0}), (100, {1})):
+        monkeypatch.setattr(d, "HELD", held)
+        out = list(d._in_order(iter([one, one])))
+        assert {k >> (d.PLACE_BITS + d.SIZE_BITS) & 1 for b in out for k in b.column(0).to_pylist()} == flags and sum(b.num_rows for b in out) == 2 * n
+
+
+def test_words_of_lines_too_many_to_be_sent_do_not_all_move(spark):
+    import numpy as np
+
+    from lamina.llm import line_dedup as d
+
+    texts = ["\n".join(f"w{n} x{n} y{n} z{n}" for n in range(k, k + 5)) for k in range(0, 500, 5)]
+    named = np.sort(d.lines_of(texts).ids()[0])[::50]
+    marks = d.marks_of(spark.createDataFrame([(int(x) & (1 << d.SHORT_BITS) - 1,) for x in named], "lid long"))
+    batch = d.pa.RecordBatch.from_arrays([d.pa.array(range(100)), d.pa.array(range(100)), d.pa.array(texts)], ["doc_id", "doc_key", "text"])
+    found = [x for b in d._texts(iter([batch]), 1, None, marks) for x in b.column(0).to_pylist()]
+    assert set(named.tolist()) <= set(found) and len(found) < 20
