@@ -1,7 +1,7 @@
 """Whole-text tokenisation with a per-worker memo of pieces, looked up for all words of many texts at once.
 
-Texts are cut where their pre-tokeniser always cuts: at white space, and before a full stop or comma
-that ends a word after a plain letter. Equal pieces then have equal ids wherever they stand, so each
+Texts are cut where their pre-tokeniser always cuts: at white space, and before a few ASCII symbols
+that end a word after a plain or Latin-1 letter. Equal pieces then have equal ids wherever they stand, so each
 worker asks the tokenizers library once per distinct piece, known by 128 bits of hash. Texts in which
 a cut could change the result go to the library whole. The memo is bounded and holds only public
 vocabulary ids, never documents.
@@ -56,6 +56,9 @@ def _table(members: list[int]) -> np.ndarray:
 
 _SPACES = {True: _table([10, _SPACE]), False: _table([*range(9, 14), _SPACE])}
 _LETTERS = _table([*range(65, 91), *range(97, 123)])
+#: All symbols of one byte but the apostrophe, which may begin a contraction; second bytes of letters whose first is 0xC3; symbols up to which the end of a word is cut off.
+_SYMBOLS = _table([x for x in range(33, 127) if not chr(x).isalnum() and x != 0x27])
+_LATIN, MOST_SYMBOLS = _table([x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]), 8
 
 
 def cut(buf: np.ndarray, word_ends: bool, with_space: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +67,16 @@ def cut(buf: np.ndarray, word_ends: bool, with_space: bool = False) -> tuple[np.
     word = ~space & (buf != _END)
     starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
     ends = np.flatnonzero(~word & np.concatenate([[False], word[:-1]]))
-    dotted = ((buf[ends - 1] == 0x2E) | (buf[ends - 1] == 0x2C)) & (ends - starts > 1) & _LETTERS[buf[ends - 2]]
-    tails = ends[dotted] - 1
-    ends = ends - dotted
-    parts = [(tails, np.ones(len(tails), dtype=np.int64))]
+    tail = np.zeros(len(ends), dtype=np.int64)
+    live = np.arange(len(ends))
+    for k in range(MOST_SYMBOLS):
+        live = live[(ends[live] - k > starts[live]) & _SYMBOLS[buf[ends[live] - 1 - k]]]
+        tail[live] += 1
+    before = ends - tail - 1
+    letter = _LETTERS[buf[before]] | ((before > starts) & (buf[before - 1] == 0xC3) & _LATIN[buf[before]])
+    tail = np.where((before >= starts) & letter, tail, 0)
+    ends = ends - tail
+    parts = [(ends[tail > 0], tail[tail > 0])]
     if word_ends:
         parts.append((starts, ends - starts))
     elif with_space:
@@ -110,6 +119,16 @@ class PieceTable:
         self.hashes = np.zeros((self.limit, 2), dtype=np.uint64)
         self.first, self.size = np.zeros(self.limit, dtype=np.int64), np.zeros(self.limit, dtype=np.int32)
         self.pool, self.used, self.held = np.zeros(1 << 20, dtype="<u4"), 0, 0
+        self.again = np.zeros(self.limit, dtype=bool)
+
+    def make_room(self, n: int) -> None:
+        """Keep the pieces that were found again, if that leaves room for n others."""
+        keep = np.flatnonzero(self.again[:self.held])
+        hashes, sizes = self.hashes[keep], self.size[keep].astype(np.int64)
+        flat = self.pool[spread(self.first[keep], sizes)]
+        self.clear()
+        if len(keep) <= min(self.limit - n, self.limit // 2):
+            self._put(hashes, flat, sizes)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Entries of (n, 2) hashes; -1: none."""
@@ -127,14 +146,16 @@ class PieceTable:
     def add(self, hashes: np.ndarray, numbers: list[np.ndarray]) -> None:
         """Add pieces that are not there yet, each once."""
         sizes = np.array([len(x) for x in numbers], dtype=np.int64)
-        flat = np.concatenate(numbers) if numbers else np.zeros(0, dtype="<u4")
+        self._put(hashes, np.concatenate(numbers) if numbers else np.zeros(0, dtype="<u4"), sizes)
+
+    def _put(self, hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used:self.used + len(flat)] = flat
-        entries = np.arange(self.held, self.held + len(numbers))
+        entries = np.arange(self.held, self.held + len(sizes))
         self.hashes[entries], self.size[entries] = hashes, sizes
         self.first[entries] = self.used + np.cumsum(sizes) - sizes
-        self.used, self.held = self.used + len(flat), self.held + len(numbers)
+        self.used, self.held = self.used + len(flat), self.held + len(sizes)
         slot = (hashes[:, 0] & np.uint64(self.slots - 1)).astype(np.int64)
         while len(entries):
             free = self.at[slot] < 0
@@ -160,6 +181,7 @@ class Pieces:
         starts, sizes = cut(body, self.word_ends, self.with_space)
         hashes = np.column_stack([word_hashes(buf, starts, sizes, salt) for salt in (M2, M3)])
         entries = self.table.find(hashes)
+        self.table.again[entries[entries >= 0]] = True
         missing = np.flatnonzero(entries < 0)
         if len(missing):
             _, at = np.unique(hashes[missing], axis=0, return_index=True) if len(missing) < 64 else np.unique(hashes[missing, 0] ^ hashes[missing, 1], return_index=True)
@@ -167,7 +189,7 @@ class Pieces:
             if self.table.held + len(new) > self.table.limit:
                 if len(new) > self.table.limit:
                     raise TooMany
-                self.table.clear()
+                self.table.make_room(len(new))
                 return self.pieces(texts)
             raw = buf.tobytes()
             self.table.add(hashes[new], [self.of_piece(raw[s:s + n].decode()) for s, n in zip(starts[new].tolist(), sizes[new].tolist(), strict=True)])
@@ -227,10 +249,10 @@ class PieceIds(Pieces):
 
     def piece(self, piece: str) -> np.ndarray:
         body = piece[1:] if piece[0] == " " else piece
-        # a word of letters alone is one pre-token, which the model itself takes; not where lower-casing could add marks
-        if not body.isalpha() or not (body.isascii() or (not self.word_ends and max(body) < "ɐ")):
+        # a word of letters alone is one pre-token, which the model itself takes; not where lower-casing could add marks, as it does for no Latin-1 letter
+        if not body.isalpha() or not (body.isascii() or max(body) < ("Ā" if self.word_ends else "ɐ")):
             return self.library(piece)
-        return np.array([t.id for t in self.model.tokenize(byte_letters(piece))], dtype="<u4")
+        return np.array([t.id for t in self.model.tokenize(byte_letters(piece.lower() if self.word_ends else piece))], dtype="<u4")
 
 
 @lru_cache(maxsize=4)

@@ -14,6 +14,7 @@ doc_id stand in the order of their content hash. An empty table gives an empty r
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
 
@@ -31,6 +32,8 @@ BLOCK = 256
 #: Ids after which a segment row is closed, and ids handled at once in memory.
 SEGMENT, CHUNK = 1 << 18, 1 << 20
 MAX_BITS = 16
+#: Rows a part that are sampled to find where parts begin.
+SAMPLED = 100
 
 
 # ---------------------------------------------------------------- code construction
@@ -158,7 +161,12 @@ def _count_ids(batches: Iterator[pa.RecordBatch], width: str, vocab: int) -> Ite
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["symbol", "n"])
 
 
-def _encode(batches: Iterator[pa.RecordBatch], width: str, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+def place(doc_id: int | None, tie: int) -> tuple:
+    return doc_id is not None, doc_id or 0, tie
+
+
+def _encode(batches: Iterator[pa.RecordBatch], width: str, lengths: np.ndarray, edges: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Bits of documents (doc_id, n_tokens, ids, tie), with the part that they fall to between the edges."""
     codes = canonical_codes(lengths)
     for batch in batches:
         counts = np.array(batch.column(1), dtype=np.int64)
@@ -175,8 +183,10 @@ def _encode(batches: Iterator[pa.RecordBatch], width: str, lengths: np.ndarray)
                     batch.column(1)[lo:hi],
                     pa.array([out[e - n:e].tobytes() for e, n in zip(ends, n_bytes, strict=True)], pa.binary()),
                     pa.array([own[f:f + c:BLOCK].astype("<u8").tobytes() for f, c in zip(first, counts[lo:hi], strict=True)], pa.binary()),
+                    batch.column(3)[lo:hi],
+                    pa.array([bisect_right(edges, place(d, t)) for d, t in zip(batch.column(0)[lo:hi].to_pylist(), batch.column(3)[lo:hi].to_pylist(), strict=True)], pa.int32()),
                 ],
-                ["doc_id", "n_tokens", "bits", "checkpoints"],
+                ["doc_id", "n_tokens", "bits", "checkpoints", "tie", "part"],
             )
 
 
@@ -246,13 +256,21 @@ def _documents(batches: Iterator[pa.RecordBatch], lengths: np.ndarray, max_bits:
 
 # ---------------------------------------------------------------- operator
 
+def part_edges(ids: DataFrame, parts: int) -> list[tuple]:
+    """Places that cut the documents (doc_id, tie) into parts of about equal number, from about SAMPLED rows a part."""
+    if parts == 1:
+        return []
+    own = sorted(place(*r) for r in ids.select("doc_id", "tie").sample(min(1.0, SAMPLED * parts / max(1, ids.count())), seed=1).collect())
+    return [own[k * len(own) // parts] for k in range(1, parts)] if own else []
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, tokens_per_part: int = 8_000_000, max_bits: int = MAX_BITS) -> None:
     """Write the ids of all texts (doc_id, text) below path, in ascending doc_id order."""
     spark = docs.sparkSession
     vocab = max(piece_ids(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
     width = "<u2" if vocab <= 1 << 16 else "<u4"
     ids = stored(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(partial(_tokenize, path=tokenizer, end_id=end_id, width=width), "doc_id long, n_tokens long, ids binary"),
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(partial(_tokenize, path=tokenizer, end_id=end_id, width=width), "doc_id long, n_tokens long, ids binary").withColumn("tie", F.xxhash64("ids")),
         "ids",
     )
     counts = np.zeros(vocab, dtype=np.int64)
@@ -263,11 +281,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, tokens_pe
     spark.createDataFrame([(int(s), int(lengths[s])) for s in np.flatnonzero(lengths)], "symbol int, length int").coalesce(1).write.parquet(f"{path}/codebook")
     parts = max(1, -(-int(counts.sum()) // tokens_per_part))
     (
-        ids.mapInArrow(partial(_encode, width=width, lengths=lengths), "doc_id long, n_tokens long, bits binary, checkpoints binary")
-        .withColumn("tie", F.xxhash64("bits"))
-        .repartitionByRange(parts, "doc_id", "tie")
+        # the parts are found from names alone: Spark's own sampling would encode all documents once more
+        ids.mapInArrow(partial(_encode, width=width, lengths=lengths, edges=part_edges(ids, parts)), "doc_id long, n_tokens long, bits binary, checkpoints binary, tie long, part int")
+        .repartitionById(parts, "part")
         .sortWithinPartitions("doc_id", "tie")
-        .drop("tie")
+        .drop("tie", "part")
         .mapInArrow(_segments, SEGMENT_SCHEMA)
         .write.parquet(f"{path}/segments")
     )

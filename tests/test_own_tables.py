@@ -105,3 +105,32 @@ def test_words_of_lines_too_many_to_be_sent_do_not_all_move(spark):
     batch = d.pa.RecordBatch.from_arrays([d.pa.array(range(100)), d.pa.array(range(100)), d.pa.array(texts)], ["doc_id", "doc_key", "text"])
     found = [x for b in d._texts(iter([batch]), 1, None, marks) for x in b.column(0).to_pylist()]
     assert set(named.tolist()) <= set(found) and len(found) < 20
+
+
+def test_symbols_that_end_words_are_pieces_of_their_own_and_old_pieces_make_room():
+    import random
+
+    import numpy as np
+
+    from lamina.llm import pieces
+    from lamina.llm.queries import BYTE_BPE, WORD_BPE
+
+    rng = random.Random(5)
+    odd = ["".join(rng.choice(list("abs Zéñ×÷ßİıΣªºµÞ$%.,'\"<=>_^`~\n\t-09̸́̈«»ŉ!?#")) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for path in (WORD_BPE, BYTE_BPE):
+        memo = pieces.PieceIds(path)
+        memo.pieces(["wort$$$ wort... wort!? WORT, ñandú%%%".lower()])
+        assert memo.table.held <= 8
+        for limit in (pieces.MEMO_LIMIT, 2500):
+            memo.table = pieces.PieceTable(limit)
+            for texts in (odd[:1500], odd[:200], odd[1500:], odd):
+                ids, n = memo.encode(texts)
+                assert all(np.array_equal(part, memo.library(x)) for part, x in zip(np.split(ids, np.cumsum(n)[:-1]), texts, strict=True))
+    # what was found again stays
+    table = pieces.PieceTable(100)
+    hashes = np.arange(160, dtype=np.uint64).reshape(80, 2)
+    table.add(hashes, [np.array([k, k], dtype="<u4") for k in range(80)])
+    table.again[table.find(hashes[10:30])] = True
+    table.make_room(60)
+    at = table.find(hashes)
+    assert table.held == 20 and (at >= 0).nonzero()[0].tolist() == list(range(10, 30)) and (table.pool[table.first[at[10:30]]] == np.arange(10, 30)).all()
