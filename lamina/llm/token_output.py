@@ -165,8 +165,8 @@ def place(doc_id: int | None, tie: int) -> tuple:
     return doc_id is not None, doc_id or 0, tie
 
 
-def _encode(batches: Iterator[pa.RecordBatch], width: str, lengths: np.ndarray, edges: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Bits of documents (doc_id, n_tokens, ids, tie), with the part that they fall to between the edges."""
+def _encode(batches: Iterator[pa.RecordBatch], width: str, lengths: np.ndarray, bounds: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Bits of documents (doc_id, n_tokens, ids, tie), with the part that they fall to between the bounds."""
     codes = canonical_codes(lengths)
     for batch in batches:
         counts = np.array(batch.column(1), dtype=np.int64)
@@ -184,7 +184,7 @@ def _encode(batches: Iterator[pa.RecordBatch], width: str, lengths: np.ndarray,
                     pa.array([out[e - n:e].tobytes() for e, n in zip(ends, n_bytes, strict=True)], pa.binary()),
                     pa.array([own[f:f + c:BLOCK].astype("<u8").tobytes() for f, c in zip(first, counts[lo:hi], strict=True)], pa.binary()),
                     batch.column(3)[lo:hi],
-                    pa.array([bisect_right(edges, place(d, t)) for d, t in zip(batch.column(0)[lo:hi].to_pylist(), batch.column(3)[lo:hi].to_pylist(), strict=True)], pa.int32()),
+                    pa.array([bisect_right(bounds, place(d, t)) for d, t in zip(batch.column(0)[lo:hi].to_pylist(), batch.column(3)[lo:hi].to_pylist(), strict=True)], pa.int32()),
                 ],
                 ["doc_id", "n_tokens", "bits", "checkpoints", "tie", "part"],
             )
@@ -282,7 +282,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, tokens_pe
     parts = max(1, -(-int(counts.sum()) // tokens_per_part))
     (
         # the parts are found from names alone: Spark's own sampling would encode all documents once more
-        ids.mapInArrow(partial(_encode, width=width, lengths=lengths, edges=part_edges(ids, parts)), "doc_id long, n_tokens long, bits binary, checkpoints binary, tie long, part int")
+        ids.mapInArrow(partial(_encode, width=width, lengths=lengths, bounds=part_edges(ids, parts)), "doc_id long, n_tokens long, bits binary, checkpoints binary, tie long, part int")
         .repartitionById(parts, "part")
         .sortWithinPartitions("doc_id", "tie")
         .drop("tie", "part")

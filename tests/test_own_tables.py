@@ -134,3 +134,18 @@ def test_symbols_that_end_words_are_pieces_of_their_own_and_old_pieces_make_room
     table.make_room(60)
     at = table.find(hashes)
     assert table.held == 20 and (at >= 0).nonzero()[0].tolist() == list(range(10, 30)) and (table.pool[table.first[at[10:30]]] == np.arange(10, 30)).all()
+
+
+def test_parts_of_ids_are_even_and_in_order_also_with_equal_doc_ids(spark, tmp_path):
+    from lamina.llm import token_output
+    from lamina.llm.queries import WORD_BPE
+
+    docs = [(None if k % 9 == 0 else k if k % 2 else 50, f"text {k} of some words") for k in range(400)]
+    token_output.write_ids(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), str(tmp_path / "ids"), WORD_BPE, end_id=2, tokens_per_part=400)
+    segments = spark.read.parquet(str(tmp_path / "ids/segments")).select("part", "doc_ids", "n_tokens").orderBy("part").collect()
+    total = sum(r.n_tokens for r in segments)
+    assert len(segments) > 5 and max(r.n_tokens for r in segments) < total / 3
+    ids = [(d is not None, d or 0) for r in segments for d in r.doc_ids]
+    assert ids == sorted(ids) == sorted((d is not None, d or 0) for d, _ in docs)
+    starts = sorted((r.start, r.n_tokens) for r in token_output.read_digests(spark, str(tmp_path / "ids")).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
