@@ -73,10 +73,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = line_dedup.removed_lines(docs)
-    own = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
-    both = own.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.doc_key") == F.col("g.doc_key")), "left")
-    return both.select("d.doc_id", "n_lines", F.size(F.coalesce("removed", F.array().cast("array<int>"))).cast("long").alias("n_removed"), F.coalesce(F.concat_ws(",", F.col("removed").cast("array<string>")), F.lit("")).alias("removed"))
+    removed = F.col("removed")
+    return line_dedup.line_report(docs).select("doc_id", "n_lines", F.size(F.coalesce(removed, F.array().cast("array<int>"))).cast("long").alias("n_removed"), F.coalesce(F.concat_ws(",", removed.cast("array<string>")), F.lit("")).alias("removed"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_toxicity, op4_token_counts, op5_url_filter, op6_simhash, op7_quality, op8_packing, op9_secret_scan, op10_line_dedup)}
